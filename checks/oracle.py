@@ -309,6 +309,17 @@ FROM orders
 """
 
 
+CTES["bodies"] = """
+SELECT a.request_id, a.platform,
+       CASE WHEN o.o_orderkey % 19 = 0 THEN NULL ELSE a.account_id END AS account_id,
+       CASE WHEN a.platform <> 'x' THEN 'Invalid value for platform.'
+            WHEN o.o_orderkey % 19 = 0 OR NOT regexp_full_match(a.account_id, '[0-9]{1,19}')
+            THEN 'Invalid value for account_id.'
+            WHEN o.o_orderkey % 23 = 0 THEN 'Invalid value for note.' END AS problem
+FROM asked a JOIN orders o ON a.request_id = o.o_orderkey::VARCHAR
+"""
+
+
 def _message(code: str) -> str:
     return _q(ERROR_MESSAGES[code])
 
@@ -393,8 +404,8 @@ _COUNTS = """
 SELECT (SELECT count(*) FROM known)
          - (SELECT count(*) FROM valid) AS invalid_rows_removed,
        (SELECT count(*) FROM conflicts) AS conflicting_account_ids_removed,
-       (SELECT count(*) FROM valid) - (SELECT coalesce(sum(row_count), 0) FROM conflicts)
-         - (SELECT count(*) FROM clean) AS duplicate_rows_removed,
+       ((SELECT count(*) FROM valid) - (SELECT coalesce(sum(row_count), 0) FROM conflicts)
+         - (SELECT count(*) FROM clean))::BIGINT AS duplicate_rows_removed,
        (SELECT count(*) FROM clean) AS clean_account_count"""
 
 ORACLE: dict[str, str] = {
@@ -501,12 +512,13 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, CASE WHEN platform <> 'x' OR NOT
                 regexp_full_match(account_id, '[0-9]{{1,19}}')
                 THEN 'invalid_request' END AS bad FROM asked)""", "asked"),
+    "parse_requests": _with("SELECT * FROM bodies", "bodies"),
     "recorded_assessments": _with(f"""
         SELECT assessment_id, '{MODEL_ID}' AS model_id, risk_band, status
         FROM answered WHERE status = 'completed'""", "answered"),
     "override_intake": _with("SELECT * FROM override_decided", "override_decided"),
     "recorded_overrides": _with("""
-        SELECT assessment_id, l_shipdate AS created_at, override_label, reason_code
+        SELECT assessment_id, override_label, reason_code
         FROM override_decided WHERE outcome = 'recorded'""", "override_decided"),
     "list_accounts": _with("""
         SELECT account_id, source_dataset, nullif(trim(username), '') AS username

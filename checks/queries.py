@@ -332,6 +332,25 @@ def assess_without_model(spark, folder):
     return _flat_responses(answers).select("request_id", "error_code", "error_message")
 
 
+def parse_requests(spark, folder):
+    """Requests as JSON bodies: some ids are numbers, some bodies have a field too many."""
+    key = F.col("request_id").cast("bigint")
+    body = F.concat(
+        F.lit('{"platform":"'), F.col("platform"), F.lit('","account_id":'),
+        F.when(key % 19 == 0, F.lit("12")).otherwise(
+            F.concat(F.lit('"'), F.col("account_id"), F.lit('"'))
+        ),
+        F.when(key % 23 == 0, F.lit(',"note":"hello"')).otherwise(F.lit("")),
+        F.lit("}"),
+    )
+    bodies = requests(spark, folder).select("request_id", body.alias("body"))
+    parsed = assess.read_request_bodies(bodies)
+    return parsed.select(
+        "request_id", "platform", "account_id",
+        assess.request_problem(parsed).alias("problem"),
+    )
+
+
 def recorded_assessments(spark, folder):
     scorer = fixed_scorer(spark, folder)
     return assess.to_record(_responses(spark, folder), scorer.model_id).drop("created_at")
@@ -364,7 +383,7 @@ def recorded_overrides(spark, folder):
         override_requests(items), store, f"{store.root}/outcomes", "items",
         profiles.ARRIVAL, created_at=F.col("l_shipdate"),
     )
-    return store.overrides()
+    return store.overrides().drop("created_at")
 
 
 def list_accounts(spark, folder):
@@ -500,7 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prep_transform, class_weights, fixed_scores, threshold_grid_costs,
         risk_thresholds, classification_report, roc_auc, risk_bands, confidence,
         recommendations, top_factors, assess_batch, assess_without_model,
-        recorded_assessments, override_intake, recorded_overrides, list_accounts,
+        parse_requests, recorded_assessments, override_intake, recorded_overrides, list_accounts,
         readiness_report, assess_stream, override_stream, baseline_scores,
         boosted_scores, boosted_top_factors, boosted_assess_batch, model_metrics,
         train_report, training_cleaning,

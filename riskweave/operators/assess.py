@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.constants import (
-    EXPLANATION_WARNING, INSUFFICIENT_WARNING, TRIAGE_WARNING, UNKNOWN_MODEL,
+    ERROR_MESSAGES, EXPLANATION_WARNING, INSUFFICIENT_WARNING, TRIAGE_WARNING,
+    UNKNOWN_MODEL,
 )
 from riskweave.functions.decisions import (
     confidence, error, is_finite, is_sufficient, recommendation, risk_band, top_factors,
@@ -17,22 +18,58 @@ from riskweave.operators.lookup import attach, hot_keys
 from riskweave.operators.models import Scorer
 
 REQUEST_FIELDS = ("platform", "account_id")
+# what read_request_bodies adds to a row
+BODY_CHECKS = ("extra_fields", "malformed")
 ENVELOPE = ("request_id", "requested_at")
 
 
+def read_request_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Replace a JSON body by the request fields and what is wrong with the body.
+
+    Only JSON strings count as field values; keys beyond the request's go to
+    ``extra_fields``; text that is not a JSON object is ``malformed``.
+    """
+    parsed = F.col("_parsed")
+
+    def string_field(name: str) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == (
+            "STRING"
+        )
+        return F.when(is_text, F.try_variant_get(parsed, f"$.{name}", "string"))
+
+    keys = F.json_object_keys(body)
+    known = F.array(*[F.lit(f) for f in REQUEST_FIELDS])
+    return requests.withColumn("_parsed", F.try_parse_json(F.col(body))).withColumns({
+        **{f: string_field(f) for f in REQUEST_FIELDS},
+        "extra_fields": F.array_except(keys, known),
+        "malformed": parsed.isNull() | keys.isNull(),
+    }).drop(body, "_parsed")
+
+
 def check_request_columns(requests: DataFrame, envelope=ENVELOPE) -> None:
     """Requests are strict: a field nobody asked for is an error, not ignored."""
-    extra = sorted(set(requests.columns) - set(REQUEST_FIELDS) - set(envelope))
+    known = {*REQUEST_FIELDS, *BODY_CHECKS, *envelope}
+    extra = sorted(set(requests.columns) - known)
     if extra:
         raise ValueError(f"Invalid value for {extra[0]}.")
 
 
-def request_problem() -> Column:
-    """Name of the first offending request field, else NULL."""
-    platform_ok = F.coalesce(F.col("platform") == "x", F.lit(False))
-    return F.when(~platform_ok, F.lit("platform")).when(
-        ~is_account_id(F.col("account_id")), F.lit("account_id")
-    )
+def request_problem(requests: DataFrame) -> Column:
+    """Message on the first offending part of a request, else NULL."""
+    def invalid(name: Column) -> Column:
+        return F.concat(F.lit("Invalid value for "), name, F.lit("."))
+
+    problem = F.when(
+        ~F.coalesce(F.col("platform") == "x", F.lit(False)), invalid(F.lit("platform"))
+    ).when(~is_account_id(F.col("account_id")), invalid(F.lit("account_id")))
+    if "extra_fields" in requests.columns:
+        extra = F.get("extra_fields", F.lit(0))
+        problem = problem.when(extra.isNotNull(), invalid(extra))
+    if "malformed" in requests.columns:
+        problem = F.when(
+            F.col("malformed"), F.lit(ERROR_MESSAGES["invalid_request"])
+        ).otherwise(problem)
+    return problem
 
 
 def decide(scored: DataFrame, scorer: Scorer) -> DataFrame:
@@ -90,7 +127,7 @@ def assess(requests: DataFrame, accounts: DataFrame | None, scorer: Scorer | Non
     error.  ``request_id`` identifies a request.
     """
     check_request_columns(requests, envelope)
-    asked = requests.withColumn("_problem", request_problem())
+    asked = requests.withColumn("_problem", request_problem(requests))
     valid = F.col("_problem").isNull()
 
     if scorer is None or accounts is None:
@@ -131,7 +168,7 @@ def _responses(found: DataFrame, requests: DataFrame, model_id: str,
         F.col("_code")
     )
     answered = F.col("_error_code").isNull()
-    kept = [c for c in requests.columns if c not in REQUEST_FIELDS]
+    kept = [c for c in requests.columns if c not in (*REQUEST_FIELDS, *BODY_CHECKS)]
 
     def field(name: str) -> Column:
         return F.when(answered, F.col("_a")[name]).alias(name)
@@ -153,13 +190,7 @@ def _responses(found: DataFrame, requests: DataFrame, model_id: str,
         )).alias("top_factors"),
         field("recommendation"),
         field("warning"),
-        error(
-            F.col("_error_code"),
-            F.when(
-                F.col("_problem").isNotNull(),
-                F.concat(F.lit("Invalid value for "), F.col("_problem"), F.lit(".")),
-            ),
-        ).alias("error"),
+        error(F.col("_error_code"), F.col("_problem")).alias("error"),
     )
 
 

@@ -91,33 +91,24 @@ def account_groups(bronze: DataFrame) -> DataFrame:
     )
 
 
-def clean_accounts(bronze: DataFrame) -> DataFrame:
-    """Valid, conflict-free, de-duplicated accounts in the sources' column order."""
-    kept = account_groups(bronze).where(F.col("min_label") == F.col("max_label"))
-    out: list[Column] = []
-    for name in bronze.columns:
-        if name in (SOURCE_ORDER, ROW_ORDER):
-            continue
-        if name == "account_id":
-            out.append(F.col("account_id"))
-        elif name == "label":
-            out.append(F.col("min_label").alias("label"))
-        else:
-            out.append(F.col("best")[name].alias(name))
-    return kept.select(*out)
+def agreeing_accounts(groups: DataFrame) -> DataFrame:
+    """Clean accounts out of ``account_groups``: valid, conflict-free, best row each."""
+    payload = groups.schema["best"].dataType.names
+    return groups.where(F.col("min_label") == F.col("max_label")).select(
+        "account_id", F.col("min_label").alias("label"),
+        *[F.col("best")[name].alias(name) for name in payload],
+    )
 
 
-def label_conflicts(bronze: DataFrame) -> DataFrame:
+def conflicting_accounts(groups: DataFrame) -> DataFrame:
     """Accounts whose valid labels disagree, with their number of distinct labels."""
-    return (
-        account_groups(bronze)
-        .where(F.col("min_label") != F.col("max_label"))
+    return groups.where(F.col("min_label") != F.col("max_label")).select(
         # labels are 0 or 1, so a disagreement is always two of them
-        .select("account_id", F.lit(2).alias("distinct_labels"), "row_count")
+        "account_id", F.lit(2).cast("bigint").alias("distinct_labels"), "row_count"
     )
 
 
-def cleaning_summary(bronze: DataFrame) -> DataFrame:
+def summarise(groups: DataFrame) -> DataFrame:
     """One row: what cleaning removed and kept."""
     known = F.col("account_id").isNotNull()
     agrees = F.col("min_label") == F.col("max_label")
@@ -125,7 +116,7 @@ def cleaning_summary(bronze: DataFrame) -> DataFrame:
     def total(condition: Column, amount: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0))
 
-    return account_groups(bronze).agg(
+    return groups.agg(
         total(~known, F.col("row_count")).alias("invalid_rows_removed"),
         F.count_if(known & ~agrees).alias("conflicting_account_ids_removed"),
         total(known & agrees, F.col("row_count") - 1).alias("duplicate_rows_removed"),
@@ -133,6 +124,18 @@ def cleaning_summary(bronze: DataFrame) -> DataFrame:
     )
 
 
+def clean_accounts(bronze: DataFrame) -> DataFrame:
+    return agreeing_accounts(account_groups(bronze))
+
+
+def label_conflicts(bronze: DataFrame) -> DataFrame:
+    return conflicting_accounts(account_groups(bronze))
+
+
+def cleaning_summary(bronze: DataFrame) -> DataFrame:
+    return summarise(account_groups(bronze))
+
+
 def repeated_ids(df: DataFrame, key: str = "account_id") -> DataFrame:
     """Keys that occur more than once, with their row counts."""
     return df.groupBy(key).agg(F.count("*").alias("row_count")).where("row_count > 1")

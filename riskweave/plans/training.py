@@ -13,7 +13,9 @@ from riskweave.constants import (
     BOOST_ROUNDS, CONFIDENCE_MARGIN, DEMO_PER_CLASS, FEATURES, SEED, SOURCE_FILES,
 )
 from riskweave.operators.features import account_features, split_counts, usable_accounts
-from riskweave.operators.merge import clean_accounts, cleaning_summary, union_sources
+from riskweave.operators.merge import (
+    account_groups, agreeing_accounts, summarise, union_sources,
+)
 from riskweave.operators.metrics import classification_metrics
 from riskweave.operators.models import fit_baseline, fit_boosted, predict
 from riskweave.operators.preprocess import fit_preprocessor, transform_columns
@@ -41,12 +43,12 @@ def prepare(sources: Sequence[DataFrame], generated: str, demo_per_class: int =
             seed: int = SEED) -> PreparedData:
     """Clean, split, write splits and demo accounts, derive features.
 
-    The sources are read twice (clean rows, summary); later steps read stored tables.
+    The sources are read and shuffled once; every later step reads a stored table.
     """
-    bronze = union_sources(sources)
-    spark = bronze.sparkSession
-    summary = cleaning_summary(bronze).first().asDict()
-    clean = stage(clean_accounts(bronze), "clean")
+    groups = stage(account_groups(union_sources(sources)), "accounts")
+    spark = groups.sparkSession
+    summary = summarise(groups).first().asDict()
+    clean = agreeing_accounts(groups)
     write_splits(stratified_split(clean, seed), f"{generated}/splits")
     # the demo sample may contain accounts with too few features
     test = read_split(spark, f"{generated}/splits", "test").drop("split")

@@ -72,10 +72,10 @@ class FeedbackStore:
     def _append(self, name: str, schema: T.StructType, rows: DataFrame,
                 batch: str) -> DataFrame:
         others = self._other(name, schema, batch).select("assessment_id")
-        names = [f.name for f in schema.fields]
-        new = rows.join(others, "assessment_id", "left_anti").select(*names)
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        new = rows.join(others, "assessment_id", "left_anti")
         (
             new.dropDuplicates(["assessment_id"])
             .write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch}")
         )
-        return rows.join(others, "assessment_id", "left_semi").select(*names)
+        return rows.join(others, "assessment_id", "left_semi")
