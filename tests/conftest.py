@@ -1,0 +1,43 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[8]").appName("tests")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture()
+def values(spark):
+    """Evaluate a column function over literal inputs."""
+    def run(function, inputs, dtype="string"):
+        df = spark.createDataFrame(list(enumerate(inputs)), f"i int, v {dtype}")
+        from pyspark.sql import functions as F
+
+        rows = df.select("i", function(F.col("v")).alias("out")).orderBy("i").collect()
+        return [r["out"] for r in rows]
+
+    return run
+
+
+SAMPLE = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sample():
+    import os
+
+    if not os.path.isdir(SAMPLE):
+        pytest.skip("sample tables are not available")
+    return SAMPLE
