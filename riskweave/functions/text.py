@@ -18,7 +18,7 @@ def missing_to_null(c: Column) -> Column:
 
 def optional_text(c: Column) -> Column:
     """Stripped text, NULL when blank."""
-    return F.nullif(strip(c), F.lit(""))
+    return F.when(F.length(strip(c)) > 0, strip(c))
 
 
 def present(c: Column, unknown_is_missing: bool = False) -> Column:
