@@ -432,7 +432,7 @@ ORACLE: dict[str, str] = {
     "label_conflicts": _with("SELECT * FROM conflicts", "conflicts"),
     "repeated_ids": _with("""
         SELECT account_id, count(*) AS row_count FROM known
-        WHERE account_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1""", "known"),
+        GROUP BY 1 HAVING count(*) > 1""", "known"),
     "stratified_split": _with("SELECT account_id, label, split FROM split_rows",
                               "split_rows"),
     "split_counts": _with("""
@@ -454,7 +454,7 @@ ORACLE: dict[str, str] = {
                round(usable / 12, 3) AS completeness
         FROM account_feats GROUP BY usable""", "account_feats"),
     "usable_accounts": _with(
-        "SELECT account_id, usable FROM account_feats WHERE usable >= 6", "account_feats"),
+        "SELECT account_id, split, usable FROM feats WHERE usable >= 6", "feats"),
     "prep_parameters": _with("""
         SELECT feature, round(fill, 9) AS fill, round(mean, 9) AS mean, round(std, 9) AS std
         FROM prep""", "prep"),
@@ -502,7 +502,9 @@ ORACLE: dict[str, str] = {
     "recommendations": _with("""
         SELECT risk_band, recommendation, warning, count(*) AS account_count
         FROM decided GROUP BY ALL""", "decided"),
-    "top_factors": _with("SELECT * FROM factors", "factors"),
+    "top_factors": _with("""
+        SELECT d.account_id, f.top_factors FROM decided d LEFT JOIN factors f
+        ON f.account_id = d.account_id""", "factors"),
     "assess_batch": _with("SELECT * FROM answered", "answered"),
     "assess_without_model": _with(f"""
         SELECT request_id, coalesce(bad, 'model_unavailable') AS error_code,

@@ -100,6 +100,12 @@ def scored_split(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return fixed_scorer(spark, folder).score(usable_split(spark, folder, name))
 
 
+def accounts(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table that requests are looked up in."""
+    return _once("accounts", spark, folder,
+                 lambda: stage(profiles.account_table(spark, folder), "accounts"))
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     return profiles.requests_from_orders(profiles.table(spark, folder, "orders"))
 
@@ -188,8 +194,7 @@ def label_conflicts(spark, folder):
 
 
 def repeated_ids(spark, folder):
-    known = merge.with_identity(bronze(spark, folder))
-    return merge.repeated_ids(known.where(F.col("account_id").isNotNull()))
+    return merge.repeated_ids(merge.with_identity(bronze(spark, folder)))
 
 
 def stratified_split(spark, folder):
@@ -223,8 +228,10 @@ def feature_completeness(spark, folder):
 
 
 def usable_accounts(spark, folder):
-    rows = features.account_features(profiles.account_table(spark, folder))
-    return features.usable_accounts(rows).select("account_id", "usable")
+    # filter a stored table: on computed features the filter would repeat their work
+    return features.usable_accounts(split_features(spark, folder)).select(
+        "account_id", "split", "usable"
+    )
 
 
 def prep_parameters(spark, folder):
@@ -284,9 +291,7 @@ def roc_auc(spark, folder):
 # ---- decisions --------------------------------------------------------------
 
 def _decided(spark, folder) -> DataFrame:
-    return assess.assess_accounts(
-        profiles.account_table(spark, folder), fixed_scorer(spark, folder)
-    )
+    return assess.assess_accounts(accounts(spark, folder), fixed_scorer(spark, folder))
 
 
 def risk_bands(spark, folder):
@@ -309,14 +314,15 @@ def recommendations(spark, folder):
 
 
 def top_factors(spark, folder):
-    return _decided(spark, folder).where("risk_band IS NOT NULL").select(
+    # no filter on the score: it would be pushed down and work out the score twice
+    return _decided(spark, folder).select(
         "account_id", _flat_factors().alias("top_factors")
     )
 
 
 def _responses(spark, folder) -> DataFrame:
     return assess.assess(
-        requests(spark, folder), profiles.account_table(spark, folder),
+        requests(spark, folder), accounts(spark, folder),
         fixed_scorer(spark, folder),
     )
 
@@ -327,7 +333,7 @@ def assess_batch(spark, folder):
 
 def assess_without_model(spark, folder):
     answers = assess.assess(
-        requests(spark, folder), profiles.account_table(spark, folder), None
+        requests(spark, folder), accounts(spark, folder), None
     )
     return _flat_responses(answers).select("request_id", "error_code", "error_message")
 
@@ -361,7 +367,7 @@ def _stored_assessments(spark, folder) -> FeedbackStore:
     root = stage_path(spark, "store")
     store = FeedbackStore(spark, root).initialise()
     serving.assessment_batch(
-        requests(spark, folder), profiles.account_table(spark, folder),
+        requests(spark, folder), accounts(spark, folder),
         fixed_scorer(spark, folder), store, f"{root}/responses", "requests",
         created_at=serving.request_time(),
     )
@@ -391,7 +397,7 @@ def list_accounts(spark, folder):
 
 
 def readiness_report(spark, folder):
-    source = check_accounts(profiles.account_table(spark, folder))
+    source = check_accounts(accounts(spark, folder))
     store = _stored_assessments(spark, folder)
     scorer = fixed_scorer(spark, folder)
     report = reports.readiness_report(
@@ -412,7 +418,7 @@ def assess_stream(spark, folder):
     store = FeedbackStore(spark, root).initialise()
     stream = profiles.requests_from_orders(_table_stream(spark, folder, "orders"))
     query = intake.assess_stream(
-        stream, stage(profiles.account_table(spark, folder), "accounts"),
+        stream, accounts(spark, folder),
         fixed_scorer(spark, folder), store, f"{root}/responses", f"{root}/checkpoint",
     )
     query.awaitTermination()
@@ -466,9 +472,7 @@ def boosted_scores(spark, folder):
 
 
 def boosted_top_factors(spark, folder):
-    decided = assess.assess_accounts(
-        profiles.account_table(spark, folder), _boosted(spark, folder)
-    )
+    decided = assess.assess_accounts(accounts(spark, folder), _boosted(spark, folder))
     return decided.select(
         "account_id", "status", "risk_band", _flat_factors().alias("top_factors")
     )
@@ -476,7 +480,7 @@ def boosted_top_factors(spark, folder):
 
 def boosted_assess_batch(spark, folder):
     return _flat_responses(assess.assess(
-        requests(spark, folder), profiles.account_table(spark, folder),
+        requests(spark, folder), accounts(spark, folder),
         _boosted(spark, folder),
     ))
 

@@ -15,7 +15,7 @@ def is_sufficient(usable: Column) -> Column:
 
 
 def is_finite(p: Column) -> Column:
-    return F.coalesce((p > float("-inf")) & (p < float("inf")), F.lit(False))
+    return F.coalesce(F.abs(p) < float("inf"), F.lit(False))
 
 
 def risk_band(p: Column, medium, high) -> Column:
@@ -84,9 +84,8 @@ def top_factors(contributions: Column, names: list[str], k: int = 3) -> Column:
 
 def error(code: Column, message: Column | None = None) -> Column:
     """STRUCT<code, message, retryable>, NULL when there is no error."""
-    standard = F.coalesce(*[
-        F.when(code == known, F.lit(text)) for known, text in ERROR_MESSAGES.items()
-    ])
+    known = F.create_map(*[F.lit(v) for pair in ERROR_MESSAGES.items() for v in pair])
+    standard = F.try_element_at(known, code)
     text = standard if message is None else F.coalesce(message, standard)
     return F.when(
         code.isNotNull(),

@@ -10,9 +10,11 @@ from riskweave.functions.text import strip
 
 # whole numbers without exponent; the group is the id
 _SIMPLE = r"^\+?0*(0|[1-9][0-9]{0,18})(?:\.0*)?$"
+# zeros the pattern above leaves over: negative, without whole part, with exponent
+_ZERO = r"^[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?$"
 # a nonzero digit, 18 or more digits, a nonzero digit: no id of 19 digits
 _TOO_PRECISE = r"[1-9](?:\.?[0-9]){18,}\.?[0-9]*[1-9]"
-_ZERO = r"^[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?$"
+_WHOLE_DECIMAL = r"^([1-9][0-9]*)\.0+$"
 
 
 def is_account_id(c: Column) -> Column:
@@ -27,17 +29,19 @@ def normalise_account_id(c: Column) -> Column:
     a decimal.
     """
     text = strip(c)
+    # 19 whole digits fit this type exactly, larger values are NULL; the cast rounds at
+    # the 19th decimal, which only digit runs too long for an id could turn into one
+    decimal = text.try_cast("decimal(38,19)").cast("string")
     return F.coalesce(
-        F.nullif(F.regexp_extract(text, _SIMPLE, 1), F.lit("")), _whole_decimal(text)
+        _first_group(text, _SIMPLE),
+        F.when(text.rlike(_ZERO), F.lit("0")).when(
+            ~text.rlike(_TOO_PRECISE), _first_group(decimal, _WHOLE_DECIMAL)
+        ),
     )
 
 
-def _whole_decimal(text: Column) -> Column:
-    # 19 integer digits fit this type exactly, anything larger is NULL
-    value = text.try_cast("decimal(38,19)")
-    # the cast rounds at the 19th place; a long digit run could round to an id
-    is_id = (value > 0) & (value % 1 == 0) & ~text.rlike(_TOO_PRECISE)
-    return F.when(text.rlike(_ZERO), F.lit("0")).when(is_id, F.floor(value).cast("string"))
+def _first_group(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def assessment_id(request_key: Column, model_id: Column, width: int = 32) -> Column:

@@ -14,7 +14,7 @@ from riskweave.functions.decisions import (
 )
 from riskweave.functions.ids import assessment_id, is_account_id
 from riskweave.operators.features import account_features
-from riskweave.operators.lookup import attach, hot_keys
+from riskweave.operators.lookup import attach, hot_keys, key_demand
 from riskweave.operators.models import Scorer
 
 REQUEST_FIELDS = ("platform", "account_id")
@@ -139,13 +139,13 @@ def assess(requests: DataFrame, accounts: DataFrame | None, scorer: Scorer | Non
             requests, UNKNOWN_MODEL if scorer is None else scorer.model_id, id_width,
         )
 
-    wanted = asked.where(valid).select("account_id").distinct()
+    demand = key_demand(asked.where(valid), "account_id")
     assessed = assess_accounts(
-        accounts.join(wanted, "account_id", "left_semi"), scorer
+        accounts.join(demand, "account_id", "left_semi"), scorer
     )
     found = attach(
         asked, "account_id", "request_id", assessed, "_a",
-        hot=hot_keys(asked.where(valid), "account_id"), usable=valid,
+        hot=hot_keys(demand, "account_id"), usable=valid,
     )
     code = F.when(F.col("_a").isNull(), F.lit("account_not_found")).otherwise(
         F.col("_a")["error_code"]

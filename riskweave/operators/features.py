@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskweave.constants import FEATURES
 from riskweave.functions.decisions import is_sufficient
 from riskweave.functions.numbers import flag, in_domain, parse_double
-from riskweave.functions.text import present, stripped_length
+from riskweave.functions.text import present, strip
 from riskweave.operators.merge import first_type
 
 # feature or fallback -> (source column, must be > 0)
@@ -46,16 +46,12 @@ def account_features(df: DataFrame, keep: Sequence[str] = ("account_id",)) -> Da
         *[parse_double(source(c), first_type(df, c)).alias(out)
           for out, (c, _) in _NUMBERS.items()],
         *[flag(source(c), first_type(df, c)).alias(out) for out, c in _FLAGS.items()],
-        stripped_length(source("description")).alias("_description_text"),
-        stripped_length(source("username")).alias("_username_text"),
-        (
-            present(source("username"))
-            + present(source("description"))
-            + present(source("location"), unknown_is_missing=True)
-        ).alias("_said"),
+        *[strip(source(c)).alias(f"_{c}") for c in ("description", "username", "location")],
     )
     checked = parsed.withColumns({
-        out: in_domain(F.col(out), positive) for out, (_, positive) in _NUMBERS.items()
+        **{out: in_domain(F.col(out), positive) for out, (_, positive) in _NUMBERS.items()},
+        "_said": present(F.col("_username")) + present(F.col("_description"))
+        + present(F.col("_location"), unknown_is_missing=True),
     })
 
     image_known = F.col("uses_default_profile_image").isNotNull()
@@ -68,10 +64,10 @@ def account_features(df: DataFrame, keep: Sequence[str] = ("account_id",)) -> Da
             F.col("tweet_count") / F.col("account_age_days"), F.col("_given_rate")
         ),
         "description_length": F.coalesce(
-            F.col("_given_description_length"), F.col("_description_text")
+            F.col("_given_description_length"), F.length("_description").cast("double")
         ),
         "username_length": F.coalesce(
-            F.col("_given_username_length"), F.col("_username_text")
+            F.col("_given_username_length"), F.length("_username").cast("double")
         ),
         # mean of three presence flags, or of four when the image flag is known
         "profile_completeness": F.when(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.session import stage
+
 # Below this many rows a key is no burden for a single task.
 HOT_ROWS = 100_000
 # At most this many keys travel by broadcast.  A key outside the most frequent 1000
@@ -14,12 +16,23 @@ HOT_ROWS = 100_000
 HOT_KEYS = 1_000
 
 
-def hot_keys(facts: DataFrame, key: str, min_rows: int = HOT_ROWS,
+def key_demand(facts: DataFrame, key: str, *extra: Column) -> DataFrame:
+    """One row per wanted key with its ``row_count``, stored for the steps that read it.
+
+    Folded map-side, so a frequent key is one row per task.  NULL keys want nothing.
+    """
+    counted = facts.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("row_count"), *extra
+    )
+    return stage(counted, "demand")
+
+
+def hot_keys(demand: DataFrame, key: str, min_rows: int = HOT_ROWS,
              max_keys: int = HOT_KEYS) -> list:
-    """Most frequent keys with at least ``min_rows`` rows (counted map-side first)."""
+    """Most frequent keys of a ``key_demand`` with at least ``min_rows`` rows."""
     rows = (
-        facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_rows).orderBy(F.desc("n"), key).limit(max_keys).collect()
+        demand.where(F.col("row_count") >= min_rows)
+        .orderBy(F.desc("row_count"), key).limit(max_keys).select(key).collect()
     )
     return [r[key] for r in rows]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.decisions import error
 from riskweave.functions.ids import is_assessment_id, is_override_label, is_reason_code
-from riskweave.operators.lookup import attach, hot_keys
+from riskweave.operators.lookup import attach, hot_keys, key_demand
 
 
 def override_problem(id_width: int) -> Column:
@@ -37,18 +37,19 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
     }).withColumn("_row", F.xxhash64("_arrival"))
     valid = F.col("_problem").isNull()
 
-    first = asked.where(valid).groupBy("assessment_id").agg(
-        F.min("_arrival").alias("first_arrival")
+    demand = key_demand(
+        asked.where(valid), "assessment_id", F.min("_arrival").alias("first_arrival")
     )
-    known = assessments.select("assessment_id", F.lit(True).alias("stored"))
+    known = assessments.select("assessment_id")
     taken = overrides.select("assessment_id", F.lit(True).alias("overridden"))
     state = (
-        first.join(known, "assessment_id", "left_semi")
+        demand.select("assessment_id", "first_arrival")
+        .join(known, "assessment_id", "left_semi")
         .join(taken, "assessment_id", "left")
     )
     found = attach(
         asked, "assessment_id", "_row", state, "_state",
-        hot=hot_keys(asked.where(valid), "assessment_id"), usable=valid,
+        hot=hot_keys(demand, "assessment_id"), usable=valid,
     )
     wins = F.col("_state")["overridden"].isNull() & (
         F.col("_arrival") == F.col("_state")["first_arrival"]

@@ -55,7 +55,7 @@ def test_boosted_explanation_is_the_only_python_step(spark, sample):
 
 
 def test_scans_read_only_what_a_query_needs(spark, sample):
-    text = plan(driver.queries()["usable_accounts"](spark, sample))
+    text = plan(driver.queries()["feature_completeness"](spark, sample))
     assert "l_orderkey" in text and "l_extendedprice" not in text
     text = plan(Q.usable_split(spark, sample, "train").select("label"))
     assert "PartitionFilters: [isnotnull(split" in text

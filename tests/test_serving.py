@@ -169,8 +169,11 @@ def test_hot_and_hopeless_keys_give_the_same_answers(spark, accounts, monkeypatc
 
 def test_hot_keys_are_ranked_and_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 10 % 4).cast("string").alias("k"))
-    assert lookup.hot_keys(df, "k", min_rows=250) == ["0", "1"]
-    assert lookup.hot_keys(df, "k", min_rows=1, max_keys=3) == ["0", "1", "2"]
+    demand = lookup.key_demand(df.union(spark.sql("SELECT CAST(NULL AS STRING)")), "k")
+    assert {r.k: r.row_count for r in demand.collect()} == {
+        "0": 300, "1": 300, "2": 200, "3": 200}
+    assert lookup.hot_keys(demand, "k", min_rows=250) == ["0", "1"]
+    assert lookup.hot_keys(demand, "k", min_rows=1, max_keys=3) == ["0", "1", "2"]
     with pytest.raises(ValueError):
         lookup.attach(df, "k", "k", df, "r", hot=list(range(1001)))
 
