@@ -23,9 +23,14 @@ def optional_text(c: Column) -> Column:
 
 def present(c: Column, unknown_is_missing: bool = False) -> Column:
     """1.0 if the text says something, else 0.0; optionally 'unknown' words say nothing."""
-    said = F.length(strip(c)) > 0
+    return says(strip(c), unknown_is_missing)
+
+
+def says(stripped: Column, unknown_is_missing: bool = False) -> Column:
+    """``present`` for text that is stripped already."""
+    said = F.length(stripped) > 0
     if unknown_is_missing:
-        said = said & ~F.lower(strip(c)).isin(*UNKNOWN_WORDS)
+        said = said & ~F.lower(stripped).isin(*UNKNOWN_WORDS)
     return F.when(said, F.lit(1.0)).otherwise(F.lit(0.0))
 
 

@@ -6,44 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.constants import (
-    ERROR_MESSAGES, EXPLANATION_WARNING, INSUFFICIENT_WARNING, TRIAGE_WARNING,
-    UNKNOWN_MODEL,
+    EXPLANATION_WARNING, INSUFFICIENT_WARNING, TRIAGE_WARNING, UNKNOWN_MODEL,
 )
 from riskweave.functions.decisions import (
     confidence, error, is_finite, is_sufficient, recommendation, risk_band, top_factors,
 )
 from riskweave.functions.ids import assessment_id, is_account_id
+from riskweave.operators.bodies import (
+    BODY_CHECKS, body_problem, invalid_value, read_bodies,
+)
 from riskweave.operators.features import account_features
 from riskweave.operators.lookup import attach, hot_keys, key_demand
 from riskweave.operators.models import Scorer
 
 REQUEST_FIELDS = ("platform", "account_id")
-# what read_request_bodies adds to a row
-BODY_CHECKS = ("extra_fields", "malformed")
 ENVELOPE = ("request_id", "requested_at")
 
 
 def read_request_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Replace a JSON body by the request fields and what is wrong with the body.
-
-    Only JSON strings count as field values; keys beyond the request's go to
-    ``extra_fields``; text that is not a JSON object is ``malformed``.
-    """
-    parsed = F.col("_parsed")
-
-    def string_field(name: str) -> Column:
-        is_text = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == (
-            "STRING"
-        )
-        return F.when(is_text, F.try_variant_get(parsed, f"$.{name}", "string"))
-
-    keys = F.json_object_keys(body)
-    known = F.array(*[F.lit(f) for f in REQUEST_FIELDS])
-    return requests.withColumn("_parsed", F.try_parse_json(F.col(body))).withColumns({
-        **{f: string_field(f) for f in REQUEST_FIELDS},
-        "extra_fields": F.array_except(keys, known),
-        "malformed": parsed.isNull() | keys.isNull(),
-    }).drop(body, "_parsed")
+    """Assessment requests out of JSON bodies."""
+    return read_bodies(requests, REQUEST_FIELDS, body)
 
 
 def check_request_columns(requests: DataFrame, envelope=ENVELOPE) -> None:
@@ -56,20 +38,11 @@ def check_request_columns(requests: DataFrame, envelope=ENVELOPE) -> None:
 
 def request_problem(requests: DataFrame) -> Column:
     """Message on the first offending part of a request, else NULL."""
-    def invalid(name: Column) -> Column:
-        return F.concat(F.lit("Invalid value for "), name, F.lit("."))
-
-    problem = F.when(
-        ~F.coalesce(F.col("platform") == "x", F.lit(False)), invalid(F.lit("platform"))
-    ).when(~is_account_id(F.col("account_id")), invalid(F.lit("account_id")))
-    if "extra_fields" in requests.columns:
-        extra = F.get("extra_fields", F.lit(0))
-        problem = problem.when(extra.isNotNull(), invalid(extra))
-    if "malformed" in requests.columns:
-        problem = F.when(
-            F.col("malformed"), F.lit(ERROR_MESSAGES["invalid_request"])
-        ).otherwise(problem)
-    return problem
+    return body_problem(requests, F.when(
+        ~F.coalesce(F.col("platform") == "x", F.lit(False)), invalid_value(F.lit("platform"))
+    ).when(
+        ~is_account_id(F.col("account_id")), invalid_value(F.lit("account_id"))
+    ))
 
 
 def decide(scored: DataFrame, scorer: Scorer) -> DataFrame:
@@ -118,13 +91,14 @@ def assess_accounts(accounts: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def assess(requests: DataFrame, accounts: DataFrame | None, scorer: Scorer | None,
-           id_width: int = 32, envelope=ENVELOPE) -> DataFrame:
+           id_width: int = 32, envelope=ENVELOPE, store_ready: bool = True) -> DataFrame:
     """One response per request.
 
     Each requested account is scored and explained once, however often it is asked
     for, and the result is attached to its requests.  ``accounts`` holds one row per
     id; ``None`` for accounts or scorer answers valid requests with the matching
-    error.  ``request_id`` identifies a request.
+    error, and so does a store that cannot record scores.  ``request_id`` identifies a
+    request.
     """
     check_request_columns(requests, envelope)
     asked = requests.withColumn("_problem", request_problem(requests))
@@ -150,6 +124,10 @@ def assess(requests: DataFrame, accounts: DataFrame | None, scorer: Scorer | Non
     code = F.when(F.col("_a").isNull(), F.lit("account_not_found")).otherwise(
         F.col("_a")["error_code"]
     )
+    if not store_ready:
+        code = F.coalesce(code, F.when(
+            F.col("_a")["status"] != "insufficient_data", F.lit("feedback_store_unavailable")
+        ))
     return _responses(found.withColumn("_code", code), requests, scorer.model_id, id_width)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskweave.constants import FEATURES
 from riskweave.functions.decisions import is_sufficient
 from riskweave.functions.numbers import flag, in_domain, parse_double
-from riskweave.functions.text import present, strip
+from riskweave.functions.text import says, strip
 from riskweave.operators.merge import first_type
 
 # feature or fallback -> (source column, must be > 0)
@@ -50,8 +50,8 @@ def account_features(df: DataFrame, keep: Sequence[str] = ("account_id",)) -> Da
     )
     checked = parsed.withColumns({
         **{out: in_domain(F.col(out), positive) for out, (_, positive) in _NUMBERS.items()},
-        "_said": present(F.col("_username")) + present(F.col("_description"))
-        + present(F.col("_location"), unknown_is_missing=True),
+        "_said": says(F.col("_username")) + says(F.col("_description"))
+        + says(F.col("_location"), unknown_is_missing=True),
     })
 
     image_known = F.col("uses_default_profile_image").isNotNull()

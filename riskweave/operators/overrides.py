@@ -7,20 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.constants import OVERRIDE_STORE_MESSAGE
 from riskweave.functions.decisions import error
 from riskweave.functions.ids import is_assessment_id, is_override_label, is_reason_code
+from riskweave.operators.bodies import (
+    BODY_CHECKS, body_problem, invalid_value, read_bodies,
+)
 from riskweave.operators.lookup import attach, hot_keys, key_demand
 
 
-def override_problem(id_width: int) -> Column:
-    """Message for the first invalid field, else NULL; the body is checked first."""
-    return (
-        F.when(~is_override_label(F.col("override_label")),
-               F.lit("Invalid value for override_label."))
-        .when(~is_reason_code(F.col("reason_code")), F.lit("Invalid value for reason_code."))
-        .when(~is_assessment_id(F.col("assessment_id"), id_width),
-              F.lit("Invalid assessment ID."))
-    )
+OVERRIDE_FIELDS = ("override_label", "reason_code")
+
+
+def read_override_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Override requests out of JSON bodies; the assessment id is a column beside them."""
+    return read_bodies(requests, OVERRIDE_FIELDS, body)
+
+
+def override_problem(requests: DataFrame, id_width: int) -> Column:
+    """Message for the first fault, else NULL; the body is checked before the id."""
+    in_body = body_problem(requests, F.when(
+        ~is_override_label(F.col("override_label")), invalid_value(F.lit("override_label"))
+    ).when(
+        ~is_reason_code(F.col("reason_code")), invalid_value(F.lit("reason_code"))
+    ))
+    return F.coalesce(in_body, F.when(
+        ~is_assessment_id(F.col("assessment_id"), id_width), F.lit("Invalid assessment ID.")
+    ))
 
 
 def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: DataFrame,
@@ -32,7 +45,7 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
     out once per id and attached to its requests.
     """
     asked = requests.withColumns({
-        "_problem": override_problem(id_width),
+        "_problem": override_problem(requests, id_width),
         "_arrival": F.struct(*arrival),
     }).withColumn("_row", F.xxhash64("_arrival"))
     valid = F.col("_problem").isNull()
@@ -59,8 +72,23 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
         .when(F.col("_state").isNull(), F.lit("assessment_not_found"))
         .when(~wins, F.lit("override_already_recorded"))
     )
-    return found.withColumn("_code", code).select(
-        *requests.columns,
+    return _outcomes(found.withColumn("_code", code), requests)
+
+
+def refuse_overrides(requests: DataFrame, id_width: int = 32) -> DataFrame:
+    """Outcomes while the store is unavailable: valid requests cannot be recorded."""
+    problem = override_problem(requests, id_width)
+    asked = requests.withColumn("_problem", problem).withColumn(
+        "_code", F.when(F.col("_problem").isNotNull(), F.lit("invalid_request"))
+        .otherwise(F.lit("feedback_store_unavailable"))
+    )
+    message = F.coalesce("_problem", F.lit(OVERRIDE_STORE_MESSAGE))
+    return _outcomes(asked.withColumn("_problem", message), requests)
+
+
+def _outcomes(decided: DataFrame, requests: DataFrame) -> DataFrame:
+    return decided.select(
+        *[c for c in requests.columns if c not in BODY_CHECKS],
         F.when(F.col("_code").isNull(), F.lit("recorded")).alias("outcome"),
         error(F.col("_code"), F.col("_problem")).alias("error"),
     )

@@ -41,18 +41,19 @@ def candidate_pairs() -> list[tuple[float, float]]:
     return pairs
 
 
-def _literal_rows(spark: SparkSession, fields: list[str], rows: list[tuple]) -> DataFrame:
-    """A small constant table that lives inside the plan."""
-    structs = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def _grid(spark: SparkSession, index: dict[float, int]) -> DataFrame:
+    """The candidate pairs and their edge numbers as a constant table."""
+    rows = ", ".join(
+        f"({m!r}D, {h!r}D, {index[m]}, {index[h]})" for m, h in candidate_pairs()
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(medium, high, medium_cell, high_cell)")
 
 
 def grid_costs(scored: DataFrame, label: str = "label",
                probability: str = "probability") -> DataFrame:
     """One row per candidate pair: mean cost, recall at medium and scored rows."""
     spark = scored.sparkSession
-    pairs = candidate_pairs()
-    edges = sorted({e for pair in pairs for e in pair})
+    edges = sorted({edge for pair in candidate_pairs() for edge in pair})
     index = {e: i + 1 for i, e in enumerate(edges)}
 
     # cell k holds edge[k] <= p < edge[k+1]: exactly the comparisons of a band rule
@@ -84,10 +85,7 @@ def grid_costs(scored: DataFrame, label: str = "label",
             F.sum("negatives").over(everything).alias("negatives"),
         )
     )
-    grid = _literal_rows(
-        spark, ["medium", "high", "medium_cell", "high_cell"],
-        [(m, h, index[m], index[h]) for m, h in pairs],
-    )
+    grid = _grid(spark, index)
     at_medium = below.withColumnsRenamed({
         "cell": "medium_cell", "positives_below": "positives_low",
         "negatives_below": "negatives_low",

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.assess import ENVELOPE, assess, to_record
 from riskweave.operators.models import Scorer
-from riskweave.operators.overrides import accepted_overrides, decide_overrides
+from riskweave.operators.overrides import (
+    accepted_overrides, decide_overrides, refuse_overrides,
+)
 from riskweave.sources.store import FeedbackStore
 
 
@@ -19,13 +21,16 @@ def assessment_batch(requests: DataFrame, accounts: DataFrame | None, scorer: Sc
     """Answer a batch, write the answers, record the scored ones.
 
     The answers are written first and read back, so recording does not score again.
-    Writing the same batch again replaces it.
+    Writing the same batch again replaces it.  A store that is not there turns scores
+    into errors: nothing is answered that could not be recorded.
     """
     spark = requests.sparkSession
     path = f"{responses.rstrip('/')}/batch={batch}"
-    assess(requests, accounts, scorer, id_width, envelope).write.mode("overwrite").parquet(path)
+    ready = store.ready
+    answers = assess(requests, accounts, scorer, id_width, envelope, store_ready=ready)
+    answers.write.mode("overwrite").parquet(path)
     answered = spark.read.parquet(path)
-    if scorer is not None and accounts is not None:
+    if ready and scorer is not None and accounts is not None:
         store.append_assessments(to_record(answered, scorer.model_id, created_at), batch)
     return answered
 
@@ -36,6 +41,9 @@ def override_batch(requests: DataFrame, store: FeedbackStore, outcomes: str, bat
     """Decide a batch of overrides, write the outcomes, record the accepted ones."""
     spark = requests.sparkSession
     path = f"{outcomes.rstrip('/')}/batch={batch}"
+    if not store.ready:
+        refuse_overrides(requests, id_width).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     decided = decide_overrides(
         requests, store.assessments(), store.overrides_before(batch), arrival, id_width
     )

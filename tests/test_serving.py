@@ -9,7 +9,7 @@ from riskweave.constants import (
 from riskweave.operators import lookup
 from riskweave.operators.assess import assess, read_request_bodies, request_problem, to_record
 from riskweave.operators.models import Scorer
-from riskweave.operators.overrides import decide_overrides
+from riskweave.operators.overrides import decide_overrides, read_override_bodies
 from riskweave.operators.reports import list_accounts, listing_response, readiness_report
 from riskweave.operators.thresholds import Thresholds
 from riskweave.plans.serving import assessment_batch, override_batch
@@ -268,6 +268,42 @@ def test_store_is_created_once_and_must_exist(spark, store, tmp_path):
         absent.assessments()
 
 
+def test_without_a_store_nothing_is_scored_or_recorded(spark, accounts, tmp_path):
+    absent = FeedbackStore(spark, str(tmp_path / "absent"))
+    requests = ask(spark, ("x", "100"), ("x", "200"), ("y", "1"))
+    done = assessment_batch(requests, accounts, FixedScorer(), absent,
+                            str(tmp_path / "responses"), "b1")
+    got = [(r.status, r.error and r.error.code) for r in done.orderBy("request_id").collect()]
+    assert got == [(None, "feedback_store_unavailable"), ("insufficient_data", None),
+                   (None, "invalid_request")]
+    asked = override(spark, ("asmt_" + "0" * 32, "uncertain", "ok"), ("x", "uncertain", "ok"))
+    done = override_batch(asked, absent, str(tmp_path / "out"), "o1", ["seq"])
+    rows = done.orderBy("seq").collect()
+    assert [r.error.code for r in rows] == ["feedback_store_unavailable", "invalid_request"]
+    assert rows[0].error.message == "The override could not be recorded safely."
+    assert not absent.ready
+
+
+def test_override_bodies(spark):
+    scored = "asmt_" + "0" * 32
+    bodies = [
+        '{"override_label": "uncertain", "reason_code": "ok", "note": 1}',
+        '{"override_label": "uncertain", "reason_code": 5}',
+        "nothing",
+        '{"override_label": "uncertain", "reason_code": "ok"}',
+    ]
+    df = spark.createDataFrame([(scored, b, i) for i, b in enumerate(bodies)],
+                               "assessment_id string, body string, seq int")
+    known = spark.createDataFrame([(scored,)], "assessment_id string")
+    decided = decide_overrides(read_override_bodies(df), known, known.limit(0), ["seq"])
+    rows = decided.orderBy("seq").collect()
+    assert [r.error and r.error.message for r in rows] == [
+        "Invalid value for note.", "Invalid value for reason_code.",
+        "The request is invalid.", None,
+    ]
+    assert rows[3].outcome == "recorded" and "extra_fields" not in decided.columns
+
+
 def test_hot_assessment(spark, monkeypatch):
     from riskweave.operators import overrides as module
 
