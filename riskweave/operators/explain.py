@@ -108,24 +108,28 @@ def batch_explainer():
     """
 
     def contributions(x, tables):
-        out = np.zeros(x.shape)
-        columns = np.asfortranarray(x)
+        n, width = x.shape
+        out = np.zeros((width, n))
+        columns = np.ascontiguousarray(x.T)
+        picked = np.empty(n)
         for features, above, upto, shares in tables:
-            pattern = np.zeros(len(x), dtype=np.intp)
+            pattern = np.zeros(n, dtype=np.intp)
             for bit, f in enumerate(features):
-                value = columns[:, f]
-                inside = (value > above[bit]) & (value <= upto[bit])
-                pattern |= inside.astype(np.intp) << bit
+                inside = columns[f] <= upto[bit]
+                if above[bit] > -np.inf:
+                    inside &= columns[f] > above[bit]
+                pattern += inside * (1 << bit)
             for j, f in enumerate(features):
-                out[:, f] += shares[pattern, j]
-        return out
+                np.take(shares[j], pattern, out=picked, mode="clip")
+                out[f] += picked
+        return out.T
 
     return contributions
 
 
 def plain(tables: Sequence[LeafTable]) -> list[tuple]:
-    """Leaf tables as tuples of arrays, free of this package's classes."""
-    return [(t.features, t.above, t.upto, t.shares) for t in tables]
+    """Leaf tables as tuples of arrays (shares by feature), free of this package's classes."""
+    return [(t.features, t.above, t.upto, np.ascontiguousarray(t.shares.T)) for t in tables]
 
 
 def contributions(x: np.ndarray, tables: Sequence[LeafTable]) -> np.ndarray:
