@@ -439,6 +439,14 @@ ORACLE: dict[str, str] = {
         SELECT split, count(*) AS row_count, count(*) FILTER (label = 1) AS positive_count,
                count(*) FILTER (usable < 6) AS removed_count
         FROM feats GROUP BY split""", "feats"),
+    "written_splits": _with(
+        "SELECT account_id, label, split, source_dataset FROM split_rows", "split_rows"),
+    "demo_listing": _with("""
+        SELECT account_id, source_dataset, nullif(trim(username), '') AS username
+        FROM (SELECT * FROM split_rows WHERE split = 'test'
+              QUALIFY row_number() OVER (PARTITION BY label ORDER BY
+                md5((42 + label)::VARCHAR || ':sample:' || account_id), account_id) <= 50)
+        ORDER BY account_id LIMIT 20""", "split_rows"),
     "demo_accounts": _with("""
         SELECT * EXCLUDE (label, feature_completeness, split, place) FROM split_rows
         WHERE split = 'test'
@@ -518,6 +526,9 @@ ORACLE: dict[str, str] = {
     "recorded_assessments": _with(f"""
         SELECT assessment_id, '{MODEL_ID}' AS model_id, risk_band, status
         FROM answered WHERE status = 'completed'""", "answered"),
+    "repeated_assessments": _with("""
+        SELECT assessment_id, risk_band, status
+        FROM answered WHERE status = 'completed'""", "answered"),
     "override_intake": _with("SELECT * FROM override_decided", "override_decided"),
     "recorded_overrides": _with("""
         SELECT assessment_id, override_label, reason_code
@@ -539,5 +550,6 @@ ORACLE: dict[str, str] = {
             ("train", "validation", "test"))}
         FROM feats, ({_COUNTS}) s GROUP BY ALL""", "feats"),
 }
+ORACLE["csv_features"] = ORACLE["account_features"]
 ORACLE["assess_stream"] = ORACLE["assess_batch"]
 ORACLE["override_stream"] = ORACLE["override_intake"]

@@ -18,7 +18,9 @@ from riskweave.operators import (
 from riskweave.plans import serving, training
 from riskweave.session import stage, stage_path
 from riskweave.sources import profiles, registry
-from riskweave.sources.accounts import check_accounts
+from riskweave.sources.accounts import check_accounts, load_accounts
+from riskweave.sources.labelled import load_sources
+from riskweave.sources.splits import export_csv, read_split, write_demo, write_splits
 from riskweave.sources.store import FeedbackStore
 from riskweave.streaming import intake
 
@@ -210,6 +212,28 @@ def demo_accounts(spark, folder):
     return split.demo_accounts(test)
 
 
+def _written(spark, folder) -> str:
+    """Folder with the split files and the demo accounts."""
+    def build() -> str:
+        root = stage_path(spark, "generated")
+        write_splits(split_accounts(spark, folder), f"{root}/splits")
+        test = read_split(spark, f"{root}/splits", "test").drop("split")
+        write_demo(split.demo_accounts(test), f"{root}/demo")
+        return root
+
+    return _once("written", spark, folder, build)
+
+
+def written_splits(spark, folder):
+    rows = read_split(spark, f"{_written(spark, folder)}/splits")
+    return rows.select("account_id", "label", "split", "source_dataset")
+
+
+def demo_listing(spark, folder):
+    demo = load_accounts(spark, f"{_written(spark, folder)}/demo")
+    return reports.list_accounts(demo.accounts)
+
+
 # ---- features and preprocessing ---------------------------------------------
 
 def account_features(spark, folder):
@@ -218,6 +242,16 @@ def account_features(spark, folder):
     return out.withColumn("completeness", F.bround("completeness", 3))
 
 
+def csv_features(spark, folder):
+    """The same features when the sources arrive as delimited text."""
+    root, names = stage_path(spark, "csv"), ["crm", "events"]
+    for name, source in zip(names, profiles.labelled_sources(spark, folder)):
+        export_csv(source.drop(merge.ROW_ORDER), f"{root}/{name}", ordered=False)
+    rows = merge.clean_accounts(merge.union_sources(load_sources(spark, root, names)))
+    out = features.account_features(rows, keep=("account_id", "label"))
+    return out.withColumn("completeness", F.bround("completeness", 3))
+
+
 def feature_completeness(spark, folder):
     rows = features.account_features(profiles.account_table(spark, folder))
     return rows.groupBy("usable").agg(
@@ -362,8 +396,13 @@ def recorded_assessments(spark, folder):
     return assess.to_record(_responses(spark, folder), scorer.model_id).drop("created_at")
 
 
+def _shared_store(spark, folder) -> FeedbackStore:
+    """One store for the queries that only read it."""
+    return _once("store", spark, folder, lambda: _stored_assessments(spark, folder))
+
+
 def _stored_assessments(spark, folder) -> FeedbackStore:
-    """A store holding the assessments of all requests."""
+    """A new store holding the assessments of all requests."""
     root = stage_path(spark, "store")
     store = FeedbackStore(spark, root).initialise()
     serving.assessment_batch(
@@ -374,8 +413,16 @@ def _stored_assessments(spark, folder) -> FeedbackStore:
     return store
 
 
-def override_intake(spark, folder):
+def repeated_assessments(spark, folder):
+    """Records the store refuses when the same requests come in a second batch."""
     store = _stored_assessments(spark, folder)
+    return store.append_assessments(store.assessments(), "again").select(
+        "assessment_id", "risk_band", "status"
+    )
+
+
+def override_intake(spark, folder):
+    store = _shared_store(spark, folder)
     items = profiles.table(spark, folder, "lineitem")
     return _flat_outcomes(overrides.decide_overrides(
         override_requests(items), store.assessments(), store.overrides(), profiles.ARRIVAL
@@ -398,7 +445,7 @@ def list_accounts(spark, folder):
 
 def readiness_report(spark, folder):
     source = check_accounts(accounts(spark, folder))
-    store = _stored_assessments(spark, folder)
+    store = _shared_store(spark, folder)
     scorer = fixed_scorer(spark, folder)
     report = reports.readiness_report(
         source.accounts, scorer is not None, source.ready, store.ready
@@ -517,15 +564,25 @@ def training_cleaning(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        # cleaning and splitting
         normalise_ids, text_fields, union_sources, clean_accounts, cleaning_summary,
         label_conflicts, repeated_ids, stratified_split, split_counts, demo_accounts,
-        account_features, feature_completeness, usable_accounts, prep_parameters,
-        prep_transform, class_weights, fixed_scores, threshold_grid_costs,
-        risk_thresholds, classification_report, roc_auc, risk_bands, confidence,
-        recommendations, top_factors, assess_batch, assess_without_model,
-        parse_requests, recorded_assessments, override_intake, recorded_overrides, list_accounts,
-        readiness_report, assess_stream, override_stream, baseline_scores,
-        boosted_scores, boosted_top_factors, boosted_assess_batch, model_metrics,
-        train_report, training_cleaning,
+        written_splits, demo_listing,
+        # features and preprocessing
+        account_features, csv_features, feature_completeness, usable_accounts,
+        prep_parameters, prep_transform, class_weights,
+        # scores, cut-offs and metrics
+        fixed_scores, threshold_grid_costs, risk_thresholds, classification_report,
+        roc_auc,
+        # decisions, store and reports
+        risk_bands, confidence, recommendations, top_factors, assess_batch,
+        assess_without_model, parse_requests, recorded_assessments,
+        repeated_assessments, override_intake, recorded_overrides, list_accounts,
+        readiness_report,
+        # streams
+        assess_stream, override_stream,
+        # fitted models
+        baseline_scores, boosted_scores, boosted_top_factors, boosted_assess_batch,
+        model_metrics, train_report, training_cleaning,
     )
 }

@@ -113,7 +113,7 @@ def assess(requests: DataFrame, accounts: DataFrame | None, scorer: Scorer | Non
             requests, UNKNOWN_MODEL if scorer is None else scorer.model_id, id_width,
         )
 
-    demand = key_demand(asked.where(valid), "account_id")
+    demand = key_demand(asked, "account_id", valid)
     assessed = assess_accounts(
         accounts.join(demand, "account_id", "left_semi"), scorer
     )

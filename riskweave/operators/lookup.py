@@ -16,15 +16,19 @@ HOT_ROWS = 100_000
 HOT_KEYS = 1_000
 
 
-def key_demand(facts: DataFrame, key: str, *extra: Column) -> DataFrame:
-    """One row per wanted key with its ``row_count``, stored for the steps that read it.
+def key_demand(facts: DataFrame, key: str, usable: Column, *extra: Column) -> DataFrame:
+    """One row per key wanted by a ``usable`` row, with its ``row_count``; stored for the
+    steps that read it.
 
-    Folded map-side, so a frequent key is one row per task.  NULL keys want nothing.
+    Folded map-side, so a frequent key is one row per task.  Unusable rows fold into the
+    NULL key, which is dropped on reading: a filter before the aggregate would be pushed
+    down and evaluate the key and the check twice.
     """
-    counted = facts.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("row_count"), *extra
+    counted = (
+        facts.withColumn("_wanted", F.when(usable, F.col(key)))
+        .groupBy(F.col("_wanted").alias(key)).agg(F.count("*").alias("row_count"), *extra)
     )
-    return stage(counted, "demand")
+    return stage(counted, "demand").where(F.col(key).isNotNull())
 
 
 def hot_keys(demand: DataFrame, key: str, min_rows: int = HOT_ROWS,

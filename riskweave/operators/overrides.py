@@ -51,7 +51,7 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
     valid = F.col("_problem").isNull()
 
     demand = key_demand(
-        asked.where(valid), "assessment_id", F.min("_arrival").alias("first_arrival")
+        asked, "assessment_id", valid, F.min("_arrival").alias("first_arrival")
     )
     known = assessments.select("assessment_id")
     taken = overrides.select("assessment_id", F.lit(True).alias("overridden"))

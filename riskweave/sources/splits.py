@@ -30,9 +30,11 @@ def write_demo(demo: DataFrame, path: str) -> None:
     demo.sortWithinPartitions("account_id").write.mode("overwrite").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """Delimited export sorted by id text, quotes doubled."""
+def export_csv(df: DataFrame, path: str, ordered: bool = True) -> None:
+    """Delimited export, quotes doubled and blanks kept; sorted by id text if ``ordered``."""
+    rows = df.orderBy("account_id") if ordered else df
     (
-        df.orderBy("account_id").write.mode("overwrite")
-        .option("header", True).option("escape", '"').csv(path)
+        rows.write.mode("overwrite").option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
     )

@@ -169,7 +169,8 @@ def test_hot_and_hopeless_keys_give_the_same_answers(spark, accounts, monkeypatc
 
 def test_hot_keys_are_ranked_and_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 10 % 4).cast("string").alias("k"))
-    demand = lookup.key_demand(df.union(spark.sql("SELECT CAST(NULL AS STRING)")), "k")
+    rows = df.union(spark.sql("SELECT CAST(NULL AS STRING) UNION ALL SELECT 'x'"))
+    demand = lookup.key_demand(rows, "k", F.col("k") != "x")
     assert {r.k: r.row_count for r in demand.collect()} == {
         "0": 300, "1": 300, "2": 200, "3": 200}
     assert lookup.hot_keys(demand, "k", min_rows=250) == ["0", "1"]
