@@ -21,6 +21,11 @@ def _double(value: float) -> str:
     return f"CAST('{value!r}' AS DOUBLE)"
 
 
+def _log1p(x: str) -> str:
+    # ln(1 + x) alone loses the digits of a small x; this corrects for what 1 + x drops
+    return f"(CASE WHEN 1 + {x} = 1 THEN {x} ELSE {x} * ln(1 + {x}) / ((1 + {x}) - 1) END)"
+
+
 _SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 _USABLE = " + ".join(f"({f} IS NOT NULL)::INT" for f in FEATURES)
 _FEATURE_LIST = ", ".join(FEATURES)
@@ -195,7 +200,8 @@ FROM ({_features("split_rows", "account_id, label, split")})
 
 CTES["prep"] = " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, max(m) AS fill,
-       avg(ln(1 + coalesce(x, m))) AS mean, stddev_pop(ln(1 + coalesce(x, m))) AS std
+       avg({_log1p("coalesce(x, m)")}) AS mean,
+       stddev_pop({_log1p("coalesce(x, m)")}) AS std
 FROM (SELECT {f} AS x, (SELECT coalesce(median({f}), 0) FROM feats
                         WHERE split = 'train' AND usable >= 6) AS m
       FROM feats WHERE split = 'train' AND usable >= 6)"""
@@ -217,7 +223,7 @@ CTES["par"] = "SELECT " + ", ".join(
 
 def _transform(source: str, extra: str) -> str:
     numeric = [
-        f"(ln(1 + coalesce(s.{f}, {f}_fill)) - {f}_mean)"
+        f"({_log1p(f'coalesce(s.{f}, {f}_fill)')} - {f}_mean)"
         f" / (CASE WHEN {f}_std = 0 THEN 1 ELSE {f}_std END) AS {f}"
         for f in NUMERIC_FEATURES
     ]
