@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import exact_dedup, simhash_join
+from riskweave.llm import exact_dedup, positional_index, simhash_join
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,16 +18,67 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         "component_id")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return positional_index.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE = {
+    # n_near is left to the tests: its rarest terms come from counts over the whole corpus.
+    "op3_decontamination": r"""
+        WITH
+        lower_docs AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ),
+        lower_items AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark
+        ),
+        windows AS (
+            SELECT DISTINCT item_id, list_slice(words, i, i + 9) AS words
+            FROM (SELECT *, unnest(range(1, greatest(2, len(words) - 8))) AS i
+                  FROM lower_items WHERE len(words) > 0)
+        ),
+        spots AS (
+            SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i, n
+            FROM lower_docs, (SELECT DISTINCT len(words) AS n FROM windows)
+        ),
+        found AS (
+            SELECT s.doc_id, s.i, s.n, w.item_id
+            FROM spots s JOIN windows w
+            ON s.i + s.n - 1 <= len(s.words) AND list_slice(s.words, s.i, s.i + s.n - 1) = w.words
+        ),
+        hits AS (
+            SELECT doc_id, count(DISTINCT k) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
+        ),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found)
+            GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM lower_docs d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))
