@@ -11,7 +11,9 @@ state of every prefix stays on a stack, so words with a common beginning work it
   It is extended by the one piece that merges would leave standing beside the piece before it;
   that is known from the two pieces alone, so the pass is as local and as shareable.
 
-Both give the ids that the sentencepiece library gives for the model file.
+BPE ids are those that the sentencepiece library gives for the model file.  Unigram ids have the
+best sum of scores; where the library's 32-bit sums over a whole text round two segmentations
+to one score, it may return the other.
 """
 
 from __future__ import annotations
@@ -260,7 +262,8 @@ def _joined(ids: Iterable[int], table: list[bytes], dummy_prefix: bool) -> str:
 
 def encode_table(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
                  text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, ids``: one row per row of ``docs``, no shuffle.
+    """``doc_id, text_key, ids``: one row per row of ``docs``, no shuffle.  ``text_key`` is the
+    XXH64 of the text, to compare a decoded text with.
 
     Null and empty texts have no ids.  Other columns are ignored; rows that share an id or a
     text are rows of their own.
@@ -276,15 +279,16 @@ def encode_table(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]),
                                            [None, pa.py_buffer(b"".join(packed))])
             lists = pa.ListArray.from_arrays(pa.array(ends), values)
-            ids = table.column("doc_id").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "ids"])
+            same = [table.column(c).combine_chunks() for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*same, lists], names=["doc_id", "text_key", "ids"])
 
-    rows = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    rows = id_and_bytes(docs, id_col, text_col).select(
+        F.col("doc_id").cast("long"), F.xxhash64("body").alias("text_key"), "body")
+    return rows.mapInArrow(run, "doc_id long, text_key long, ids array<int>")
 
 
 def decode_table(encoded: DataFrame, model: PieceModel) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, text`` of ``doc_id, ids``; null ids count as none.
+    """Add ``n_tokens, ids_crc32, text`` to ``doc_id, text_key, ids``; null ids count as none.
 
     ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian 32-bit integers.
     """
@@ -301,9 +305,11 @@ def decode_table(encoded: DataFrame, model: PieceModel) -> DataFrame:
                 counts.append(len(array))
                 sums.append(zlib.crc32(array.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()),
+                [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()),
                  pa.array(sums, pa.int64()), pa.array(texts, pa.string())],
-                names=["doc_id", "n_tokens", "ids_crc32", "text"])
+                names=[*kept, "n_tokens", "ids_crc32", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    kept = ["doc_id", "text_key", "ids"]
+    return encoded.select(*kept).mapInArrow(
+        run, "doc_id long, text_key long, ids array<int>, n_tokens long, ids_crc32 long, "
+        "text string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskweave.llm.common import id_and_bytes, regroup
+from riskweave.llm.common import id_and_bytes, regroup, text_bytes
 from riskweave.session import stage
 
 WINDOW_WORDS = 10
@@ -40,7 +40,7 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 INDEX_SCHEMA = ("block long, term string, n long, positions binary, doc_ids array<long>, "
-                "lengths array<long>")
+                "text_keys array<long>, lengths array<long>")
 _PIECE = 1 << 20
 
 
@@ -103,15 +103,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Postings of every word of every text, stored in the shared folder.
 
-    Rows ``block, term, n, positions`` and, with a null term, ``block, doc_ids, lengths``.
+    Rows ``block, term, n, positions`` and, with a null term, ``block, doc_ids, text_keys,
+    lengths``; a text's key is its XXH64.
     Null texts have no words; empty tables give an empty index.  A block holds whole
     documents: as many as fit in ``block_bytes``, or one.
     """
 
+    per_document = ("doc_ids", "text_keys", "lengths")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("term", pa.string()), ("n", pa.int64()),
-                            ("positions", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
-                            ("lengths", pa.list_(pa.int64()))])
+                            ("positions", pa.binary()),
+                            *((c, pa.list_(pa.int64())) for c in per_document)])
         block = TaskContext.get().partitionId() << 32
         for table in regroup(batches, block_bytes):
             terms, ids, places, lengths = _block(table.column("body").to_pylist())
@@ -129,26 +132,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array(count.astype(np.int64)),
                 pa.BinaryArray.from_buffers(pa.binary(), n, [
                     None, pa.py_buffer(at[begin].astype(np.int32)), pa.py_buffer(packed)]),
-                pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
+                *(pa.nulls(n, pa.list_(pa.int64())) for _ in per_document),
             ], schema=schema)
             yield pa.RecordBatch.from_arrays([
                 pa.array([block]), pa.nulls(1, pa.string()), pa.array([len(lengths)], pa.int64()),
                 pa.nulls(1, pa.binary()),
-                pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                *(pa.array([values], pa.list_(pa.int64())) for values in (
+                    table.column("doc_id").to_pylist(), table.column("text_key").to_pylist(),
+                    lengths.tolist())),
             ], schema=schema)
             block += 1
 
-    rows = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = id_and_bytes(docs, id_col, text_col).select(
+        F.col("doc_id").cast("long"), F.xxhash64("body").alias("text_key"), "body")
     return stage(rows.mapInArrow(run, INDEX_SCHEMA), "postings")
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
-    """``block, place, doc_id, n_words``: one row per indexed row."""
-    rows = index.where("term IS NULL").select(
-        "block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("place", "doc"))
-    return rows.select("block", "place", F.col("doc.doc_ids").alias("doc_id"),
-                       F.col("doc.lengths").alias("n_words"))
+    """``block, place, doc_id, text_key, n_words``: one row per indexed row."""
+    rows = index.where("term IS NULL").select("block", F.posexplode(
+        F.arrays_zip("doc_ids", "text_keys", "lengths")).alias("place", "doc"))
+    return rows.select(
+        "block", "place", F.col("doc.doc_ids").alias("doc_id"),
+        F.col("doc.text_keys").alias("text_key"), F.col("doc.lengths").alias("n_words"))
 
 
 def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -387,3 +393,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
         F.coalesce("n_near", zero).alias("n_near"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
+                      text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a test window, all columns as they were."""
+    index = build_index(docs, id_col, text_col)
+    found = find_matches(index, items, item_id_col, item_text_col, window_words, near_terms=0)
+    hit = indexed_documents(index).join(
+        found.where("kind = 'phrase'").select("block", "place").distinct(), ["block", "place"],
+        "left_semi")
+    hit = stage(hit.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"))
+                .distinct(), "hit")
+    return docs.join(
+        hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id"))
+        & (F.xxhash64(text_bytes(text_col)) == F.col("_hit_key")), "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import exact_dedup, positional_index, simhash_join
+from riskweave.llm import exact_dedup, pieces, positional_index, simhash_join, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,14 +24,31 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text as a checksum, and whether decoding them gives the text back."""
+    model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    read = pieces.decode_table(pieces.encode_table(table(spark, folder, "documents"), model), model)
+    return read.select(
+        "doc_id", "n_tokens", "ids_crc32",
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+        (F.xxhash64(F.col("text").cast("binary")) == F.col("text_key")).alias("round_trip"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, folder, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
