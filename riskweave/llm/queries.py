@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import exact_dedup, pieces, positional_index, simhash_join, toxicity
+from riskweave.llm import (
+    exact_dedup, pieces, positional_index, simhash_join, token_files, toxicity,
+)
+from riskweave.session import stage_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +22,13 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         "component_id")
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = stage_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path,
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path)
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return positional_index.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
@@ -45,6 +55,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
