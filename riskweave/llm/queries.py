@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
-    exact_dedup, pieces, positional_index, simhash_join, token_files, toxicity,
+    exact_dedup, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage_path
 
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, folder, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text as a checksum, and whether decoding them gives the text back."""
     model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
