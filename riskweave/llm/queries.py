@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
-    chat_events, exact_dedup, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
+    backoff, chat_events, exact_dedup, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage, stage_path
 
@@ -62,6 +62,10 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_events.read_back(stage(chat_events.fold(events), "formatted"))
 
 
+def op9_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(
         table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_backoff_scores": op9_backoff_scores,
     "op10_toxicity": op10_toxicity,
 }
 
