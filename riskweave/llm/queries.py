@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
-    backoff, chat_events, exact_dedup, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
+    backoff, chat_events, exact_dedup, license_scan, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage, stage_path
 
@@ -38,6 +38,13 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, folder, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_blocks", F.array_join("licenses", ",").alias("licenses"),
+                        F.array_join("modified", ",").alias("modified"),
+                        F.to_json("notices").alias("notices"))
+
+
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text as a checksum, and whether decoding them gives the text back."""
     model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
@@ -76,6 +83,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
     "op4_personal_data": op4_personal_data,
+    "op5_license_scan": op5_license_scan,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
