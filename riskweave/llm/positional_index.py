@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskweave.llm.common import id_and_bytes, regroup, text_bytes
+from riskweave.llm.common import free_name, id_and_bytes, regroup, text_bytes
 from riskweave.session import stage
 
 WINDOW_WORDS = 10
@@ -404,8 +404,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     hit = indexed_documents(index).join(
         found.where("kind = 'phrase'").select("block", "place").distinct(), ["block", "place"],
         "left_semi")
-    hit = stage(hit.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"))
-                .distinct(), "hit")
+    ident, key = (free_name(docs.columns, n) for n in ("_hit_id", "_hit_key"))
+    hit = stage(hit.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct(),
+                "hit")
     return docs.join(
-        hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id"))
-        & (F.xxhash64(text_bytes(text_col)) == F.col("_hit_key")), "left_anti")
+        hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(ident))
+        & (F.xxhash64(text_bytes(text_col)) == F.col(key)), "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import id_and_bytes, slices, text_bytes
+from riskweave.llm.common import free_name, id_and_bytes, slices, text_bytes
 from riskweave.llm.components import connected
 from riskweave.session import stage
 
@@ -113,8 +113,8 @@ def _children(rows: DataFrame, k: int) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT_BITS)
                       if m.bit_count() <= k])
     step = F.least(F.lit(SPLIT_BITS), F.lit(64) - F.col("depth"))
-    own = F.shiftrightunsigned("bits", (F.lit(64) - F.col("depth") - step)).bitwiseAND(
-        F.expr(f"shiftleft(1L, least({SPLIT_BITS}, 64 - depth)) - 1"))
+    own = F.expr(f"shiftrightunsigned(bits, 64 - depth - least({SPLIT_BITS}, 64 - depth)) "
+                 f"& (shiftleft(1L, least({SPLIT_BITS}, 64 - depth)) - 1)")
     spent = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     expanded = (
         rows.select(*PAIR, "side", "bits", step.alias("step"), own.alias("own"),
@@ -341,12 +341,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stage(
         near_components(docs, id_col, text_col, shingle_words, max_distance), "near")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ident, key = (free_name(docs.columns, n) for n in ("_stay_id", "_stay_key"))
     stay = first.groupBy("component_id").agg(
-        F.min("text_key").alias("_stay_key"), F.count("*").alias("_rows"))
-    stay = stage(stay.withColumnRenamed("component_id", "_stay_id"), "stay")
+        F.min("text_key").alias(key), F.count("*").alias("n_rows"))
+    stay = stage(stay.withColumnRenamed("component_id", ident), "stay")
     kept = docs.join(
-        stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stay_id"))
-        & (F.xxhash64(text_bytes(text_col)) == F.col("_stay_key")), "left_semi")
-    if stay.where("_rows > 1").isEmpty():
+        stay.select(ident, key), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(ident))
+        & (F.xxhash64(text_bytes(text_col)) == F.col(key)), "left_semi")
+    if stay.where("n_rows > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])
