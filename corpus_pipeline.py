@@ -37,7 +37,7 @@ def drop_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, ids_crc32, text``: piece ids and the text they decode to."""
     model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.decode_table(pieces.encode_table(docs, model), model).drop("text_key")
+    return pieces.encode_and_decode(docs, model).drop("text_key")
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a forward pass that words share.
 
-A text is cut into marked words (``▁word``; a run of marks stays with the word after it).  The
-distinct words of a block of documents are sorted, which lists a trie depth first; the forward
+A text is cut into marked words (``▁word``; a run of marks stays with the word after it), and
+these between letters and signs that no piece joins.  The distinct parts of a block of documents are sorted, which lists a trie depth first; the forward
 state of every prefix stays on a stack, so words with a common beginning work it out once.
 
 * Unigram models: the state is the best score of the prefix and where its last piece begins
@@ -18,7 +18,10 @@ to one score, it may return the other.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -38,7 +41,10 @@ UNKNOWN_TEXT = " ⁇ "
 BLOCK_BYTES = 8 << 20
 # Words and pairs of pieces that a task remembers.
 MAX_WORDS = 400_000
-MAX_PAIRS = 2_000_000
+# Words that are learned at a time.
+MAX_FRESH = 100_000
+_WORDS_AT_HAND = 200_000
+MAX_PAIRS = 1_000_000
 
 
 @dataclass
@@ -52,11 +58,22 @@ class PieceModel:
     unknown_id: int
     dummy_prefix: bool
     texts: list[bytes | None]
-    separable: bool
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.score), default=1)
+    def __post_init__(self):
+        joined: set[str] = set()
+        for piece in self.score:
+            joined.update(map("".join, zip(piece, piece[1:])))
+        # no piece goes on into the next marked word
+        self.separable = not any(j[1] == MARK != j[0] for j in joined)
+        # characters that no piece has beside a letter or a mark: parts end there
+        single = [c for c in self.score if len(c) == 1]
+        letters = {c for c in single if c.isalpha() or c == MARK}
+        signs = {c for c in [*single, "\n", "\t"] if not c.isalnum() and c != MARK}
+        signs -= {j[0] for j in joined if j[1] in letters} | {
+            j[1] for j in joined if j[0] in letters}
+        one, other = ("[" + "".join(map(re.escape, sorted(x))) + "]" for x in (letters, signs))
+        self.border = re.compile(
+            f"(?<={one})(?={other})|(?<={other})(?={one})" if letters and signs else "(?!)")
 
 
 def load_model(path: str) -> PieceModel:
@@ -96,26 +113,53 @@ def parse_model(data: bytes, proto) -> PieceModel:
         model.trainer_spec.model_type, score, id_of,
         tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else (), unknown,
         rules.add_dummy_prefix, texts,
-        not any(MARK in p.lstrip(MARK) for p in score),
     )
 
 
 # ---- encoding -----------------------------------------------------------------
 
 class WordEncoder:
-    """Ids of marked words; shares the forward pass among sorted words."""
+    """Ids of marked words; shares the forward pass among sorted words.
+
+    An automaton over the pieces says, character by character, which pieces end there; it is
+    made as far as words need it.  The stacks hold, per prefix of the word in hand, the
+    automaton's state, the last piece and where it begins; for unigram models, the best score.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.longest = model.longest
         self.worst = min(model.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.unigram = model.kind == UNIGRAM
+        # beginnings of pieces are the states
+        self.beginnings = {p[:n] for p in model.score for n in range(1, len(p) + 1)}
+        self.names, self.number = [""], {"": 0}
+        self.moves: dict[int, tuple] = {}
+        # whether two neighbouring pieces, or one alone, are what merging leaves of their text
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[str, bool] = {}
-        self.extend = self._extend_unigram if model.kind == UNIGRAM else self._extend_bpe
+
+    def _move(self, state: int, char: str) -> tuple:
+        """(next state, pieces that end with the character as (length, id, score), the longest
+        first).  A character that is no piece is one whose id is its code point beyond all ids."""
+        model, text = self.model, self.names[state] + char
+        while text and text not in self.beginnings:
+            text = text[1:]
+        if text not in self.number:
+            self.number[text] = len(self.names)
+            self.names.append(text)
+        ends = [(len(p), model.id_of[p], model.score[p])
+                for p in (text[i:] for i in range(len(text))) if p in model.score]
+        if char not in model.score:
+            ends.append((1, len(model.texts) + ord(char), self.worst))
+        self.moves[state << 21 | ord(char)] = out = (self.number[text], tuple(ends))
+        return out
 
     def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) for each word; sorted words share most."""
-        before, begins, scores = "", [0], [0.0]
+        before, states, begins, last, scores = "", [0], [0], [0], [0.0]
+        stacks = (states, begins, last, scores)
+        extend = self._extend_unigram if self.unigram else self._extend_bpe
+        size = len(self.model.texts)
         for word in words:
             shared, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
@@ -123,89 +167,92 @@ class WordEncoder:
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del begins[shared + 1:], scores[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                self.extend(word, end, begins, scores)
-            yield word, self._ids(word, begins)
+            for stack in stacks:
+                del stack[shared + 1:]
+            extend(word, shared, *stacks)
+            # follow the last pieces back from the word's end
+            ids, end = [], len(word)
+            while end:
+                ids.append(last[end])
+                end = begins[end]
+            ids.reverse()
+            yield word, self._spelt(ids) if ids and max(ids) >= size else ids
             before = word
 
-    def _ids(self, word: str, begins: list[int]) -> list[int]:
-        """Follow the last pieces back from the word's end."""
-        pieces, end = [], len(word)
-        while end:
-            pieces.append(word[begins[end]:end])
-            end = begins[end]
-        out: list[int] = []
-        id_of, model = self.model.id_of, self.model
-        fresh = True
-        for piece in reversed(pieces):
-            at = id_of.get(piece)
-            if at is not None:
-                out.append(at)
+    def _spelt(self, ids: list[int]) -> list[int]:
+        """Characters that are no piece become their bytes, or one unknown id a run."""
+        out, model, size, fresh = [], self.model, len(self.model.texts), True
+        for i in ids:
+            if i < size:
+                out.append(i)
                 fresh = True
             elif model.byte_ids:
-                out.extend(model.byte_ids[b] for b in piece.encode())
-            elif fresh:  # neighbouring unknown characters are one unknown id
+                out.extend(model.byte_ids[b] for b in chr(i - size).encode())
+            elif fresh:
                 out.append(model.unknown_id)
                 fresh = False
         return out
 
-    def _extend_unigram(self, word, end, begins, scores) -> None:
-        best, begin, get = None, end - 1, self.model.score.get
-        for start in range(max(0, end - self.longest), end):
-            gain = get(word[start:end])
-            if gain is None:
-                if start < end - 1:
-                    continue
-                gain = self.worst
-            if best is None or scores[start] + gain > best:
-                best, begin = scores[start] + gain, start
-        begins.append(begin)
-        scores.append(best)
-
-    def _extend_bpe(self, word, end, begins, scores) -> None:
-        vocabulary, pairs = self.model.score, self.pairs
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in vocabulary and start < end - 1:
-                continue
-            if start:
-                key = (word[begins[start]:start], piece)
-                stands = pairs.get(key)
-                if stands is None:
-                    stands = self._stands(key)
+    def _extend_unigram(self, word, shared, states, begins, last, scores) -> None:
+        moves, state = self.moves, states[-1]
+        for end, char in enumerate(word[shared:], shared + 1):
+            state, ends = moves.get(state << 21 | ord(char)) or self._move(state, char)
+            best = None
+            for length, piece, gain in ends:
+                score = scores[end - length] + gain
+                if best is None or score > best:
+                    best, begin, chosen = score, end - length, piece
+            states.append(state)
+            begins.append(begin)
+            last.append(chosen)
+            scores.append(best)
+
+    def _extend_bpe(self, word, shared, states, begins, last, scores) -> None:
+        moves, pairs, state = self.moves, self.pairs, states[-1]
+        for end, char in enumerate(word[shared:], shared + 1):
+            state, ends = moves.get(state << 21 | ord(char)) or self._move(state, char)
+            for length, piece, _ in ends:
+                start = end - length
+                if start:
+                    stands = pairs.get(last[start] << 21 | piece)
+                    if stands is None:
+                        stands = self._stands(last[start] << 21 | piece,
+                                              word[begins[start]:start], word[start:end])
+                else:
+                    stands = self.whole.get(word[:end])
+                    if stands is None:
+                        stands = self._merge(word[:end]) == [word[:end]]
+                        self.whole[word[:end]] = stands
+                if stands:
+                    break
             else:
-                stands = self.whole.get(piece)
-                if stands is None:
-                    stands = self.whole[piece] = self._merge(piece) == [piece]
-            if stands:
-                begins.append(start)
-                return
-        raise ValueError(f"No encoding of {word[:end]!r}: the model is not a BPE model")
-
-    def _stands(self, key: tuple[str, str]) -> bool:
+                raise ValueError(f"No encoding of {word[:end]!r}: this is no BPE model")
+            states.append(state)
+            begins.append(start)
+            last.append(piece)
+
+    def _stands(self, key: int, left: str, right: str) -> bool:
         """Whether merging the two pieces' text yields just these two."""
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        left, right = key
-        self.pairs[key] = out = (
-            left + right not in self.model.score or len(left) + len(right) > 2
-        ) and self._merge(left + right) == [left, right]
+        self.pairs[key] = out = self._merge(left + right) == [left, right]
         return out
 
     def _merge(self, text: str) -> list[str]:
         """Merges in the order of their scores, the leftmost first."""
-        score, parts = self.model.score, list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        get, parts = self.model.score.get, list(text)
+        found = [get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best = max((s for s in found if s is not None), default=None)
+            if best is None:
+                return parts
+            at = found.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del found[at]
+            if at:
+                found[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = get(parts[at] + parts[at + 1])
 
 
 def marked_words(text: str, model: PieceModel) -> list[str]:
@@ -233,22 +280,76 @@ def marked_words(text: str, model: PieceModel) -> list[str]:
     return words
 
 
-def encode_block(texts: list[str], encoder: WordEncoder, known: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text as 32-bit integers; ``known`` remembers words from block to block."""
-    split = [marked_words(t, encoder.model) for t in texts]
-    if len(known) > MAX_WORDS:
-        known.clear()
-    unseen = {w for words in split for w in words} - known.keys()
-    for word, ids in encoder.encode(sorted(unseen)):
-        known[word] = np.array(ids, np.int32).tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+def parts_of(word: str, model: PieceModel) -> list[str]:
+    """The word cut between letters and signs that no piece has side by side."""
+    return model.border.split(word)
+
+
+class Lexicon(dict):
+    """Numbers words as they are met, and keeps the ids of each word once it has been encoded."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+        self.forget()
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.ids = np.empty(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def numbers(self, text: str) -> array:
+        out = array("i", map(self.__getitem__, marked_words(text, self.encoder.model)))
+        if len(self.fresh) > MAX_FRESH:
+            self.learn()
+        return out
+
+    def learn(self) -> None:
+        """Encode the words met since the last time."""
+        model, fresh = self.encoder.model, self.fresh
+        cut = {w: parts_of(w, model) for w in fresh if not w[1:].isalpha()}
+        distinct = {w for w in fresh if w not in cut}
+        distinct.update(p for parts in cut.values() for p in parts)
+        found = dict(self.encoder.encode(sorted(distinct)))
+        ids, sizes = [], []
+        for word in fresh:
+            before = len(ids)
+            for part in cut.get(word) or (word,):
+                ids += found[part]
+            sizes.append(len(ids) - before)
+        self.ids = np.concatenate((self.ids, np.array(ids, np.int32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)))
+        self.fresh = []
+
+    def ids_of(self, texts: list[array]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as word numbers, and where each text's begin (and the end)."""
+        words = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(t, np.int32)
+                                                         for t in texts)]).astype(np.int64)
+        starts, sizes = self.ends[words], self.ends[words + 1] - self.ends[words]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, texts)])]
+        return flat, bounds
+
+
+def encode_block(texts: list[str], lexicon: Lexicon) -> list[list[int]]:
+    """Ids of each text."""
+    numbers = [lexicon.numbers(t) for t in texts]
+    lexicon.learn()
+    flat, bounds = lexicon.ids_of(numbers)
+    return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
 
 
 def decode(ids: Iterable[int], model: PieceModel) -> str:
     """The text of ids; bytes that are no UTF-8 become U+FFFD, control ids nothing."""
-    byte_of = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
-    table = [byte_of.get(i, b"") if t is None else t for i, t in enumerate(model.texts)]
-    return _joined(ids, table, model.dummy_prefix)
+    return _joined(ids, _pieces_as_bytes(model), model.dummy_prefix)
 
 
 def _joined(ids: Iterable[int], table: list[bytes], dummy_prefix: bool) -> str:
@@ -260,6 +361,66 @@ def _joined(ids: Iterable[int], table: list[bytes], dummy_prefix: bool) -> str:
 
 # ---- jobs ---------------------------------------------------------------------
 
+Block = tuple[pa.Table, np.ndarray, np.ndarray]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: PieceModel,
+             block_bytes: int) -> Iterator[Block]:
+    """Some rows, all ids of their texts, and where each text's begin.
+
+    The words of a whole block are learned at a time, so that many share their beginnings; ids
+    are then laid out for a few rows at a time.
+    """
+    lexicon = Lexicon(WordEncoder(model))
+    # words and ids make no cycles, but the collector would walk all of them again and again
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        for table in regroup(batches, block_bytes):
+            if len(lexicon) > MAX_WORDS:
+                lexicon.forget()
+            numbers = [lexicon.numbers(b.as_py().decode()) for b in table.column("body")]
+            lexicon.learn()
+            start = 0
+            while start < len(numbers):
+                end, words = start, 0
+                while end < len(numbers) and (end == start or words < _WORDS_AT_HAND):
+                    words += len(numbers[end])
+                    end += 1
+                yield table.slice(start, end - start), *lexicon.ids_of(numbers[start:end])
+                start = end
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _id_lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_bytes(docs, id_col, text_col).select(
+        F.col("doc_id").cast("long"), F.xxhash64("body").alias("text_key"), "body")
+
+
+def _read(lists: Iterable[np.ndarray], table: list[bytes], dummy_prefix: bool) -> list[pa.Array]:
+    """``n_tokens, ids_crc32, text`` of ids."""
+    texts, counts, sums = [], [], []
+    for ids in lists:
+        texts.append(_joined(ids.tolist(), table, dummy_prefix))
+        counts.append(len(ids))
+        sums.append(zlib.crc32(ids.astype("<i4").tobytes()))
+    return [pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(texts, pa.string())]
+
+
+def _pieces_as_bytes(model: PieceModel) -> list[bytes]:
+    byte_of = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
+    return [byte_of.get(i, b"") if t is None else t for i, t in enumerate(model.texts)]
+
+
+READ = "n_tokens long, ids_crc32 long, text string"
+
+
 def encode_table(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
                  text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, text_key, ids``: one row per row of ``docs``, no shuffle.  ``text_key`` is the
@@ -270,21 +431,13 @@ def encode_table(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = WordEncoder(model), {}
-        for table in regroup(batches, block_bytes):
-            texts = [b.decode() for b in table.column("body").to_pylist()]
-            packed = encode_block(texts, encoder, known)
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]),
-                                           [None, pa.py_buffer(b"".join(packed))])
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
-            same = [table.column(c).combine_chunks() for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([*same, lists], names=["doc_id", "text_key", "ids"])
-
-    rows = id_and_bytes(docs, id_col, text_col).select(
-        F.col("doc_id").cast("long"), F.xxhash64("body").alias("text_key"), "body")
-    return rows.mapInArrow(run, "doc_id long, text_key long, ids array<int>")
+        for rows, ids, bounds in _encoded(batches, model, block_bytes):
+            same = [rows.column(c).combine_chunks() for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*same, _id_lists(ids, bounds)],
+                                             names=["doc_id", "text_key", "ids"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, text_key long, ids array<int>")
 
 
 def decode_table(encoded: DataFrame, model: PieceModel) -> DataFrame:
@@ -292,24 +445,33 @@ def decode_table(encoded: DataFrame, model: PieceModel) -> DataFrame:
 
     ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian 32-bit integers.
     """
+    kept = ["doc_id", "text_key", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_of = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
-        table = [byte_of.get(i, b"") if t is None else t for i, t in enumerate(model.texts)]
+        table = _pieces_as_bytes(model)
         for batch in batches:
-            texts, counts, sums = [], [], []
-            for ids in batch.column("ids"):
-                values = ids.values
-                array = np.empty(0, np.int32) if values is None else values.to_numpy()
-                texts.append(_joined(array.tolist(), table, model.dummy_prefix))
-                counts.append(len(array))
-                sums.append(zlib.crc32(array.astype("<u4").tobytes()))
+            lists = [np.empty(0, np.int32) if ids.values is None else ids.values.to_numpy()
+                     for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()),
-                 pa.array(sums, pa.int64()), pa.array(texts, pa.string())],
+                [*(batch.column(c) for c in kept), *_read(lists, table, model.dummy_prefix)],
                 names=[*kept, "n_tokens", "ids_crc32", "text"])
 
-    kept = ["doc_id", "text_key", "ids"]
     return encoded.select(*kept).mapInArrow(
-        run, "doc_id long, text_key long, ids array<int>, n_tokens long, ids_crc32 long, "
-        "text string")
+        run, f"doc_id long, text_key long, ids array<int>, {READ}")
+
+
+def encode_and_decode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
+                      text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``decode_table(encode_table(docs))`` in one step, so ids do not leave the task between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces_as_bytes(model)
+        for rows, ids, bounds in _encoded(batches, model, block_bytes):
+            same = [rows.column(c).combine_chunks() for c in ("doc_id", "text_key")]
+            texts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*same, _id_lists(ids, bounds), *_read(texts, pieces, model.dummy_prefix)],
+                names=["doc_id", "text_key", "ids", "n_tokens", "ids_crc32", "text"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(
+        run, f"doc_id long, text_key long, ids array<int>, {READ}")

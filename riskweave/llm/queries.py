@@ -48,7 +48,7 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text as a checksum, and whether decoding them gives the text back."""
     model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
-    read = pieces.decode_table(pieces.encode_table(table(spark, folder, "documents"), model), model)
+    read = pieces.encode_and_decode(table(spark, folder, "documents"), model)
     return read.select(
         "doc_id", "n_tokens", "ids_crc32",
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
