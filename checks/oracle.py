@@ -7,20 +7,15 @@ from __future__ import annotations
 
 from checks.fixed_score import COEFFICIENTS, INTERCEPT, MODEL_ID
 from riskweave.constants import (
-    BOOLEAN_FEATURES, ERROR_MESSAGES, FEATURE_LABELS, FEATURES,
+    BOOLEAN_FEATURES, ERROR_MESSAGES, EXPLANATION_WARNING, FEATURE_LABELS, FEATURES,
     INSUFFICIENT_WARNING, NUMERIC_FEATURES, TRIAGE_WARNING, WHITESPACE,
 )
-from riskweave.operators.thresholds import candidate_pairs
 
 
 def _q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _double(value: float) -> str:
-    return f"CAST('{value!r}' AS DOUBLE)"
-
-
 def _log1p(x: str) -> str:
     # ln(1 + x) alone loses the digits of a small x; this corrects for what 1 + x drops
     return f"(CASE WHEN 1 + {x} = 1 THEN {x} ELSE {x} * ln(1 + {x}) / ((1 + {x}) - 1) END)"
@@ -239,8 +234,16 @@ _P = f"round(1 / (1 + exp(-({_MARGIN}))), 6)"
 CTES["transformed"] = _transform("feats", "s.account_id, s.label, s.split, s.usable")
 CTES["scored"] = f"SELECT *, {_P} AS probability FROM transformed"
 
-_PAIRS = ", ".join(f"({_double(m)}, {_double(h)})" for m, h in candidate_pairs())
-CTES["costs"] = f"""
+# cut-offs every 0.05 in floating point: medium from 0.10 below 0.66; high below 0.91, from
+# 0.40 or 0.10 above medium, whichever is larger
+CTES["grid"] = """
+SELECT medium, low + unnest(range(0, ceil((0.91::DOUBLE - low) / 0.05::DOUBLE)::BIGINT))
+       * ((low + 0.05::DOUBLE) - low) AS high
+FROM (SELECT medium, greatest(0.40::DOUBLE, medium + 0.10::DOUBLE) AS low
+      FROM (SELECT 0.10::DOUBLE + unnest(range(0, 12))
+              * ((0.10::DOUBLE + 0.05::DOUBLE) - 0.10::DOUBLE) AS medium))
+"""
+CTES["costs"] = """
 SELECT g.medium, g.high, count(*) AS scored_rows,
        avg(CASE WHEN v.label = 1 AND v.probability < g.medium THEN 5.0
                 WHEN v.label = 1 AND v.probability < g.high THEN 1.0
@@ -249,7 +252,7 @@ SELECT g.medium, g.high, count(*) AS scored_rows,
                 ELSE 0.0 END::DOUBLE) AS mean_cost,
        coalesce(count(*) FILTER (v.label = 1 AND v.probability >= g.medium)
                 / nullif(count(*) FILTER (v.label = 1), 0), 0)::DOUBLE AS recall
-FROM (VALUES {_PAIRS}) g(medium, high),
+FROM grid g,
      (SELECT * FROM scored WHERE split = 'validation' AND usable >= 6) v
 GROUP BY g.medium, g.high
 """
@@ -426,12 +429,15 @@ ORACLE: dict[str, str] = {
                CASE WHEN trim(lang, {_SPACES}) <> '' AND lower(trim(lang, {_SPACES}))
                          NOT IN ('unknown','none','n/a','na')
                     THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_lang,
-               nullif(trim(substring(text, -1, 1), {_SPACES}), '') AS last_character,
+               md5(nullif(s, '')) AS optional_md5,
                CASE WHEN n_chars > 0 THEN n_chars::DOUBLE END AS n_chars_number,
                CASE doc_id % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE END
                  AS doc_flag,
                CASE WHEN lang NOT IN ('', 'NA', 'null', 'nan', 'None') THEN lang END AS lang
         FROM (SELECT *, trim(text, {_SPACES}) AS s FROM documents)""",
+    "line_break_ids": """
+        SELECT c_custkey, c_custkey % 3 = 0 AS valid_id, c_custkey % 3 = 0 AS valid_code,
+               c_custkey::VARCHAR AS normalised FROM customer""",
     "union_sources": _with("SELECT * FROM bronze", "bronze"),
     "clean_accounts": _with("SELECT * FROM clean", "clean"),
     "cleaning_summary": _with(_COUNTS, "clean"),
@@ -462,6 +468,31 @@ ORACLE: dict[str, str] = {
     "account_features": _with(f"""
         SELECT account_id, label, {_FEATURE_LIST}, usable,
                round(usable / 12, 3) AS completeness FROM feats""", "feats"),
+    "fallback_features": f"""
+        SELECT *, {_USABLE} AS usable, round(({_USABLE}) / 12, 3) AS completeness FROM (
+          SELECT account_id, account_age_days, followers_count, following_count,
+                 coalesce((followers_count + 1) / (following_count + 1), given_ratio)
+                   AS follower_following_ratio,
+                 tweet_count, coalesce(tweet_count / account_age_days, given_rate)
+                   AS posting_frequency,
+                 description_length, coalesce(given_length, length(c_name))::DOUBLE
+                   AS username_length,
+                 1::DOUBLE / 3 AS profile_completeness, NULL::DOUBLE AS verified,
+                 NULL::DOUBLE AS uses_default_profile_image,
+                 CASE WHEN description_length > 0 THEN 1.0 ELSE 0.0 END::DOUBLE
+                   AS has_description
+          FROM (SELECT c_custkey::VARCHAR AS account_id, c_name,
+                  nullif(c_custkey % 5, 0)::DOUBLE AS account_age_days,
+                  CASE WHEN c_custkey % 2 = 0 THEN c_custkey END::DOUBLE AS followers_count,
+                  CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 END::DOUBLE
+                    AS following_count,
+                  (c_custkey % 11)::DOUBLE AS given_ratio,
+                  CASE WHEN c_custkey % 4 = 0 THEN 8 END::DOUBLE AS tweet_count,
+                  c_custkey::DOUBLE / 4 AS given_rate,
+                  CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 13 END::DOUBLE
+                    AS description_length,
+                  CASE WHEN c_custkey % 6 = 0 THEN length(c_name) END AS given_length
+                FROM customer))""",
     "feature_completeness": _with("""
         SELECT usable, count(*) AS account_count,
                count(*) FILTER (usable >= 6) AS sufficient_count,
@@ -528,6 +559,30 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, CASE WHEN platform <> 'x' OR NOT
                 regexp_full_match(account_id, '[0-9]{{1,19}}')
                 THEN 'invalid_request' END AS bad FROM asked)""", "asked"),
+    "assess_without_accounts": _with(f"""
+        SELECT request_id, coalesce(bad, 'data_adapter_unavailable') AS error_code,
+               CASE WHEN bad IS NULL THEN {_message("data_adapter_unavailable")}
+                    WHEN platform <> 'x' THEN 'Invalid value for platform.'
+                    ELSE 'Invalid value for account_id.' END AS error_message
+        FROM (SELECT *, CASE WHEN platform <> 'x' OR NOT
+                regexp_full_match(account_id, '[0-9]{{1,19}}')
+                THEN 'invalid_request' END AS bad FROM asked)""", "asked"),
+    "assess_without_store": _with(f"""
+        SELECT request_id, CASE WHEN status <> 'completed' THEN status END AS status,
+               CASE WHEN status = 'completed' THEN 'feedback_store_unavailable'
+                    ELSE error_code END AS error_code,
+               CASE WHEN status = 'completed' THEN {_message("feedback_store_unavailable")}
+                    ELSE error_message END AS error_message
+        FROM answered""", "answered"),
+    "degraded_scores": _with(f"""
+        SELECT account_id,
+               CASE WHEN usable < 6 THEN status ELSE 'completed_with_warning' END AS status,
+               risk_probability, risk_band,
+               CASE WHEN usable >= 6 THEN 'monitor' END AS recommendation,
+               CASE WHEN usable < 6 THEN {_q(INSUFFICIENT_WARNING)}
+                    ELSE {_q(EXPLANATION_WARNING)} END AS warning,
+               0 AS factor_count
+        FROM decided""", "decided"),
     "parse_requests": _with("SELECT * FROM bodies", "bodies"),
     "recorded_assessments": _with(f"""
         SELECT assessment_id, '{MODEL_ID}' AS model_id, risk_band, status
@@ -535,6 +590,22 @@ ORACLE: dict[str, str] = {
     "repeated_assessments": _with("""
         SELECT assessment_id, risk_band, status
         FROM answered WHERE status = 'completed'""", "answered"),
+    "duplicate_assessments": _with("""
+        SELECT assessment_id, risk_band, status
+        FROM answered WHERE status = 'completed'""", "answered"),
+    "tied_overrides": _with("""
+        SELECT assessment_id, count(*) AS request_count,
+               count(*) FILTER (outcome = 'recorded') AS recorded_count
+        FROM override_decided GROUP BY assessment_id""", "override_decided"),
+    "bad_overrides": _with(f"""
+        SELECT {_ARRIVAL},
+               CASE WHEN l_linenumber % 4 = 0 THEN substring(assessment_id, 1, 20)
+                    ELSE assessment_id END AS assessment_id,
+               CASE WHEN l_linenumber % 3 = 0 THEN 'Invalid value for override_label.'
+                    WHEN NOT regexp_full_match(reason_code, '[a-z0-9_]{{1,64}}')
+                    THEN 'Invalid value for reason_code.'
+                    WHEN l_linenumber % 4 = 0 THEN 'Invalid assessment ID.' END AS problem
+        FROM override_asked""", "override_asked"),
     "override_intake": _with("SELECT * FROM override_decided", "override_decided"),
     "recorded_overrides": _with("""
         SELECT assessment_id, override_label, reason_code
@@ -542,6 +613,31 @@ ORACLE: dict[str, str] = {
     "list_accounts": _with("""
         SELECT account_id, source_dataset, nullif(trim(username), '') AS username
         FROM crm ORDER BY account_id LIMIT 100""", "crm"),
+    "listing_response": _with("""
+        SELECT count(*) AS "count", string_agg(account_id, ',' ORDER BY account_id)
+          AS account_ids
+        FROM (SELECT account_id FROM crm ORDER BY account_id LIMIT 100)""", "crm"),
+    "degraded_readiness": _with("""
+        SELECT 'degraded' AS status, 'available' AS api, 'unavailable' AS model,
+               'loaded' AS data_adapter, count(*) AS demo_account_count,
+               'unavailable' AS feedback_store,
+               'boosted_model,preprocessor,model_metadata' AS missing_artifacts
+        FROM crm""", "crm"),
+    "stream_restart": _with("""
+        SELECT request_id, 2 AS answer_count,
+               count(*) FILTER (status = 'completed') AS record_count
+        FROM answered GROUP BY request_id""", "answered"),
+    "baseline_gradient": "SELECT unnest(["
+        + ", ".join(_q(f) for f in ("intercept", *FEATURES)) + "]) AS term, true AS flat",
+    "boosted_additivity": _with("SELECT account_id, true AS adds_up FROM account_feats",
+                                "account_feats"),
+    "boosted_shape": """
+        SELECT 150 AS tree_count, true AS depth_kept, 1.0::DOUBLE AS first_weight,
+               '[0.05]' AS other_weights, 'prediction' AS predicted, 'rawPrediction' AS raw,
+               'probability' AS probability""",
+    "metric_totals": _with("""
+        SELECT unnest(['baseline', 'boosted']) AS model, count(*) AS row_count
+        FROM feats WHERE split = 'test' AND usable >= 6""", "feats"),
     "readiness_report": _with("""
         SELECT 'ok' AS status, 'available' AS api, 'loaded' AS model,
                'loaded' AS data_adapter, count(*) AS demo_account_count,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from riskweave.operators import (
     assess, features, merge, metrics, models, overrides, preprocess, reports, split,
     thresholds, weights,
 )
+from riskweave.operators.explain import expected_margin
 from riskweave.plans import serving, training
 from riskweave.session import stage, stage_path
 from riskweave.sources import profiles, registry
@@ -24,9 +25,6 @@ from riskweave.sources.splits import export_csv, read_split, write_demo, write_s
 from riskweave.sources.store import FeedbackStore
 from riskweave.streaming import intake
 
-# boosting rounds of the checks; a real training run uses the library default
-CHECK_ROUNDS = 10
-
 _kept: dict[tuple, object] = {}
 
 
@@ -170,13 +168,26 @@ def text_fields(spark, folder):
         text.stripped_length(F.col("text")).alias("text_length"),
         text.present(F.col("text")).alias("has_text"),
         text.present(F.col("lang"), unknown_is_missing=True).alias("has_lang"),
-        text.optional_text(F.substring("text", -1, 1)).alias("last_character"),
+        F.md5(text.optional_text(F.col("text"))).alias("optional_md5"),
         numbers.number(n_chars, positive=True).alias("n_chars_number"),
         numbers.flag((F.col("doc_id") % 3).cast("string")).alias("doc_flag"),
         text.missing_to_null(F.col("lang")).alias("lang"),
     )
 
 
+def line_break_ids(spark, folder):
+    """Ids and reason codes with white space after them: no id, no code."""
+    key = F.col("c_custkey")
+    tail = F.when(key % 3 == 1, "\n").when(key % 3 == 2, " ").otherwise("")
+    raw = F.concat(key.cast("string"), tail)
+    return profiles.table(spark, folder, "customer").select(
+        "c_custkey",
+        ids.is_account_id(raw).alias("valid_id"),
+        ids.is_reason_code(F.concat(F.lower("c_mktsegment"), tail)).alias("valid_code"),
+        ids.normalise_account_id(raw).alias("normalised"),
+    )
+
+
 def union_sources(spark, folder):
     return bronze(spark, folder).withColumnsRenamed(
         {merge.SOURCE_ORDER: "source_order", merge.ROW_ORDER: "row_order"}
@@ -252,6 +263,26 @@ def csv_features(spark, folder):
     return out.withColumn("completeness", F.bround("completeness", 3))
 
 
+def fallback_features(spark, folder):
+    """Accounts that bring ratio, rate and lengths themselves and lack what they are made of."""
+    key = F.col("c_custkey")
+    rows = profiles.table(spark, folder, "customer").select(
+        key.cast("string").alias("account_id"),
+        F.when(key % 2 == 0, key).alias("followers_count"),
+        F.when(key % 3 == 0, key % 7).alias("following_count"),
+        (key % 11).alias("followers_following_ratio"),
+        F.when(key % 4 == 0, F.lit(8)).alias("tweet_count"),
+        (key % 5).alias("account_age_days"),
+        (key / 4).alias("tweets_per_day"),
+        F.when(key % 5 != 0, key % 13).alias("description_length"),
+        F.when(key % 6 == 0, F.length("c_name")).alias("username_length"),
+        F.col("c_name").alias("username"),
+        F.lit(None).cast("string").alias("location"),
+    )
+    out = features.account_features(rows)
+    return out.withColumn("completeness", F.bround("completeness", 3))
+
+
 def feature_completeness(spark, folder):
     rows = features.account_features(profiles.account_table(spark, folder))
     return rows.groupBy("usable").agg(
@@ -372,6 +403,37 @@ def assess_without_model(spark, folder):
     return _flat_responses(answers).select("request_id", "error_code", "error_message")
 
 
+def assess_without_accounts(spark, folder):
+    answers = assess.assess(requests(spark, folder), None, fixed_scorer(spark, folder))
+    return _flat_responses(answers).select("request_id", "error_code", "error_message")
+
+
+def assess_without_store(spark, folder):
+    """Scores that cannot be recorded are errors; insufficient accounts are answered."""
+    answers = assess.assess(
+        requests(spark, folder), accounts(spark, folder), fixed_scorer(spark, folder),
+        store_ready=False,
+    )
+    return _flat_responses(answers).select(
+        "request_id", "status", "error_code", "error_message")
+
+
+class Unexplained(models.LinearScorer):
+    """A scorer whose explanation is not available."""
+
+    def _explained(self, df):
+        return df.withColumn("contributions", F.lit(None).cast("array<double>"))
+
+
+def degraded_scores(spark, folder):
+    scorer = fixed_scorer(spark, folder)
+    silent = Unexplained(**{f.name: getattr(scorer, f.name) for f in fields(scorer)})
+    return assess.assess_accounts(accounts(spark, folder), silent).select(
+        "account_id", "status", "risk_probability", "risk_band", "recommendation", "warning",
+        F.size(F.coalesce("top_factors", F.array())).alias("factor_count"),
+    )
+
+
 def parse_requests(spark, folder):
     """Requests as JSON bodies: some ids are numbers, some bodies have a field too many."""
     key = F.col("request_id").cast("bigint")
@@ -421,6 +483,38 @@ def repeated_assessments(spark, folder):
     )
 
 
+def duplicate_assessments(spark, folder):
+    """Records the store refuses when a batch has every record twice."""
+    rows = _shared_store(spark, folder).assessments()
+    store = FeedbackStore(spark, stage_path(spark, "store")).initialise()
+    refused = store.append_assessments(rows.union(rows), "twice")
+    return refused.join(store.assessments().select("assessment_id"), "assessment_id").select(
+        "assessment_id", "risk_band", "status")
+
+
+def tied_overrides(spark, folder):
+    """Arrivals that tie in the ship date alone: exactly one override is recorded."""
+    store = _shared_store(spark, folder)
+    decided = overrides.decide_overrides(
+        override_requests(profiles.table(spark, folder, "lineitem")), store.assessments(),
+        store.overrides(), ["l_shipdate"])
+    return decided.groupBy("assessment_id").agg(
+        F.count("*").alias("request_count"),
+        F.count_if(F.col("outcome") == "recorded").alias("recorded_count"))
+
+
+def bad_overrides(spark, folder):
+    """Labels and assessment ids that no override may have."""
+    line = F.col("l_linenumber")
+    rows = override_requests(profiles.table(spark, folder, "lineitem")).withColumns({
+        "override_label": F.when(line % 3 == 0, "guilty").otherwise(F.col("override_label")),
+        "assessment_id": F.when(line % 4 == 0, F.substring("assessment_id", 1, 20))
+        .otherwise(F.col("assessment_id")),
+    })
+    return rows.select(*profiles.ARRIVAL, "assessment_id",
+                       overrides.override_problem(rows, 32).alias("problem"))
+
+
 def override_intake(spark, folder):
     store = _shared_store(spark, folder)
     items = profiles.table(spark, folder, "lineitem")
@@ -443,6 +537,18 @@ def list_accounts(spark, folder):
     return reports.list_accounts(profiles.account_table(spark, folder), 100)
 
 
+def listing_response(spark, folder):
+    listing = reports.listing_response(
+        reports.list_accounts(profiles.account_table(spark, folder), 100))
+    return listing.select("count", F.array_join("accounts.account_id", ",").alias("account_ids"))
+
+
+def degraded_readiness(spark, folder):
+    report = reports.readiness_report(accounts(spark, folder), False, True, False,
+                                      registry.REQUIRED)
+    return report.withColumn("missing_artifacts", F.array_join("missing_artifacts", ","))
+
+
 def readiness_report(spark, folder):
     source = check_accounts(accounts(spark, folder))
     store = _shared_store(spark, folder)
@@ -472,6 +578,29 @@ def assess_stream(spark, folder):
     return _flat_responses(spark.read.parquet(f"{root}/responses"))
 
 
+def stream_restart(spark, folder):
+    """Two streams of several micro-batches over the same requests: both answer all of them."""
+    root = stage_path(spark, "restart")
+    store = FeedbackStore(spark, root).initialise()
+    wanted = requests(spark, folder)
+    wanted.repartition(3).write.parquet(f"{root}/inbox")
+    for name in ("first", "second"):
+        stream = spark.readStream.schema(wanted.schema).option("maxFilesPerTrigger", 1)
+        intake.assess_stream(
+            stream.parquet(f"{root}/inbox"), accounts(spark, folder),
+            fixed_scorer(spark, folder), store, f"{root}/responses",
+            f"{root}/checkpoint-{name}", created_at=serving.request_time(),
+        ).awaitTermination()
+    answers = spark.read.parquet(f"{root}/responses")
+    kept = store.assessments().groupBy("assessment_id").agg(F.count("*").alias("record_count"))
+    return (
+        answers.groupBy("request_id", "assessment_id").agg(F.count("*").alias("answer_count"))
+        .join(kept, "assessment_id", "left")
+        .select("request_id", "answer_count",
+                F.coalesce("record_count", F.lit(0).cast("long")).alias("record_count"))
+    )
+
+
 def override_stream(spark, folder):
     store = _stored_assessments(spark, folder)
     stream = override_requests(_table_stream(spark, folder, "lineitem"))
@@ -486,12 +615,12 @@ def override_stream(spark, folder):
 # ---- fitted models ----------------------------------------------------------
 
 def _trained(spark, folder) -> str:
-    """Folder of the artifacts of a small training run over the whole tables."""
+    """Folder of the artifacts of a training run over the whole tables."""
     def build() -> str:
         root = stage_path(spark, "model")
         training.train(
             profiles.labelled_sources(spark, folder), f"{root}/artifacts",
-            f"{root}/generated", rounds=CHECK_ROUNDS, source_names=("crm", "events"),
+            f"{root}/generated", source_names=("crm", "events"),
         )
         return root
 
@@ -532,6 +661,58 @@ def boosted_assess_batch(spark, folder):
     ))
 
 
+def baseline_gradient(spark, folder):
+    """Slope of the linear objective at the fitted optimum, per coefficient and intercept."""
+    train_rows = usable_split(spark, folder, "train")
+    counts = weights.class_counts(train_rows)
+    rows = preprocessor(spark, folder).transform(train_rows)
+    model = models.fit_baseline(rows, counts)
+    n = counts.negative + counts.positive
+    scored = models.predict(model, rows).withColumn(
+        "pull", counts.balanced_weight(F.col("label")) * (F.col("probability") - F.col("label")))
+    slopes = scored.agg(
+        F.avg("pull").alias("intercept"), *[F.avg(F.col("pull") * F.col(f)).alias(f)
+                                            for f in FEATURES])
+    held = dict(zip(FEATURES, (float(v) for v in model.coefficients)))
+    return slopes.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("term"),
+                 (F.abs(F.col(f) + F.lit(held.get(f, 0.0) / n)) < 1e-5).alias("flat"))
+        for f in ("intercept", *FEATURES)])).alias("t")).select("t.*")
+
+
+def boosted_additivity(spark, folder):
+    """Contributions and base add up to the log-odds of every account's score."""
+    scorer = _boosted(spark, folder)
+    base = expected_margin(scorer.leaves)
+    rows = scorer.score(features.account_features(accounts(spark, folder)))
+    total = F.aggregate("contributions", F.lit(base), lambda a, x: a + x)
+    odds = F.log(F.col("probability") / (1 - F.col("probability")))
+    return rows.select("account_id", (F.abs(total - odds) < 1e-6).alias("adds_up"))
+
+
+def boosted_shape(spark, folder):
+    """Size of the saved ensemble, and its output columns as they were fitted."""
+    model = _boosted(spark, folder).model
+    nodes = spark.read.parquet(f"{_trained(spark, folder)}/artifacts/{registry.MODEL}/data")
+    trees = nodes.groupBy("treeID").agg(F.max("nodeData.id").alias("last_node"))
+    shape = trees.agg(F.count("*").alias("tree_count"),
+                      (F.max("last_node") < 2 ** 5 - 1).alias("depth_kept"))
+    steps = sorted({round(w, 12) for w in model.treeWeights[1:]})
+    return shape.select(
+        "tree_count", "depth_kept", F.lit(float(model.treeWeights[0])).alias("first_weight"),
+        F.lit(str(steps)).alias("other_weights"), F.lit(model.getPredictionCol()).alias("predicted"),
+        F.lit(model.getRawPredictionCol()).alias("raw"),
+        F.lit(model.getProbabilityCol()).alias("probability"))
+
+
+def metric_totals(spark, folder):
+    """Rows that the confusion counts of both models add up to."""
+    found = model_metrics(spark, folder)
+    counts = F.split(F.regexp_replace("confusion", "[\\[\\] ]", ""), ",")
+    return found.select("model", F.aggregate(
+        counts, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("row_count"))
+
+
 def model_metrics(spark, folder):
     metadata = registry.read_metadata(spark, f"{_trained(spark, folder)}/artifacts")
     return metadata.select(F.expr(
@@ -565,24 +746,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         # cleaning and splitting
-        normalise_ids, text_fields, union_sources, clean_accounts, cleaning_summary,
+        normalise_ids, line_break_ids, text_fields, union_sources, clean_accounts, cleaning_summary,
         label_conflicts, repeated_ids, stratified_split, split_counts, demo_accounts,
         written_splits, demo_listing,
         # features and preprocessing
-        account_features, csv_features, feature_completeness, usable_accounts,
+        account_features, csv_features, fallback_features, feature_completeness, usable_accounts,
         prep_parameters, prep_transform, class_weights,
         # scores, cut-offs and metrics
         fixed_scores, threshold_grid_costs, risk_thresholds, classification_report,
         roc_auc,
         # decisions, store and reports
         risk_bands, confidence, recommendations, top_factors, assess_batch,
-        assess_without_model, parse_requests, recorded_assessments,
-        repeated_assessments, override_intake, recorded_overrides, list_accounts,
-        readiness_report,
+        assess_without_model, assess_without_accounts, assess_without_store, degraded_scores,
+        parse_requests, recorded_assessments, repeated_assessments, duplicate_assessments,
+        override_intake, tied_overrides, bad_overrides, recorded_overrides, list_accounts,
+        listing_response, readiness_report, degraded_readiness,
         # streams
-        assess_stream, override_stream,
+        assess_stream, override_stream, stream_restart,
         # fitted models
         baseline_scores, boosted_scores, boosted_top_factors, boosted_assess_batch,
-        model_metrics, train_report, training_cleaning,
+        model_metrics, train_report, training_cleaning, baseline_gradient,
+        boosted_additivity, boosted_shape, metric_totals,
     )
 }

@@ -36,7 +36,8 @@ WHITESPACE = "".join(
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 UNKNOWN_WORDS = ("unknown", "none", "n/a", "na")
-ACCOUNT_ID_PATTERN = "^[0-9]{1,19}$"
+# \z: unlike $, not before a last line break either
+ACCOUNT_ID_PATTERN = r"^[0-9]{1,19}\z"
 
 # ---- Fixed values: labelled sources -----------------------------------------
 SOURCE_FILES = (
@@ -91,7 +92,7 @@ FEATURE_LABELS = {
     "has_description": "Description availability",
 }
 OVERRIDE_LABELS = ("legitimate", "suspicious", "uncertain")
-REASON_PATTERN = "^[a-z0-9_]{1,64}$"
+REASON_PATTERN = r"^[a-z0-9_]{1,64}\z"
 ASSESSMENT_PREFIX = "asmt_"
 UNKNOWN_MODEL = "unknown_model"
 LIST_LIMITS = (1, 100)

@@ -9,12 +9,12 @@ from riskweave.constants import (
 from riskweave.functions.text import strip
 
 # whole numbers without exponent; the group is the id
-_SIMPLE = r"^\+?0*(0|[1-9][0-9]{0,18})(?:\.0*)?$"
+_SIMPLE = r"^\+?0*(0|[1-9][0-9]{0,18})(?:\.0*)?\z"
 # zeros the pattern above leaves over: negative, without whole part, with exponent
-_ZERO = r"^[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?$"
+_ZERO = r"^[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?\z"
 # a nonzero digit, 18 or more digits, a nonzero digit: no id of 19 digits
 _TOO_PRECISE = r"[1-9](?:\.?[0-9]){18,}\.?[0-9]*[1-9]"
-_WHOLE_DECIMAL = r"^([1-9][0-9]*)\.0+$"
+_WHOLE_DECIMAL = r"^([1-9][0-9]*)\.0+\z"
 
 
 def is_account_id(c: Column) -> Column:

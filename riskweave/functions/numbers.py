@@ -15,8 +15,8 @@ from riskweave.functions.text import strip
 # is the number without the whitespace around it.
 _FINITE = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _AROUND = f"[{WHITESPACE}]*"
-FINITE_TEXT = rf"^{_AROUND}({_FINITE}){_AROUND}$"
-ANY_NUMBER_TEXT = rf"^{_AROUND}({_FINITE}|[+-]?(?i:inf|infinity)){_AROUND}$"
+FINITE_TEXT = rf"^{_AROUND}({_FINITE}){_AROUND}\z"
+ANY_NUMBER_TEXT = rf"^{_AROUND}({_FINITE}|[+-]?(?i:inf|infinity)){_AROUND}\z"
 
 _SMALLEST = 5e-324                  # smallest double above zero
 _LARGEST = 1.7976931348623157e308   # largest finite double

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from riskweave.session import stage
 
-# Below this many rows a key is no burden for a single task.
-HOT_ROWS = 100_000
-# At most this many keys travel by broadcast.  A key outside the most frequent 1000
-# owns less than a thousandth of the rows, so it cannot unbalance a shuffle.
-HOT_KEYS = 1_000
-
 
 def key_demand(facts: DataFrame, key: str, usable: Column, *extra: Column) -> DataFrame:
     """One row per key wanted by a ``usable`` row, with its ``row_count``; stored for the
@@ -31,14 +25,18 @@ def key_demand(facts: DataFrame, key: str, usable: Column, *extra: Column) -> Da
     return stage(counted, "demand").where(F.col(key).isNotNull())
 
 
-def hot_keys(demand: DataFrame, key: str, min_rows: int = HOT_ROWS,
-             max_keys: int = HOT_KEYS) -> list:
-    """Most frequent keys of a ``key_demand`` with at least ``min_rows`` rows."""
-    rows = (
-        demand.where(F.col("row_count") >= min_rows)
-        .orderBy(F.desc("row_count"), key).limit(max_keys).select(key).collect()
-    )
-    return [r[key] for r in rows]
+def hot_keys(demand: DataFrame, key: str, partitions: int | None = None) -> list:
+    """Keys of a ``key_demand`` that own more rows than an even shuffle partition holds.
+
+    ``partitions`` is the number of shuffle partitions, by default the session's.  Fewer
+    than that many keys can exceed an even share, so the list needs no cap; every other
+    key fits beside others in a partition of at most twice the even size on average.
+    """
+    if partitions is None:
+        partitions = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = demand.agg(F.sum("row_count")).first()[0] or 0
+    rows = demand.where(F.col("row_count") > total / partitions).select(key).collect()
+    return sorted(r[key] for r in rows)
 
 
 def attach(facts: DataFrame, key: str, row_id: str, dimension: DataFrame,
@@ -48,11 +46,9 @@ def attach(facts: DataFrame, key: str, row_id: str, dimension: DataFrame,
 
     Rows that cannot match (NULL key, ``usable`` false) and rows of ``hot`` keys get a
     private shuffle key from ``row_id``, so they spread evenly.  Hot rows then find
-    their match in a broadcast of the dimension rows of those keys, at most
-    ``HOT_KEYS`` of them.
+    their match in a broadcast of the dimension rows of those keys, one row per key;
+    ``hot_keys`` gives fewer than there are shuffle partitions.
     """
-    if len(hot) > HOT_KEYS:
-        raise ValueError(f"At most {HOT_KEYS} keys can be treated as hot.")
     searchable = F.col(key).isNotNull()
     if usable is not None:
         searchable = searchable & usable

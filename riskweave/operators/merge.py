@@ -19,7 +19,7 @@ ROW_ORDER = "_row_order"
 def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Dataset is missing required columns: {missing}")
+        raise ValueError(f"Columns not found: {missing}")
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:

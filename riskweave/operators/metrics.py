@@ -6,8 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# score ranges the rank sum is spread over; each holds about 1/_RANGES of the rows
-_RANGES = 1000
+# rows of one score range, before equal scores are united
+RANGE_ROWS = 500_000
 
 
 def confusion(scored: DataFrame, threshold, label: str = "label",
@@ -39,19 +39,20 @@ def classification_report(scored: DataFrame, threshold=0.5, label: str = "label"
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label",
-            probability: str = "probability") -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", probability: str = "probability",
+            range_rows: int = RANGE_ROWS) -> DataFrame:
     """Exact area under the ROC curve, ties counting half; NULL with one class only.
 
-    Equal scores are pre-aggregated, then ranked inside score ranges of about equal
-    weight; range totals (at most ``_RANGES`` + 1 rows) link the ranges.  The ranges
-    steer the load only, the sum is exact for any choice of them.
+    Equal scores are pre-aggregated, then ranked inside score ranges of about
+    ``range_rows`` rows; the totals of the ranges (one row each) link them.  The number
+    of ranges follows from the row count, so a ranking task does not grow with the
+    table.  They steer the load only, the sum is exact for any choice of them.
     """
-    shares = [i / _RANGES for i in range(1, _RANGES)]
-    quantiles = scored.agg(
-        F.percentile_approx(probability, shares, 10 * _RANGES).alias("q")
-    ).first()["q"]
-    splits = [float("-inf"), *(sorted(set(quantiles)) if quantiles else [0.5]), float("inf")]
+    ranges = -(-scored.count() // range_rows)
+    quantiles = scored.agg(F.percentile_approx(
+        probability, [i / ranges for i in range(1, ranges)], 10 * ranges
+    ).alias("q")).first()["q"] if ranges > 1 else [0.5]
+    splits = [float("-inf"), *sorted(set(quantiles)), float("inf")]
     ranged = Bucketizer(
         splits=splits, inputCol=probability, outputCol="range", handleInvalid="error"
     ).transform(scored.select(label, probability))

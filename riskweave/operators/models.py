@@ -30,11 +30,22 @@ def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
 
+def without_noise(train: DataFrame) -> DataFrame:
+    """Features that are constant but for rounding become exactly 0.
+
+    Their spread of 1e-16 would be taken for a scale and divided by, and the line search
+    of the fit would stop at its start.  A coefficient for them is 0 anyway.
+    """
+    spread = train.agg(*[(F.max(f) - F.min(f)).alias(f) for f in FEATURES]).first()
+    flat = [f for f in FEATURES if not (spread[f] or 0.0) > 1e-9]
+    return train.withColumns({f: F.lit(0.0) for f in flat})
+
+
 def fit_baseline(train: DataFrame, counts: ClassCounts,
                  max_iter: int = BASELINE_MAX_ITER) -> LogisticRegressionModel:
     """L2 logistic regression with balanced weights and unit inverse regularisation."""
     rows = counts.negative + counts.positive
-    weighted = assemble(train).withColumns({
+    weighted = assemble(without_noise(train)).withColumns({
         "weight": counts.balanced_weight(F.col("label")),
         "label": F.col("label").cast("double"),
     })
@@ -61,9 +72,13 @@ def fit_boosted(train: DataFrame, counts: ClassCounts, rounds: int = BOOST_ROUND
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """Add ``probability`` of the suspicious class; ``df`` holds transformed features."""
+    """Add ``probability`` of the suspicious class; ``df`` holds transformed features.
+
+    Works on a copy of the model, whose own output columns stay as they are.
+    """
+    quiet = {"probabilityCol": "_probability", "rawPredictionCol": "", "predictionCol": ""}
     return (
-        model.setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
+        model.copy({model.getParam(name): value for name, value in quiet.items()})
         .transform(assemble(df))
         .withColumn("probability", F.get(vector_to_array("_probability"), F.lit(1)))
         .drop("features", "_probability")

@@ -14,6 +14,7 @@ from riskweave.operators.bodies import (
     BODY_CHECKS, body_problem, invalid_value, read_bodies,
 )
 from riskweave.operators.lookup import attach, hot_keys, key_demand
+from riskweave.session import stage
 
 
 OVERRIDE_FIELDS = ("override_label", "reason_code")
@@ -40,14 +41,17 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
                      arrival: Sequence[str], id_width: int = 32) -> DataFrame:
     """Add ``outcome`` ('recorded' or NULL) and ``error`` to every override request.
 
-    ``arrival`` names the columns that order the requests and tell them apart.  What is
-    known about an assessment (stored? already overridden? first arrival?) is worked
-    out once per id and attached to its requests.
+    ``arrival`` names the columns that order the requests; requests that tie in them are
+    ordered by a hash of all their columns and then by their row, so exactly one wins.
+    What is known about an assessment (stored? already overridden? first arrival?) is
+    worked out once per id and attached to its requests.  The requests are staged, which
+    fixes their rows, and jobs run while this is called.
     """
-    asked = requests.withColumns({
+    asked = stage(requests.withColumns({
         "_problem": override_problem(requests, id_width),
-        "_arrival": F.struct(*arrival),
-    }).withColumn("_row", F.xxhash64("_arrival"))
+        "_tie": F.xxhash64(*requests.columns),
+        "_row": F.monotonically_increasing_id(),
+    }), "asked").withColumn("_arrival", F.struct(*arrival, "_tie", "_row"))
     valid = F.col("_problem").isNull()
 
     demand = key_demand(
@@ -65,7 +69,7 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
         hot=hot_keys(demand, "assessment_id"), usable=valid,
     )
     wins = F.col("_state")["overridden"].isNull() & (
-        F.col("_arrival") == F.col("_state")["first_arrival"]
+        F.col("_row") == F.col("_state")["first_arrival"]["_row"]
     )
     code = (
         F.when(F.col("_problem").isNotNull(), F.lit("invalid_request"))

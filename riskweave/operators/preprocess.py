@@ -55,7 +55,7 @@ class Preprocessor:
         rows = df.collect()
         names = {r["feature"] for r in rows}
         if names != set(FEATURES) or len(rows) != len(FEATURES):
-            raise ValueError("Artifact feature schema does not match the runtime schema.")
+            raise ValueError("The saved features are not the ones this version uses.")
         return Preprocessor(
             fill={r["feature"]: r["fill"] for r in rows},
             mean={r["feature"]: r["mean"] for r in rows if r["mean"] is not None},
@@ -123,51 +123,71 @@ def exact_medians(df: DataFrame, counts: dict[str, int],
 
     Values inside a bracket are counted per distinct value, everything below it
     collapses to one cell; both happen map-side, so a value shared by most rows is
-    one row per task.  A bracket that misses its median is widened to the whole
-    column and tried again.
+    one row per task.  A bracket that misses a middle value says on which side it lies
+    and how many rows are there; the next bracket comes from that side only.
     """
-    medians: dict[str, float] = {}
-    pending = dict(brackets)
-    low = float("-inf")
+    ranks = {c: sorted({(counts[c] + 1) // 2, counts[c] // 2 + 1}) for c in brackets}
+    found: dict[tuple[str, int], float] = {}
+    # per wanted rank: bounds it must lie strictly between, and the bracket to try
+    pending = {(c, k): (-math.inf, math.inf, *brackets[c]) for c in ranks for k in ranks[c]}
     while pending:
+        tried = {(c, lo, hi) for (c, _), (_, _, lo, hi) in pending.items()}
+        names = {key: f"{i}" for i, key in enumerate(sorted(tried))}
+        low = float("-inf")
         cells = (
             df.select(*[
                 F.when(F.col(c) < F.lit(lo), F.lit(low))
-                .when(F.col(c) <= F.lit(hi), F.col(c)).alias(c)
-                for c, (lo, hi) in pending.items()
+                .when(F.col(c) <= F.lit(hi), F.col(c)).alias(names[c, lo, hi])
+                for c, lo, hi in names
             ])
-            .unpivot([], list(pending), "feature", "value")
+            .unpivot([], list(names.values()), "bracket", "value")
             .where(F.col("value").isNotNull())
-            .groupBy("feature", "value").agg(F.count("*").alias("n"))
+            .groupBy("bracket", "value").agg(F.count("*").alias("n"))
         )
         upto = F.sum("n").over(
-            Window.partitionBy("feature").orderBy("value")
+            Window.partitionBy("bracket").orderBy("value")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        ranks = {c: ((counts[c] + 1) // 2, counts[c] // 2 + 1) for c in pending}
-        holds_middle = F.lit(False)
-        for c, middle in ranks.items():
-            for k in set(middle):
-                holds_middle = holds_middle | (
-                    (F.col("feature") == c)
-                    & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
-                )
-        found: dict[str, list] = {}
-        for r in cells.withColumn("upto", upto).where(holds_middle).collect():
-            found.setdefault(r["feature"], []).append(r)
+        # the cell below each bracket, and the cells that hold a wanted rank
+        holds = F.col("value") == F.lit(low)
+        for (c, k), (_, _, lo, hi) in pending.items():
+            holds = holds | ((F.col("bracket") == names[c, lo, hi])
+                             & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
+        rows: dict[str, list] = {}
+        for r in cells.withColumn("upto", upto).where(holds).collect():
+            rows.setdefault(r["bracket"], []).append(r)
         missed = {}
-        for c, middle in ranks.items():
-            rows = found.get(c, [])
-            picked = [
-                r["value"] for k in middle for r in rows
-                if r["upto"] - r["n"] < k <= r["upto"] and r["value"] != low
-            ]
-            if len(picked) == 2:
-                medians[c] = (picked[0] + picked[1]) / 2
+        for (c, k), (above, below, lo, hi) in pending.items():
+            here = rows.get(names[c, lo, hi], [])
+            under = sum(r["n"] for r in here if r["value"] == low)
+            value = [r["value"] for r in here
+                     if r["value"] != low and r["upto"] - r["n"] < k <= r["upto"]]
+            if value:
+                found[c, k] = value[0]
             else:
-                missed[c] = (low, float("inf"))
-        pending = missed
-    return medians
+                missed[c, k] = (above, lo) if k <= under else (hi, below)
+        pending = _narrowed(df, missed)
+    return {c: sum(found[c, k] for k in (ks[0], ks[-1])) / 2 for c, ks in ranks.items()}
+
+
+def _narrowed(df: DataFrame, missed: dict) -> dict:
+    """New brackets for ranks known to lie strictly between two bounds."""
+    if not missed:
+        return {}
+    stats = df.agg(*[a for i, ((c, _), (above, below)) in enumerate(missed.items()) for a in (
+        F.count_if(F.col(c) <= F.lit(above)).alias(f"{i}:before"),
+        F.count_if((F.col(c) > F.lit(above)) & (F.col(c) < F.lit(below))).alias(f"{i}:n"),
+    )]).first()
+    edge, shares = 2 / _ACCURACY, {}
+    for i, (c, k) in enumerate(missed):
+        middle = (k - stats[f"{i}:before"]) / max(stats[f"{i}:n"], 1)
+        shares[i] = [max(0.0, middle - edge), min(1.0, middle + edge)]
+    ends = df.agg(*[F.percentile_approx(
+        F.when((F.col(c) > F.lit(above)) & (F.col(c) < F.lit(below)), F.col(c)), shares[i],
+        _ACCURACY).alias(f"{i}")
+        for i, ((c, _), (above, below)) in enumerate(missed.items())]).first()
+    return {key: (above, below, *ends[f"{i}"])
+            for i, (key, (above, below)) in enumerate(missed.items())}
 
 
 def transform_columns() -> Sequence[str]:

@@ -28,7 +28,7 @@ class Thresholds:
 
     def __post_init__(self):
         if not 0.0 < self.medium < self.high < 1.0:
-            raise ValueError("Artifact risk thresholds are invalid.")
+            raise ValueError("Cut-offs must satisfy 0 < medium < high < 1.")
 
 
 def candidate_pairs() -> list[tuple[float, float]]:
@@ -131,5 +131,5 @@ def select_risk_thresholds(scored: DataFrame, label: str = "label",
                            probability: str = "probability") -> Thresholds:
     row = best_pair(grid_costs(scored, label, probability)).first()
     if row is None:
-        raise ValueError("Validation labels and probabilities must not be empty.")
+        raise ValueError("There are no scored validation rows to choose cut-offs from.")
     return Thresholds(row["medium"], row["high"], row["validation_mean_cost"])

@@ -12,6 +12,7 @@ from riskweave.operators.models import Scorer
 from riskweave.operators.overrides import (
     accepted_overrides, decide_overrides, refuse_overrides,
 )
+from riskweave.session import scratch
 from riskweave.sources.store import FeedbackStore
 
 
@@ -27,11 +28,12 @@ def assessment_batch(requests: DataFrame, accounts: DataFrame | None, scorer: Sc
     spark = requests.sparkSession
     path = f"{responses.rstrip('/')}/batch={batch}"
     ready = store.ready
-    answers = assess(requests, accounts, scorer, id_width, envelope, store_ready=ready)
-    answers.write.mode("overwrite").parquet(path)
-    answered = spark.read.parquet(path)
-    if ready and scorer is not None and accounts is not None:
-        store.append_assessments(to_record(answered, scorer.model_id, created_at), batch)
+    with scratch(spark):
+        answers = assess(requests, accounts, scorer, id_width, envelope, store_ready=ready)
+        answers.write.mode("overwrite").parquet(path)
+        answered = spark.read.parquet(path)
+        if ready and scorer is not None and accounts is not None:
+            store.append_assessments(to_record(answered, scorer.model_id, created_at), batch)
     return answered
 
 
@@ -44,12 +46,13 @@ def override_batch(requests: DataFrame, store: FeedbackStore, outcomes: str, bat
     if not store.ready:
         refuse_overrides(requests, id_width).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    decided = decide_overrides(
-        requests, store.assessments(), store.overrides_before(batch), arrival, id_width
-    )
-    decided.write.mode("overwrite").parquet(path)
-    written = spark.read.parquet(path)
-    store.append_overrides(accepted_overrides(written, created_at), batch)
+    with scratch(spark):
+        decided = decide_overrides(
+            requests, store.assessments(), store.overrides_before(batch), arrival, id_width
+        )
+        decided.write.mode("overwrite").parquet(path)
+        written = spark.read.parquet(path)
+        store.append_overrides(accepted_overrides(written, created_at), batch)
     return written
 
 

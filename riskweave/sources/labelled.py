@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,34 +16,56 @@ from riskweave.functions.text import missing_to_null
 from riskweave.operators.merge import ROW_ORDER
 
 
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files at ``path``, those with one and the same first line together."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    ).where("block = 0")
+    # one row per file reaches the driver, like in any file listing
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["file"]):
+        groups.setdefault(r["header"], []).append(unquote(r["file"]))
+    return list(groups.values())
+
+
 def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A delimited file (or folder of them) as text columns, missing tokens as NULL.
 
-    Quotes are escaped by doubling.  ``multi_line`` accepts line breaks inside quotes,
-    which makes each file one task: land big sources as many files, or pass False when
-    no field contains a line break so that files are split.
+    Quotes are escaped by doubling.  Files whose headers differ are read by their own and
+    united by column name; a column that a file does not have is NULL there.
+    ``multi_line`` accepts line breaks inside quotes, which makes each file one task: land
+    big sources as many files, or pass False when no field contains a line break so that
+    files are split.
     """
-    header = spark.read.option("header", True).option("multiLine", multi_line).option(
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option(
         "escape", '"'
-    )
+    ).option("inferSchema", False)
     try:
-        names = header.option("inferSchema", False).csv(path).columns
+        groups = _by_header(spark, path)
+        if len(groups) < 2:
+            groups = [[path]]
+        heads = [reader.csv(files).columns for files in groups]
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
-            raise FileNotFoundError(f"Required dataset is missing: {path}") from exc
+            raise FileNotFoundError(f"No file at {path}") from exc
         raise
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = header.schema(schema).csv(path)
     # position: file, split, then reading order inside the split
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return raw.select(
-        *[missing_to_null(F.col(f"`{n}`")).alias(n) for n in names],
-        position.alias(ROW_ORDER),
-    )
+    parts = []
+    for files, names in zip(groups, heads):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        parts.append(reader.schema(schema).csv(files).select(
+            *[missing_to_null(F.col(f"`{n}`")).alias(n) for n in names],
+            position.alias(ROW_ORDER),
+        ))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load_sources(spark: SparkSession, folder: str,

@@ -73,11 +73,11 @@ def load_model(spark: SparkSession, root: str) -> LoadedModel:
     """Load and check the artifacts; anything wrong is reported, not raised."""
     missing = missing_artifacts(spark, root)
     if missing:
-        return LoadedModel(None, f"Missing model artifacts: {', '.join(missing)}", missing)
+        return LoadedModel(None, f"Not found: {', '.join(missing)}", missing)
     try:
         metadata = read_metadata(spark, root).first()
         if metadata is None or list(metadata["feature_names"] or ()) != list(FEATURES):
-            raise ValueError("Artifact feature schema does not match the runtime schema.")
+            raise ValueError("The saved features are not the ones this version uses.")
         cuts = metadata["thresholds"]
         thresholds = Thresholds(cuts["medium"], cuts["high"], cuts["validation_mean_cost"])
         preprocessor = Preprocessor.from_frame(

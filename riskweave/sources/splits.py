@@ -26,7 +26,7 @@ def read_split(spark: SparkSession, path: str, name: str | None = None) -> DataF
 def write_demo(demo: DataFrame, path: str) -> None:
     exposed = set(PRIVATE_COLUMNS) & set(demo.columns)
     if exposed:
-        raise AssertionError(f"Demo data must not contain {sorted(exposed)}.")
+        raise AssertionError(f"Private columns in a demo sample: {sorted(exposed)}.")
     demo.sortWithinPartitions("account_id").write.mode("overwrite").parquet(path)
 
 

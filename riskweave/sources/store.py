@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.schemas import ASSESSMENTS, OVERRIDES
-from riskweave.session import path_exists
+from riskweave.session import path_exists, stage
 
 FIRST_BATCH = "created"
 
@@ -49,7 +49,11 @@ class FeedbackStore:
         return self._other("overrides", OVERRIDES, batch)
 
     def append_assessments(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Append new assessments; returns the rows refused for a repeated id."""
+        """Append new assessments; returns the rows refused for a repeated id.
+
+        Of rows that share an id inside the batch the first is stored: the earliest
+        ``created_at``, then the earliest row of the batch.  The others are refused.
+        """
         return self._append("assessments", ASSESSMENTS, rows, batch)
 
     def append_overrides(self, rows: DataFrame, batch: str) -> DataFrame:
@@ -61,7 +65,7 @@ class FeedbackStore:
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         if not path_exists(self.spark, self._path(name)):
-            raise RuntimeError("Feedback store is unavailable.")
+            raise RuntimeError("There is no feedback store to read.")
         return self.spark.read.schema(
             T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
         ).parquet(self._path(name))
@@ -72,10 +76,28 @@ class FeedbackStore:
     def _append(self, name: str, schema: T.StructType, rows: DataFrame,
                 batch: str) -> DataFrame:
         others = self._other(name, schema, batch).select("assessment_id")
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        new = rows.join(others, "assessment_id", "left_anti")
+        rows = stage(
+            rows.select(
+                *[F.col(f.name).cast(f.dataType) for f in schema.fields],
+                F.monotonically_increasing_id().alias("_row"),
+            ), "append",
+        )
+        # time and position as one number: a fixed-width value folds in a hash aggregate
+        turn = (
+            F.coalesce(F.unix_micros("created_at"), F.lit(0)).cast("decimal(38,0)")
+            * F.lit(str(1 << 63)).cast("decimal(20,0)") + F.col("_row")
+        ).cast("decimal(38,0)")
+        rows = rows.withColumn("_turn", turn)
+        first = (
+            rows.groupBy("assessment_id").agg(F.min("_turn").alias("_turn"))
+            .join(others, "assessment_id", "left_anti")
+        )
+        # the pair of keys spreads an id that many rows share
+        keys = rows["assessment_id"].eqNullSafe(first["assessment_id"]) & (
+            rows["_turn"] == first["_turn"])
+        columns = [f.name for f in schema.fields]
         (
-            new.dropDuplicates(["assessment_id"])
+            rows.join(first, keys, "left_semi").select(*columns)
             .write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch}")
         )
-        return rows.join(others, "assessment_id", "left_semi")
+        return rows.join(first, keys, "left_anti").select(*columns)

@@ -1,8 +1,9 @@
 """Assessment requests and overrides as streams.
 
-Each micro-batch runs the batch job under its own batch id.  A replayed micro-batch
-overwrites its earlier attempt and does not see it, which makes the sinks idempotent
-without keeping request keys as streaming state.
+Each micro-batch runs the batch job under a name made of the query's persistent id and
+the batch id.  A replayed micro-batch overwrites its earlier attempt and does not see it,
+which makes the sinks idempotent without keeping request keys as streaming state; another
+stream, or the same one with a new checkpoint, has names of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,14 @@ from riskweave.plans.serving import assessment_batch, override_batch
 from riskweave.sources.store import FeedbackStore
 
 
+def batch_name(batch: DataFrame, batch_id: int) -> str:
+    """Name of a micro-batch; Spark keeps the query's id in the checkpoint."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("A micro-batch without the id of its query cannot be named.")
+    return f"stream-{query}-{batch_id}"
+
+
 def assess_stream(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
                   store: FeedbackStore, responses: str, checkpoint: str,
                   id_width: int = 32, envelope=ENVELOPE, created_at: Column | None = None,
@@ -29,7 +38,7 @@ def assess_stream(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
         batch.persist()
         try:
             assessment_batch(batch, accounts, scorer, store, responses,
-                             f"stream-{batch_id}", id_width, envelope, created_at)
+                             batch_name(batch, batch_id), id_width, envelope, created_at)
         finally:
             batch.unpersist()
 
@@ -49,7 +58,7 @@ def override_stream(requests: DataFrame, store: FeedbackStore, outcomes: str,
     def decide(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            override_batch(batch, store, outcomes, f"stream-{batch_id}", arrival,
+            override_batch(batch, store, outcomes, batch_name(batch, batch_id), arrival,
                            id_width, created_at)
         finally:
             batch.unpersist()

@@ -154,12 +154,12 @@ def test_missing_artifacts(spark, tmp_path):
     loaded = registry.load_model(spark, str(tmp_path))
     assert not loaded.ready and loaded.model_id == "unknown_model"
     assert sorted(loaded.missing) == sorted(registry.REQUIRED)
-    assert loaded.error.startswith("Missing model artifacts: boosted_model, preprocessor")
+    assert loaded.error.startswith("Not found: boosted_model, preprocessor")
 
 
 @pytest.mark.parametrize("change,message", [
-    ({"feature_names": ["a"]}, "feature schema"),
-    ({"thresholds": {"medium": 0.7, "high": 0.3}}, "thresholds are invalid"),
+    ({"feature_names": ["a"]}, "saved features"),
+    ({"thresholds": {"medium": 0.7, "high": 0.3}}, "0 < medium < high"),
 ])
 def test_bad_metadata_is_reported(spark, saved, tmp_path, change, message):
     import shutil
@@ -219,3 +219,18 @@ def test_assembled_order(fitted):
     row = assemble(train).first()
     assert row.features.toArray().tolist() == [row[f] for f in FEATURES]
     assert len(BOOLEAN_FEATURES) == 3
+
+
+def test_the_saved_model_keeps_its_output_columns(spark, saved, fitted):
+    predict(fitted[3], fitted[1]).count()
+    loaded = registry.load_model(spark, saved).scorer.model
+    assert (loaded.getPredictionCol(), loaded.getRawPredictionCol(), loaded.getProbabilityCol()) \
+        == ("prediction", "rawPrediction", "probability")
+
+
+def test_a_column_that_is_constant_but_for_rounding_does_not_stop_the_fit(fitted):
+    _, train, counts, _ = fitted
+    noisy = train.withColumn("username_length", F.lit(1e-17) * F.rand(1))
+    model = fit_baseline(noisy, counts)
+    assert model.coefficients[list(FEATURES).index("username_length")] == 0.0
+    assert max(abs(c) for c in model.coefficients) > 0.1

@@ -13,6 +13,7 @@ from riskweave.operators.overrides import decide_overrides, read_override_bodies
 from riskweave.operators.reports import list_accounts, listing_response, readiness_report
 from riskweave.operators.thresholds import Thresholds
 from riskweave.plans.serving import assessment_batch, override_batch
+from riskweave.sources.accounts import load_accounts
 from riskweave.sources.store import FeedbackStore
 
 NOW = dt.datetime(2024, 5, 1)
@@ -159,24 +160,35 @@ def test_hot_and_hopeless_keys_give_the_same_answers(spark, accounts, monkeypatc
     seen = []
 
     def eager_hot(facts, key):
-        seen.extend(lookup.hot_keys(facts, key, min_rows=10, max_keys=2))
+        seen.extend(lookup.hot_keys(facts, key, partitions=4))
         return seen
 
     monkeypatch.setattr(module, "hot_keys", eager_hot)
     assert answers(spark, accounts, FixedScorer(), *pairs) == plain
-    assert seen[0] == "100" and "abc" not in seen and len(seen) == 2
+    assert seen == ["100"]
 
 
-def test_hot_keys_are_ranked_and_bounded(spark):
+def test_hot_keys_own_more_than_an_even_partition(spark):
     df = spark.range(1000).select((F.col("id") % 10 % 4).cast("string").alias("k"))
     rows = df.union(spark.sql("SELECT CAST(NULL AS STRING) UNION ALL SELECT 'x'"))
     demand = lookup.key_demand(rows, "k", F.col("k") != "x")
     assert {r.k: r.row_count for r in demand.collect()} == {
         "0": 300, "1": 300, "2": 200, "3": 200}
-    assert lookup.hot_keys(demand, "k", min_rows=250) == ["0", "1"]
-    assert lookup.hot_keys(demand, "k", min_rows=1, max_keys=3) == ["0", "1", "2"]
-    with pytest.raises(ValueError):
-        lookup.attach(df, "k", "k", df, "r", hot=list(range(1001)))
+    assert lookup.hot_keys(demand, "k", partitions=4) == ["0", "1"]
+    assert lookup.hot_keys(demand, "k", partitions=1) == []
+    assert lookup.hot_keys(demand.where("false"), "k") == []
+
+
+def test_thousands_of_hot_keys(spark):
+    rows = spark.range(12_000).select(
+        F.col("id").cast("string").alias("row"), (F.col("id") % 3000).cast("string").alias("k"))
+    demand = lookup.key_demand(rows, "k", F.lit(True))
+    hot = lookup.hot_keys(demand, "k", partitions=3001)
+    assert len(hot) == 3000
+    names = spark.range(3000).select(
+        F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("twice"))
+    found = lookup.attach(rows, "k", "row", names, "r", hot=hot)
+    assert found.where("r.twice = CAST(k AS BIGINT) * 2").count() == 12_000
 
 
 def test_each_account_is_scored_once(spark, accounts):
@@ -255,7 +267,7 @@ def test_repeated_assessment_ids_are_refused(spark, accounts, store, tmp_path):
     requests = ask(spark, ("x", "100"))
     answered = assess(requests, accounts, FixedScorer())
     rows = to_record(answered, "fixture_model", F.col("requested_at"))
-    assert store.append_assessments(rows.union(rows), "b1").count() == 0
+    assert store.append_assessments(rows.union(rows), "b1").count() == 1
     assert store.append_assessments(rows, "b2").count() == 1
     assert store.assessments().count() == 1
     assert store.assessments().first().created_at == NOW
@@ -265,7 +277,7 @@ def test_store_is_created_once_and_must_exist(spark, store, tmp_path):
     assert store.ready and store.initialise().assessments().count() == 0
     absent = FeedbackStore(spark, str(tmp_path / "absent"))
     assert not absent.ready
-    with pytest.raises(RuntimeError, match="unavailable"):
+    with pytest.raises(RuntimeError, match="no feedback store"):
         absent.assessments()
 
 
@@ -316,7 +328,7 @@ def test_hot_assessment(spark, monkeypatch):
     assert plain.count("recorded") == 1 and plain[0] == "recorded"
     assert plain.count("assessment_not_found") == 20
     monkeypatch.setattr(module, "hot_keys",
-                        lambda df, key: lookup.hot_keys(df, key, min_rows=5))
+                        lambda df, key: lookup.hot_keys(df, key, partitions=6))
     assert outcomes(decide_overrides(asked, known, taken, ["seq"], 8)) == plain
 
 
@@ -345,3 +357,35 @@ def test_readiness(spark, accounts):
     bad = readiness_report(accounts.limit(0), False, False, True, ["boosted_model"]).first()
     assert (bad.status, bad.model, bad.demo_account_count) == ("degraded", "unavailable", 0)
     assert bad.missing_artifacts == ["boosted_model"]
+
+
+# ---- nothing is lost ----------------------------------------------------------
+
+def test_rows_that_share_an_id_in_a_batch(spark, store):
+    late = NOW + dt.timedelta(seconds=5)
+    rows = spark.createDataFrame(
+        [("asmt_a", late, "m", "high", "completed"), ("asmt_a", NOW, "m", "low", "completed"),
+         ("asmt_b", NOW, "m", "low", "completed")],
+        "assessment_id string, created_at timestamp, model_id string, risk_band string, "
+        "status string")
+    refused = store.append_assessments(rows, "b1").collect()
+    assert [(r.assessment_id, r.risk_band) for r in refused] == [("asmt_a", "high")]
+    assert {(r.assessment_id, r.risk_band) for r in store.assessments().collect()} == {
+        ("asmt_a", "low"), ("asmt_b", "low")}
+
+
+def test_exactly_one_of_tied_overrides_wins(spark):
+    asked = spark.createDataFrame(
+        [("asmt_00000000", "uncertain", f"r{i % 2}", 1) for i in range(6)],
+        "assessment_id string, override_label string, reason_code string, seq int")
+    known = spark.createDataFrame([("asmt_00000000",)], "assessment_id string")
+    out = outcomes(decide_overrides(asked, known, known.where("false"), ["seq"], 8))
+    assert out.count("recorded") == 1 and out.count("override_already_recorded") == 5
+
+
+def test_a_corrupt_account_file_is_reported(spark, tmp_path):
+    folder = tmp_path / "people"
+    spark.createDataFrame([("1",)], "account_id string").coalesce(1).write.parquet(str(folder))
+    (folder / "part-broken.parquet").write_bytes(b"no parquet at all")
+    source = load_accounts(spark, str(folder))
+    assert not source.ready and source.error

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -83,17 +85,49 @@ def test_demo_has_no_label(accounts):
     again = S.demo_accounts(test.repartition(5), per_class=5)
     assert {r[0] for r in demo.collect()} == {r[0] for r in again.collect()}
     assert S.demo_accounts(test, per_class=500).count() == 30
-    plan = S.class_sample(test, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
 
 
-def test_large_samples_take_the_same_rows(accounts, monkeypatch):
-    by_window = {r.account_id for r in S.class_sample(accounts, 40).collect()}
-    monkeypatch.setattr(S, "WINDOW_LIMIT", 10)
+def test_samples_are_the_first_rows_in_hash_order(accounts, spark):
     by_cut = S.class_sample(accounts, 40)
     assert "Window" not in by_cut._jdf.queryExecution().executedPlan().toString()
-    assert {r.account_id for r in by_cut.collect()} == by_window
+    keys = {}
+    for r in accounts.collect():
+        digest = hashlib.md5(f"{42 + r.label}:sample:{r.account_id}".encode()).hexdigest()
+        keys.setdefault(r.label, []).append((digest, r.account_id))
+    want = {i for rows in keys.values() for _, i in sorted(rows)[:40]}
+    assert {r.account_id for r in by_cut.collect()} == want
     assert S.class_sample(accounts, 4000).count() == 200
+    assert S.class_sample(accounts.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [1, 3, 10_000])
+def test_order_keys_are_found_in_cells_of_any_size(accounts, cell_rows):
+    order = S.hash_order("account_id", "7")
+    cells = S.prefix_counts(accounts, "label", order)
+    # coarse cells, so that several levels are needed
+    coarse = {c: {} for c in cells}
+    for c, parts in cells.items():
+        for p, n in parts.items():
+            coarse[c][p] = coarse[c].get(p, 0) + n
+    found = S.order_keys_at(accounts, "label", order, coarse, {0: {1, 7, 50}, 1: {100}},
+                            cell_rows)
+    keys = {}
+    for r in accounts.select("label", order.alias("k")).collect():
+        keys.setdefault(r["label"], []).append(r["k"])
+    ranked = {c: sorted(k) for c, k in keys.items()}
+    assert found == {0: {r: ranked[0][r - 1] for r in (1, 7, 50)}, 1: {100: ranked[1][99]}}
+
+
+def test_crowded_cells_are_split_by_more_digits(spark):
+    # all hashes begin with the same eight digits
+    rows = spark.range(3000).select(
+        F.lit(1).alias("label"), F.concat(F.lit("abcdabcd"), F.md5(F.col("id").cast("string")))
+        .alias("k"))
+    cells = S.prefix_counts(rows, "label", F.col("k"))
+    assert cells == {1: {"abcd": 3000}}
+    ranked = sorted(r["k"] for r in rows.collect())
+    found = S.order_keys_at(rows, "label", F.col("k"), cells, {1: {1, 1500, 3000}}, 20)
+    assert found == {1: {r: ranked[r - 1] for r in (1, 1500, 3000)}}
 
 
 def test_split_and_demo_files(spark, accounts, tmp_path):

@@ -1,9 +1,11 @@
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from riskweave.operators.assess import assess
 from riskweave.schemas import REQUESTS
+from riskweave.session import stage_path
 from riskweave.sources.store import FeedbackStore
 from riskweave.streaming.intake import assess_stream, override_stream
 from tests.test_serving import ACCOUNTS, NOW, FixedScorer
@@ -91,3 +93,32 @@ def test_earlier_micro_batches_win(spark, tmp_path):
     assert out.count() == 14 and out.where("outcome = 'recorded'").count() == 3
     codes = {r["code"]: r["count"] for r in out.groupBy("error.code").count().collect()}
     assert codes["assessment_not_found"] == 2 and codes["override_already_recorded"] == 9
+
+
+def test_a_second_stream_replaces_nothing(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    requests(spark, 0, 30).coalesce(1).write.parquet(inbox)
+    for name in ("one", "two"):
+        stream = spark.readStream.schema(REQUESTS).parquet(inbox)
+        run(assess_stream(stream, accounts(spark), FixedScorer(), store, f"{root}/responses",
+                          f"{root}/checkpoint-{name}", created_at=F.col("requested_at")))
+    answers = spark.read.parquet(f"{root}/responses")
+    assert answers.count() == 60 and answers.select("batch").distinct().count() == 2
+    stored = store.assessments()
+    assert stored.count() == stored.select("assessment_id").distinct().count() > 0
+
+
+def test_batches_leave_no_staged_tables(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    staged = Path(stage_path(spark, "x")).parent
+    for i in range(4):
+        requests(spark, 10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(inbox)
+    people = accounts(spark)
+    before = len(list(staged.iterdir())) if staged.exists() else 0
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    run(assess_stream(stream, people, FixedScorer(), store, f"{root}/responses",
+                      f"{root}/checkpoint"))
+    after = len(list(staged.iterdir())) if staged.exists() else 0
+    assert after == before
