@@ -28,11 +28,6 @@ from riskweave.streaming import intake
 _kept: dict[tuple, object] = {}
 
 
-def forget() -> None:
-    """Drop intermediate results shared by queries (benchmarks start afresh)."""
-    _kept.clear()
-
-
 def _once(name: str, spark: SparkSession, folder: str, build: Callable):
     """Intermediate results are stored tables or fitted parameters, built once."""
     key = (name, spark.sparkContext.applicationId, folder)
@@ -693,7 +688,9 @@ def boosted_additivity(spark, folder):
 def boosted_shape(spark, folder):
     """Size of the saved ensemble, and its output columns as they were fitted."""
     model = _boosted(spark, folder).model
-    nodes = spark.read.parquet(f"{_trained(spark, folder)}/artifacts/{registry.MODEL}/data")
+    saved = registry.artifact_path(f"{_trained(spark, folder)}/artifacts", registry.MODEL,
+                                   _boosted(spark, folder).model_id)
+    nodes = spark.read.parquet(f"{saved}/data")
     trees = nodes.groupBy("treeID").agg(F.max("nodeData.id").alias("last_node"))
     shape = trees.agg(F.count("*").alias("tree_count"),
                       (F.max("last_node") < 2 ** 5 - 1).alias("depth_kept"))
@@ -742,6 +739,13 @@ def training_cleaning(spark, folder):
     )
 
 
+# what several queries build on, in the order of dependence
+SHARED_STEPS: dict[str, Callable[[SparkSession, str], object]] = {
+    "clean": clean, "split": split_accounts, "features": split_features,
+    "preprocessor": preprocessor, "fixed_scorer": fixed_scorer, "accounts": accounts,
+    "written": _written, "store": _shared_store, "train_full": _trained,
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (

@@ -58,10 +58,11 @@ def valid_row() -> Column:
 def account_groups(bronze: DataFrame) -> DataFrame:
     """One row per account: row count, label range and the best row.
 
-    A single hash aggregate on ``account_id``.  Each map task folds its own rows
-    first, so an account that owns a third of the table still sends one row per map
-    task.  Rows without a valid id and label share the NULL account.  Columns that a
-    consumer does not read (``best`` for a summary) are pruned before the shuffle.
+    A single aggregate on ``account_id``.  Each map task folds its own rows first, so an
+    account that owns a third of the table still sends one row per map task.  The best
+    row is a struct, which Spark folds in a sort aggregate: each task sorts its rows by
+    account.  Without it (``best`` is pruned for a summary) it is a hash aggregate.  Rows
+    without a valid id and label share the NULL account.
     """
     rows = with_identity(bronze)
     rank = (

@@ -109,5 +109,5 @@ def train(sources: Sequence[DataFrame], artifacts: str, generated: str,
         },
         "library_versions": {"pyspark": pyspark.__version__, "spark": spark.version},
     }
-    save_artifacts(spark, artifacts, boosted, preprocessor, baseline)
+    save_artifacts(spark, artifacts, metadata["model_id"], boosted, preprocessor, baseline)
     return save_metadata(spark, artifacts, metadata)

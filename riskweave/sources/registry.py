@@ -1,4 +1,9 @@
-"""Model artifacts: preprocessor, models and one metadata row per model."""
+"""Model artifacts: preprocessor, models and one metadata row per model.
+
+Every artifact lies in a folder ``model_id=<id>`` of its kind.  The metadata row is written
+last, and only models that have one are known: a training run that fails half-way leaves
+earlier models as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskweave.constants import CONFIDENCE_MARGIN, FEATURES, UNKNOWN_MODEL
 from riskweave.operators.explain import read_leaf_tables
@@ -40,12 +46,18 @@ class LoadedModel:
         return self.scorer.model_id if self.scorer else UNKNOWN_MODEL
 
 
-def save_artifacts(spark: SparkSession, root: str, boosted: GBTClassificationModel,
-                   preprocessor: Preprocessor, baseline: LogisticRegressionModel) -> None:
-    boosted.write().overwrite().save(f"{root}/{MODEL}")
-    baseline.write().overwrite().save(f"{root}/{BASELINE}")
+def artifact_path(root: str, name: str, model_id: str) -> str:
+    return f"{root}/{name}/model_id={model_id}"
+
+
+def save_artifacts(spark: SparkSession, root: str, model_id: str,
+                   boosted: GBTClassificationModel, preprocessor: Preprocessor,
+                   baseline: LogisticRegressionModel) -> None:
+    """Write a model's artifacts; ``save_metadata`` then makes it known."""
+    boosted.write().overwrite().save(artifact_path(root, MODEL, model_id))
+    baseline.write().overwrite().save(artifact_path(root, BASELINE, model_id))
     preprocessor.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(
-        f"{root}/{PREPROCESSOR}"
+        artifact_path(root, PREPROCESSOR, model_id)
     )
 
 
@@ -54,40 +66,59 @@ def metadata_frame(spark: SparkSession, metadata: dict) -> DataFrame:
 
 
 def save_metadata(spark: SparkSession, root: str, metadata: dict) -> DataFrame:
-    """Write the metadata row as a JSON table and return it."""
+    """Write the metadata row of its model (again, if it is there) and return it."""
+    model_id = metadata["model_id"]
     metadata_frame(spark, metadata).coalesce(1).write.mode("overwrite").json(
-        f"{root}/{METADATA}"
+        artifact_path(root, METADATA, model_id)
     )
-    return read_metadata(spark, root)
+    return read_metadata(spark, root).where(F.col("model_id") == model_id)
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """One row per known model."""
     return spark.read.schema(REGISTRY).json(f"{root}/{METADATA}")
 
 
-def missing_artifacts(spark: SparkSession, root: str) -> tuple[str, ...]:
-    return tuple(n for n in REQUIRED if not path_exists(spark, f"{root}/{n}"))
+def newest_model(spark: SparkSession, root: str) -> str | None:
+    """Id of the known model that was created last."""
+    if not path_exists(spark, f"{root}/{METADATA}"):
+        return None
+    row = read_metadata(spark, root).select("model_id", "created_at").orderBy(
+        F.desc_nulls_last("created_at"), F.desc("model_id")).first()
+    return row["model_id"] if row else None
+
 
+def missing_artifacts(spark: SparkSession, root: str, model_id: str | None) -> tuple[str, ...]:
+    if model_id is None:
+        return REQUIRED
+    return tuple(
+        n for n in REQUIRED if not path_exists(spark, artifact_path(root, n, model_id)))
 
-def load_model(spark: SparkSession, root: str) -> LoadedModel:
-    """Load and check the artifacts; anything wrong is reported, not raised."""
-    missing = missing_artifacts(spark, root)
+
+def load_model(spark: SparkSession, root: str, model_id: str | None = None) -> LoadedModel:
+    """Load and check a model, by default the newest; what is wrong is reported, not raised."""
+    try:
+        model_id = model_id or newest_model(spark, root)
+    except Exception as exc:
+        return LoadedModel(None, str(exc))
+    missing = missing_artifacts(spark, root, model_id)
     if missing:
         return LoadedModel(None, f"Not found: {', '.join(missing)}", missing)
     try:
-        metadata = read_metadata(spark, root).first()
+        metadata = read_metadata(spark, root).where(F.col("model_id") == model_id).first()
         if metadata is None or list(metadata["feature_names"] or ()) != list(FEATURES):
             raise ValueError("The saved features are not the ones this version uses.")
         cuts = metadata["thresholds"]
         thresholds = Thresholds(cuts["medium"], cuts["high"], cuts["validation_mean_cost"])
         preprocessor = Preprocessor.from_frame(
-            spark.read.parquet(f"{root}/{PREPROCESSOR}")
+            spark.read.parquet(artifact_path(root, PREPROCESSOR, model_id))
         )
-        model = GBTClassificationModel.load(f"{root}/{MODEL}")
+        model = GBTClassificationModel.load(artifact_path(root, MODEL, model_id))
     except Exception as exc:
         return LoadedModel(None, str(exc))
     try:
-        leaves, explainer_error = read_leaf_tables(spark, f"{root}/{MODEL}"), None
+        leaves, explainer_error = read_leaf_tables(
+            spark, artifact_path(root, MODEL, model_id)), None
     except Exception as exc:   # the score survives without its explanation
         leaves, explainer_error = None, str(exc)
     margin = metadata["confidence_margin"]

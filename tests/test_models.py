@@ -40,7 +40,7 @@ def fitted(rows):
 def saved(spark, fitted, tmp_path_factory):
     p, train, counts, model = fitted
     root = str(tmp_path_factory.mktemp("artifacts"))
-    registry.save_artifacts(spark, root, model, p, fit_baseline(train, counts))
+    registry.save_artifacts(spark, root, "fixture_model", model, p, fit_baseline(train, counts))
     registry.save_metadata(spark, root, {
         "model_id": "fixture_model", "feature_names": list(FEATURES),
         "transformed_feature_names": list(FEATURES),
@@ -109,7 +109,7 @@ def conditional_margin(nodes, weights, x, known):
 
 def test_contributions_equal_brute_force_shapley(spark, fitted, saved):
     _, train, _, _ = fitted
-    path = f"{saved}/{registry.MODEL}"
+    path = registry.artifact_path(saved, registry.MODEL, "fixture_model")
     nodes = spark.read.parquet(f"{path}/data").collect()
     weights = explain.read_tree_weights(spark, path)
     used = sorted({r["nodeData"]["split"]["featureIndex"] for r in nodes
@@ -234,3 +234,21 @@ def test_a_column_that_is_constant_but_for_rounding_does_not_stop_the_fit(fitted
     model = fit_baseline(noisy, counts)
     assert model.coefficients[list(FEATURES).index("username_length")] == 0.0
     assert max(abs(c) for c in model.coefficients) > 0.1
+
+
+def test_models_are_kept_side_by_side(spark, saved, fitted, tmp_path):
+    import shutil
+
+    p, train, counts, model = fitted
+    root = str(tmp_path / "two")
+    shutil.copytree(saved, root)
+    row = {"feature_names": list(FEATURES), "transformed_feature_names": list(FEATURES),
+           "thresholds": {"medium": 0.2, "high": 0.8}, "confidence_margin": 0.08}
+    baseline = fit_baseline(train, counts)
+    # artifacts without a metadata row: a run that did not come to its end
+    registry.save_artifacts(spark, root, "later", model, p, baseline)
+    assert registry.load_model(spark, root).model_id == "fixture_model"
+    registry.save_metadata(spark, root, {**row, "model_id": "later", "created_at": "2024"})
+    assert registry.load_model(spark, root).model_id == "later"
+    assert registry.load_model(spark, root, "fixture_model").scorer.thresholds.high == 0.7
+    assert registry.training_summary(registry.read_metadata(spark, root)).count() == 2

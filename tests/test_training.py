@@ -53,5 +53,7 @@ def test_artifacts_serve_requests(spark, sample, run):
 def test_baseline_is_saved_too(spark, run):
     from pyspark.ml.classification import LogisticRegressionModel
 
-    root, _ = run
-    assert LogisticRegressionModel.load(f"{root}/artifacts/{registry.BASELINE}").numFeatures == 12
+    root, metadata = run
+    path = registry.artifact_path(f"{root}/artifacts", registry.BASELINE,
+                                  metadata.first()["model_id"])
+    assert LogisticRegressionModel.load(path).numFeatures == 12
