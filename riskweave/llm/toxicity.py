@@ -37,6 +37,7 @@ MAX_LEXICON = 5_000
 FOLDS = 5
 HELD_OUT, CALIBRATION = 0, 4
 ROUNDS, DEPTH, RATE = 20, 3, 0.2
+FIT_PARTITIONS = 8
 SHORTEST, LONGEST = 3, 12
 NEAR_WORDS = 5
 REJECT_AT = 0.5
@@ -278,7 +279,7 @@ def fold(id_column: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                     label_col: str, label_id_col: str, max_rows: int) -> DataFrame:
-    """``text, label, fold`` of labelled rows that may be learned from, stored."""
+    """``id, text, label, fold`` of labelled rows that may be learned from, stored."""
     ids = (
         labels.select(F.col(f"`{label_id_col}`").alias("_id"),
                       F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -295,7 +296,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # at most max_rows ids are broadcast, so the texts stay where they are
     return stage(
         text.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-        .select("text", "label", "fold").repartition(32), "labelled")
+        .select(F.col("_id").alias("id"), "text", "label", "fold").repartition(32), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -311,9 +312,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                              max_labelled)
     lexicon = learn_lexicon(sample)
     rows = stage(
-        sample.select(features_column(F.col("text"), lexicon).alias("values"),
+        sample.select("id", features_column(F.col("text"), lexicon).alias("values"),
                       F.col("label").cast("double").alias("label"), "fold"), "features")
-    rows = rows.select(array_to_vector("values").alias("features"), "label", "fold")
+    # the same rows in the same places whatever the tasks before did, so the same trees
+    rows = rows.repartition(FIT_PARTITIONS, "id").sortWithinPartitions("id", "values").select(
+        array_to_vector("values").alias("features"), "label", "fold")
     seen = {(r["fold"] == CALIBRATION, r["label"]): r["n"] for r in
             rows.groupBy("fold", "label").agg(F.count("*").alias("n"))
             .groupBy((F.col("fold") == CALIBRATION).alias("c"), "label")
