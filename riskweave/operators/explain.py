@@ -141,17 +141,25 @@ def expected_margin(tables: Sequence[LeafTable]) -> float:
     return float(sum(leaf.expected for leaf in tables))
 
 
-def contribution_column(spark: SparkSession, tables: Sequence[LeafTable],
+def contribution_column(tables: Sequence[LeafTable],
                         columns: Sequence[str]) -> Column:
-    """ARRAY<DOUBLE> of contributions in the order of ``columns``, by Arrow batch."""
-    shared = spark.sparkContext.broadcast(plain(tables))
+    """ARRAY<DOUBLE> of contributions in the order of ``columns``, by Arrow batch.
+
+    NULL for a batch whose explanation fails: the scores survive without it.  The tables,
+    bounded by the model's size, travel with the function.
+    """
+    held = plain(tables)
     batch_contributions = batch_explainer()
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
             x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-            yield pd.Series(list(batch_contributions(x, shared.value)))
+            try:
+                found = list(batch_contributions(x, held))
+            except Exception:
+                found = [None] * len(x)
+            yield pd.Series(found)
 
     return explain(*[F.col(c) for c in columns])
 

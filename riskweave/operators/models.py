@@ -119,7 +119,7 @@ class BoostedScorer(Scorer):
     def _explained(self, df: DataFrame) -> DataFrame:
         if not self.leaves or len(self.feature_names) != len(FEATURES):
             return df.withColumn("contributions", F.lit(None).cast("array<double>"))
-        column = contribution_column(df.sparkSession, self.leaves, FEATURES)
+        column = contribution_column(self.leaves, FEATURES)
         return df.withColumn("contributions", column)
 
 

@@ -252,3 +252,12 @@ def test_models_are_kept_side_by_side(spark, saved, fitted, tmp_path):
     assert registry.load_model(spark, root).model_id == "later"
     assert registry.load_model(spark, root, "fixture_model").scorer.thresholds.high == 0.7
     assert registry.training_summary(registry.read_metadata(spark, root)).count() == 2
+
+
+def test_an_explanation_that_fails_in_a_task_leaves_the_score(rows, fitted):
+    p, _, _, model = fitted
+    broken = explain.LeafTable(features=(99,), above=np.array([0.0]), upto=np.array([1.0]),
+                               shares=np.zeros((2, 1)), expected=0.0)
+    scorer = BoostedScorer("m", p, Thresholds(0.3, 0.7), model=model, leaves=[broken])
+    out = scorer.score(rows).select("probability", "contributions").collect()
+    assert all(r.probability is not None and r.contributions is None for r in out)
