@@ -13,17 +13,17 @@ and a second, small job turns document lengths into global offsets.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +41,12 @@ LONGEST_KNOWN = 64
 # of the spans between such borders are the ids of the text.
 _UNSAFE = re.compile(r"\s | \s|^ | $")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
-# Fixed value: the pre-token pattern of byte-level BPE.
-_WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# Characters on whose classes all regex engines agree; other spans are left to the library.
-_SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
+# Fixed value: the pre-token pattern of byte-level BPE, for spans of the characters below;
+# other spans are left to the library.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_WORDS = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_SETTLED = re.compile(f"[\t\n\r\x20-\x7e{_LETTERS}]*")
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -69,18 +70,18 @@ def byte_characters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Ids of spans that follow ``lead``; what is missing is encoded on the way."""
+    """Ids of texts, after ``lead``; what is missing is encoded on the way."""
 
-    def __init__(self, encoder: SpanEncoder, lead: str):
+    def __init__(self, encode: Callable[[str], bytes], lead: str = ""):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.encode, self.lead = encode, lead
 
-    def __missing__(self, span: str) -> bytes:
-        out = self.encoder.span_ids(self.lead + span)
-        if len(span) <= LONGEST_KNOWN:
+    def __missing__(self, text: str) -> bytes:
+        out = self.encode(self.lead + text)
+        if len(text) <= LONGEST_KNOWN:
             if len(self) >= MAX_KNOWN:
                 self.clear()
-            self[span] = out
+            self[text] = out
         return out
 
 
@@ -100,26 +101,22 @@ class SpanEncoder:
         added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", ())]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.characters, self.dtype = byte_characters(), dtype
-        self.first, self.rest = _Remembered(self, ""), _Remembered(self, " ")
-        self.words: dict[str, bytes] = {}
+        self.first, self.rest = _Remembered(self.span_ids), _Remembered(self.span_ids, " ")
+        self.words = _Remembered(self.word_ids)
         self.end = self.packed([end_id])
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
     def span_ids(self, span: str) -> bytes:
-        if not _SETTLED.fullmatch(span) or self.added.search(span):
+        plain = span.isascii() and span.isprintable() or _SETTLED.fullmatch(span)
+        if not plain or self.added.search(span):
             return self.packed(self.tokenizer.encode(span, add_special_tokens=False).ids)
-        return b"".join([self.words.get(w) or self.word_ids(w) for w in _WORDS.findall(span)])
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(span)))
 
     def word_ids(self, word: str) -> bytes:
         spelt = word.encode().decode("latin-1").translate(self.characters)
-        out = self.packed([t.id for t in self.model.tokenize(spelt)])
-        if len(word) <= LONGEST_KNOWN:
-            if len(self.words) >= MAX_KNOWN:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        return self.packed([t.id for t in self.model.tokenize(spelt)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, the end id last."""
@@ -170,6 +167,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         encoder, n_docs, n_tokens = None, 0, 0
         system.create_dir(root, recursive=True)
         width = np.dtype(dtype).itemsize
+        # words and ids make no cycles; a collector would walk all of them again and again
+        gc.disable()
         with (system.open_output_stream(f"{root}/{name}.ids") as ids_file,
               system.open_output_stream(f"{root}/{name}.lengths") as lengths_file,
               system.open_output_stream(f"{root}/{name}.docs") as docs_file):
@@ -181,6 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 lengths_file.write(sizes.astype("<i8").tobytes())
                 docs_file.write(table.column("doc_id").to_numpy().astype("<i8").tobytes())
                 n_docs, n_tokens = n_docs + len(packed), n_tokens + int(sizes.sum())
+        gc.enable()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "name": [name],
             "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
