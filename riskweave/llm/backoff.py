@@ -5,16 +5,18 @@ every document, summed per document.  Rows are packed: a block of documents send
 distinct n-grams once, as one sorted list per hash range, so the most frequent n-gram of the
 corpus is one entry per block, and a range is joined by merging sorted lists.
 
-1. ``tokens``: per block, its documents' words as ids of the block's own vocabulary (stored).
+1. ``tokens``: per block, its documents' words as ids of the block's own vocabulary, stored
+   bucketed by block.
 2. ``totals``: n-grams meet by hash range; each block gets back the counts that exceed its own.
-3. Per block, tokens and totals meet; the document's own occurrences are taken off, and each
-   word is scored by the longest n-gram that another document has.
+3. Per block, tokens (which the bucketing leaves where they are) and totals meet; the
+   document's own occurrences are taken off, and each word is scored by the longest n-gram that
+   another document has.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import id_and_bytes, regroup
 from riskweave.llm.positional_index import pack, pieces_of_words, unpack
-from riskweave.session import stage
+from riskweave.session import stage, stage_path
 
 ORDER = 3
 ALPHA = 0.4
@@ -119,8 +121,8 @@ def distinct_grams(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
 
 # ---- jobs ---------------------------------------------------------------------
 
-def tokenise(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Stored ``TOKENS``: one row per block."""
+def tokenise(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> str:
+    """Name of a new table of ``TOKENS``: one row per block, bucketed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -135,7 +137,11 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> D
             block += 1
 
     rows = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return stage(rows.mapInArrow(run, TOKENS), "tokens")
+    spark, name = docs.sparkSession, f"tokens_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(run, TOKENS).write.bucketBy(buckets, "block").option(
+        "path", stage_path(spark, "tokens")).format("parquet").saveAsTable(name)
+    return name
 
 
 def _opened(row: dict, order: int):
@@ -148,7 +154,7 @@ def _opened(row: dict, order: int):
 
 
 def count_totals(tokens: DataFrame, order: int, parts: int) -> DataFrame:
-    """Stored ``TOTALS``: for each block and hash range, the places (in the block's sorted
+    """``TOTALS``: for each block and hash range, the places (in the block's sorted
     n-grams of the range) whose count in the corpus exceeds the block's own, and the counts."""
     limits = bounds(parts)
 
@@ -203,8 +209,7 @@ def count_totals(tokens: DataFrame, order: int, parts: int) -> DataFrame:
                          "places": pa.array(out["places"], pa.binary()),
                          "totals": pa.array(out["totals"], pa.binary())})
 
-    sent = tokens.mapInArrow(send, ENTRIES)
-    return stage(sent.groupBy("part").applyInArrow(meet, TOTALS), "totals")
+    return tokens.mapInArrow(send, ENTRIES).groupBy("part").applyInArrow(meet, TOTALS)
 
 
 def elsewhere(doc_of: np.ndarray, index: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -270,7 +275,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own, so copies vouch for each other.  Other columns are ignored; an empty table gives
     no rows.  A task holds one block; a text longer than a block is a block.
     """
-    tokens = tokenise(docs, id_col, text_col, block_bytes)
+    spark = docs.sparkSession
+    name = tokenise(docs, id_col, text_col, block_bytes)
+    tokens = spark.table(name)
     n_corpus = tokens.select(F.sum(F.expr(
         "aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = -(-n_corpus * order // range_entries) or 1
@@ -294,5 +301,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  "n_unseen": pa.int64()}
         return pa.table({c: pa.array(v, types.get(c, pa.float64())) for c, v in columns.items()})
 
-    return (tokens.groupBy("block").cogroup(totals.groupBy("block"))
-            .applyInArrow(score, SCORES))
+    scored = tokens.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, SCORES)
+    out = stage(scored, "scores")
+    spark.sql(f"DROP TABLE {name}")
+    return out
