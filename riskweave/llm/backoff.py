@@ -223,29 +223,30 @@ def elsewhere(doc_of: np.ndarray, index: np.ndarray, total: np.ndarray) -> np.nd
     return out
 
 
-def block_scores(lengths: np.ndarray, within: np.ndarray, grams: list, known: np.ndarray,
-                 totals: np.ndarray, n_corpus: int, alpha: float) -> dict[str, np.ndarray]:
-    """Sums per document of a block.  ``known`` are its sorted n-grams, ``totals`` their counts
-    in the corpus."""
+def block_scores(lengths: np.ndarray, within: np.ndarray, ends: list[np.ndarray],
+                 index: list[np.ndarray], totals: np.ndarray, n_corpus: int,
+                 alpha: float) -> dict[str, np.ndarray]:
+    """Sums per document of a block.  For each order, ``ends`` says where n-grams end and
+    ``index`` which they are; ``totals`` are the counts in the corpus by that number."""
     n_docs, size = len(lengths), int(lengths.sum())
     doc_of = np.repeat(np.arange(n_docs), lengths)
     others = (n_corpus - lengths)[doc_of]
     log = np.full(size, np.nan)
     full, unseen = np.zeros(size, bool), np.zeros(size, bool)
     counts: list[np.ndarray] = []
-    for ends, hashes in grams:
-        index = np.searchsorted(known, hashes)
+    for at, which in zip(ends, index):
         count = np.zeros(size, np.int64)
-        count[ends] = elsewhere(doc_of[ends], index, totals[index])
+        count[at] = elsewhere(doc_of[at], which, totals[which])
         counts.append(count)
-    available = np.minimum(within + 1, len(grams))
+    orders = len(ends)
+    available = np.minimum(within + 1, orders)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for n in range(len(grams), 0, -1):
+        for n in range(orders, 0, -1):
             seen = np.flatnonzero(np.isnan(log) & (counts[n - 1] > 0))
             before = counts[n - 2][seen - 1] if n > 1 else others[seen]
             log[seen] = (np.log(counts[n - 1][seen]) - np.log(before)
                          + (available[seen] - n) * math.log(alpha))
-            if n == len(grams):
+            if n == orders:
                 full[seen] = True
         rest = np.flatnonzero(np.isnan(log))
         unseen[rest] = True
@@ -288,12 +289,15 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns: dict[str, list] = {c.split()[0]: [] for c in SCORES.split(", ")}
         for row in left.to_pylist():
             lengths, within, grams = _opened(row, order)
-            known, counts = distinct_grams(grams)
+            known, which, counts = np.unique(
+                np.concatenate([h for _, h in grams]), return_inverse=True, return_counts=True)
             at = np.searchsorted(known, limits)
             for answer in right.to_pylist():
                 places = np.cumsum(unpack(answer["places"]))
                 counts[at[answer["part"]] + places] = unpack(answer["totals"])
-            found = block_scores(lengths, within, grams, known, counts, n_corpus, alpha)
+            ends = [e for e, _ in grams]
+            index = np.split(which, np.cumsum([len(e) for e in ends])[:-1])
+            found = block_scores(lengths, within, ends, index, counts, n_corpus, alpha)
             columns["doc_id"] += row["doc_ids"]
             for c, values in found.items():
                 columns[c] += values.tolist()
