@@ -62,8 +62,8 @@ def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
               delta_chars: int = DELTA_CHARS) -> DataFrame:
     """The log of finished conversations: each row is a message, streamed in deltas.
 
-    Rows that share a turn are messages of their own, ordered by role, text and then by an id
-    that only tells equal rows apart.  Null texts and roles are empty.
+    Rows that share a turn are messages of their own, ordered by role, the XXH64 of their text
+    and then by an id that only tells equal rows apart.  Null texts and roles are empty.
     """
     row = F.monotonically_increasing_id()
     text, role = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -75,8 +75,7 @@ def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     return parts.select(
         "conv_id", "turn",
-        F.struct("role", F.substring("text", 1, 512).alias("head"),
-                 F.xxhash64("text").alias("key"), "row").alias("message"),
+        F.struct("role", F.xxhash64("text").alias("key"), "row").alias("message"),
         (F.coalesce("turn", F.lit(0).cast("long")) * (1 << 24) + F.col("part")).alias("seq"),
         F.lit(DELTA).alias("kind"), "role",
         F.expr(f"substring(text, int(part * {delta_chars} + 1), {delta_chars})").alias("text"))
