@@ -138,8 +138,11 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _decisions(marked: DataFrame) -> DataFrame:
+    # stored, so that the join has a plain exchange on either side: adaptive execution can then
+    # split the partition of a text that fills a third of the rows
+    groups = stage(_copies(marked), "groups")
     grouped = (
-        marked.where("maybe").join(_copies(marked), "sha")
+        marked.where("maybe").join(groups, "sha")
         .select("doc_id", "keep_id", "group_size",
                 (F.col("row_id") == F.col("keep_row")).alias("kept"), "sha")
     )
