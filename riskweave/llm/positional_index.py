@@ -274,9 +274,10 @@ def _search(index: DataFrame, rows: DataFrame, windows: DataFrame, near_terms: i
         words = windows.join(items, "item", "left_semi").select(
             "item", F.explode("words").alias("term")).distinct()
         count = postings.groupBy("term").agg(F.sum("n").alias("n"))
-        order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term")
+        # words that no document has are rarer than any, and would keep the item from matching
+        order = Window.partitionBy("item").orderBy("n", "term")
         best = (
-            words.join(count, "term", "left").withColumn("rank", F.row_number().over(order))
+            words.join(count, "term").withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= near_terms).groupBy("item")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("best"))
         )
@@ -327,8 +328,9 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id",
     """``block, place, item, kind, start, end``: where the index has the test items.
 
     ``phrase``: words ``start`` to ``end`` of the document are covered by windows of the item.
-    ``near``: the item's ``near_terms`` rarest terms all occur within ``slop`` words of the
-    word at ``start``, in any order (0 terms: not searched).
+    ``near``: of the item's terms that occur in the index, the ``near_terms`` rarest (or all, if
+    there are fewer) are within ``slop`` words of the word at ``start``, in any order (0 terms:
+    not searched).
     """
     if not 0 <= slop < GAP or not 0 < window_words <= GAP:
         raise ValueError(f"Windows and distances are below {GAP} words")

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as driver
 from riskweave.llm import positional_index as P
 
 from .conftest import TEXTS
@@ -79,6 +81,62 @@ def test_near_matches_in_any_order(spark):
             1: (1, False), 2: (0, False), 3: (0, False)}
 
 
+def brute_near(docs, items, slop=P.SLOP, near_terms=P.NEAR_TERMS):
+    """Per document: items whose rarest words of the corpus are close together."""
+    said = [words(t) for _, t in docs]
+    count = Counter(w for ws in said for w in ws)
+    spots = []
+    for ws in said:
+        at = {}
+        for k, w in enumerate(ws):
+            at.setdefault(w, []).append(k)
+        spots.append(at)
+    known = {}
+    for i, t in items:
+        known.setdefault("" if i is None else str(i), set()).update(words(t))
+    out = [0] * len(docs)
+    for terms in known.values():
+        best = sorted((w for w in terms if count[w]), key=lambda w: (count[w], w))[:near_terms]
+        for d, at in enumerate(spots):
+            out[d] += bool(best) and any(
+                all(any(abs(p - q) <= slop for q in at.get(w, ())) for w in best)
+                for p in at.get(best[0], ()))
+    return sorted(((i, n) for (i, _), n in zip(docs, out)), key=str)
+
+
+def test_a_word_that_no_document_has(spark):
+    docs = [(1, "alpha one beta two gamma"), (2, "beta")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = [(1, "gamma unseen beta alpha"), (2, "never seen"), (3, None)]
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    for chunk in (100, 1):
+        found = P.contamination(rows, items, chunk_windows=chunk).select("doc_id", "n_near")
+        assert sorted(map(tuple, found.collect())) == brute_near(docs, tests) == [(1, 1), (2, 0)]
+
+
+def test_near_matches_equal_brute_force_on_random_words(spark):
+    rng = random.Random(5)
+    text = lambda n, letters: " ".join(rng.choice(letters) for _ in range(n))
+    docs = [(i, text(rng.randrange(60), "abcdefghijklmnop")) for i in range(40)]
+    tests = [(i % 9, text(rng.randrange(7), "abcdefghijklmnopxyz")) for i in range(12)]
+    found = P.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                            spark.createDataFrame(tests, "item_id long, text string"),
+                            window_words=5, slop=6, block_bytes=100, chunk_windows=7)
+    got = sorted(map(tuple, found.select("doc_id", "n_near").collect()), key=str)
+    assert got == brute_near(docs, tests, slop=6) and any(n for _, n in got)
+
+
+def test_registered_query_gives_near_matches(spark, sample, texts):
+    tests = [(r["item_id"], r["text"]) for r in
+             spark.read.parquet(f"{sample}/benchmark.parquet").collect()]
+    found = driver.queries()["decontamination_near"](spark, sample)
+    got = sorted(map(tuple, found.select("doc_id", "n_near").collect()), key=str)
+    assert got == brute_near(texts, tests) and any(n for _, n in got)
+    assert sorted(map(tuple, found.select(COLUMNS).collect()), key=str) == sorted(
+        map(tuple, driver.queries()["op3_decontamination"](spark, sample).select(
+            COLUMNS).collect()), key=str)
+
+
 def test_only_hit_rows_go(edge_docs, no_docs, items):
     kept = P.drop_contaminated(edge_docs.where("length(text) < 1000 OR text IS NULL"), items[0])
     assert kept.columns == edge_docs.columns
