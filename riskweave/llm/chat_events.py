@@ -57,15 +57,31 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def in_order(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+             role_col: str = "role", text_col: str = "text", name: str = "place") -> DataFrame:
+    """The rows with a number ``name`` that grows, within a conversation, with turn (null last),
+    role and text.  Null texts and roles are empty.
+
+    Texts are sorted once per message, so that its events need only the number."""
+    text, role = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+                  for c in (text_col, role_col))
+    turn = F.col(f"`{turn_col}`").cast("long")
+    return conversations.repartition(F.col(f"`{conv_col}`")).sortWithinPartitions(
+        F.col(f"`{conv_col}`"), turn.asc_nulls_last(), role, text
+    ).withColumn(name, F.monotonically_increasing_id())
+
+
 def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
               role_col: str = "role", text_col: str = "text",
-              delta_chars: int = DELTA_CHARS) -> DataFrame:
+              delta_chars: int = DELTA_CHARS, order_col: str | None = None) -> DataFrame:
     """The log of finished conversations: each row is a message, streamed in deltas.
 
-    Rows that share a turn are messages of their own, ordered by role, the XXH64 of their text
-    and then by an id that only tells equal rows apart.  Null texts and roles are empty.
+    Rows that share a turn are messages of their own, ordered by ``order_col``, which has no
+    value twice in a conversation (see ``in_order``).  Without it they are ordered by role, the
+    XXH64 of their text and then by an id that only tells equal rows apart.  Null texts and
+    roles are empty.
     """
-    row = F.monotonically_increasing_id()
+    row = F.col(f"`{order_col}`") if order_col else F.monotonically_increasing_id()
     text, role = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
                   for c in (text_col, role_col))
     rows = conversations.select(
@@ -73,9 +89,10 @@ def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
         role.alias("role"), text.alias("text"), row.alias("row"))
     last = F.greatest(F.lit(0), F.expr(f"(length(text) - 1) div {delta_chars}"))
     parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    message = F.struct("row") if order_col else F.struct(
+        "role", F.xxhash64("text").alias("key"), "row")
     return parts.select(
-        "conv_id", "turn",
-        F.struct("role", F.xxhash64("text").alias("key"), "row").alias("message"),
+        "conv_id", "turn", message.alias("message"),
         (F.coalesce("turn", F.lit(0).cast("long")) * (1 << 24) + F.col("part")).alias("seq"),
         F.lit(DELTA).alias("kind"), "role",
         F.expr(f"substring(text, int(part * {delta_chars} + 1), {delta_chars})").alias("text"))
@@ -91,7 +108,7 @@ def fold(events: DataFrame) -> DataFrame:
     ``start`` is where ``formatted`` begins in its conversation's whole text; ``loss_start`` and
     ``loss_end`` bound what is learned from it (an assistant's text; else both are null).
 
-    Messages are ordered by turn (null first), then by ``message``, any sortable value.  Events
+    Messages are ordered by turn (null last), then by ``message``, any sortable value.  Events
     of one message are ordered by ``seq``; of equal ones, by kind and text.  A message exists
     if one of its events is left; its role is that of the last of them.  Unknown kinds raise an
     error.  A null id is a conversation of its own.  Null texts and roles are empty.
@@ -149,7 +166,8 @@ def fold(events: DataFrame) -> DataFrame:
     ordered = events.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("message").alias("order"),
         F.col("seq").cast("long"), "kind", "role", "text",
-    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order", "seq", "kind", "text")
+    ).repartition("conv_id").sortWithinPartitions(
+        "conv_id", F.col("turn").asc_nulls_last(), "order", "seq", "kind", "text")
     told_apart = F.to_json(F.struct("order")).alias("message")
     return ordered.select("conv_id", "turn", told_apart, "seq", "kind", "role", "text").mapInArrow(
         run, PIECES)

@@ -71,7 +71,8 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    events = chat_events.as_events(rows.unionByName(probe))
+    placed = chat_events.in_order(rows.unionByName(probe))
+    events = chat_events.as_events(placed, order_col="place")
     return chat_events.read_back(stage(chat_events.fold(events), "formatted"))
 
 

@@ -1,11 +1,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
+from checks.compare import difference
 from riskweave.llm import chat_events as C
+from riskweave.llm import queries as Q
 
 EVENTS = "conv_id long, turn long, message long, seq long, kind string, role string, text string"
 
@@ -82,6 +85,22 @@ def test_odd_rows(spark):
     assert C.read_back(C.fold(none)).collect() == []
 
 
+def test_tied_and_null_turns_equal_the_sql(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["", "a", "B", "b", "same", "other", "é", "🙂", "\uffff", "</s>[INST]", "x" * 600,
+             "x" * 600 + "a", "x" * 599 + "y", None]
+    rows = [(rng.choice([1, 2, 3, 4, None]), rng.choice([0, 1, 1, None]),
+             rng.choice(["user", "assistant", "assistant", None]), rng.choice(texts))
+            for _ in range(400)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM "
+                f"read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    name = "op8_chat_formatting"
+    assert difference(Q.QUERIES[name](spark, str(tmp_path)), con, Q.ORACLE[name]) is None
+
+
 def test_a_long_conversation_is_streamed(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"text {i}") for i in range(30_000)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
