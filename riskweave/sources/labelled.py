@@ -16,6 +16,26 @@ from riskweave.functions.text import missing_to_null
 from riskweave.operators.merge import ROW_ORDER
 
 
+# A quoted field, from its separator to the next: what a line has of quotes beyond such fields may
+# open a field that ends on a later line.
+_QUOTED_FIELD = '(^|,)"(?:[^"]|"")*+"(?=,|$)'
+
+
+def _unsplittable(spark: SparkSession, path: str) -> set[str]:
+    """Files at ``path`` that may not be read line by line: a quote is left open on a line or
+    stands inside an unquoted field, a carriage return stands inside a line, or a line has
+    nothing but blanks (which only a reader of whole files returns as a row)."""
+    line = F.regexp_replace(F.col("value"), "\\r$", "")
+    odd = (
+        F.regexp_replace(line, _QUOTED_FIELD, "$1").contains('"') | line.contains("\r")
+        | line.rlike("^[\\x00-\\x20]+$")
+    )
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # one row per file at most reaches the driver
+    found = lines.where(odd).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return {unquote(r["file"]) for r in found.collect()}
+
+
 def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
     """The files at ``path``, those with one and the same first line together."""
     lines = spark.read.text(path).select(
@@ -31,23 +51,28 @@ def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
     return list(groups.values())
 
 
-def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A delimited file (or folder of them) as text columns, missing tokens as NULL.
 
     Quotes are escaped by doubling.  Files whose headers differ are read by their own and
     united by column name; a column that a file does not have is NULL there.
-    ``multi_line`` accepts line breaks inside quotes, which makes each file one task: land
-    big sources as many files, or pass False when no field contains a line break so that
-    files are split.
+    Files are split into tasks.  Line breaks inside quotes are accepted: a pass over the lines
+    finds the files that may have some, and each of these is read by one task.  ``multi_line``
+    True reads all files so, False none, both without that pass.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option(
-        "escape", '"'
-    ).option("inferSchema", False)
+    reader = spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
     try:
-        groups = _by_header(spark, path)
+        whole = _unsplittable(spark, path) if multi_line is None else set()
+        groups = []
+        for files in _by_header(spark, path):
+            for many in (True, False):
+                some = [f for f in files if (f in whole if multi_line is None
+                                             else multi_line) == many]
+                if some:
+                    groups.append((some, many))
         if len(groups) < 2:
-            groups = [[path]]
-        heads = [reader.csv(files).columns for files in groups]
+            groups = [([path], groups[0][1] if groups else bool(multi_line))]
+        heads = [reader.option("multiLine", many).csv(files).columns for files, many in groups]
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(f"No file at {path}") from exc
@@ -59,9 +84,9 @@ def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> D
         F.monotonically_increasing_id().alias("row"),
     )
     parts = []
-    for files, names in zip(groups, heads):
+    for (files, many), names in zip(groups, heads):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        parts.append(reader.schema(schema).csv(files).select(
+        parts.append(reader.option("multiLine", many).schema(schema).csv(files).select(
             *[missing_to_null(F.col(f"`{n}`")).alias(n) for n in names],
             position.alias(ROW_ORDER),
         ))
@@ -69,7 +94,7 @@ def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 
 def load_sources(spark: SparkSession, folder: str,
-                 files: Sequence[str] = SOURCE_FILES, multi_line: bool = True
+                 files: Sequence[str] = SOURCE_FILES, multi_line: bool | None = None
                  ) -> list[DataFrame]:
     """The labelled sources in their fixed order."""
     return [
