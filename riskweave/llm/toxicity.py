@@ -279,7 +279,9 @@ def fold(id_column: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                     label_col: str, label_id_col: str, max_rows: int) -> DataFrame:
-    """``id, text, label, fold`` of labelled rows that may be learned from, stored."""
+    """``id, text, label, fold`` of labelled rows that may be learned from, stored: one row per
+    labelled id that ``docs`` has, ``max_rows`` at most.  Of several texts of an id the one with
+    the smallest XXH64 is taken, so every label counts once."""
     ids = (
         labels.select(F.col(f"`{label_id_col}`").alias("_id"),
                       F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -288,15 +290,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         .groupBy("_id", "fold").agg(F.max("label").alias("label"))
     )
     ids = stage(ids, "labels")
-    share = max_rows / max(ids.count(), 1)
-    if share < 1:  # the smallest hashes of the ids
-        ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    if ids.count() > max_rows:  # the smallest hashes of the ids that have a text
+        present = docs.select(F.col(f"`{id_col}`").alias("_doc")).distinct()
+        ids = ids.join(present, F.col("_id") == F.col("_doc"), "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     text = docs.select(F.col(f"`{id_col}`").alias("_doc"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # at most max_rows ids are broadcast, so the texts stay where they are
-    return stage(
-        text.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-        .select(F.col("_id").alias("id"), "text", "label", "fold").repartition(32), "labelled")
+    # at most max_rows ids are broadcast, so the texts stay where they are; each task folds the
+    # rows of an id before they move
+    joined = text.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    best = joined.groupBy("_id", "label", "fold").agg(
+        F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("best"))
+    return stage(best.select(F.col("_id").alias("id"), F.col("best.text").alias("text"), "label",
+                             "fold").repartition(32), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -306,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Folds 1 to 4 give the lexicon, folds 1 to 3 the trees, fold 4 the calibration (all of
     them where a fold lacks a class).  Rows with a null id or a label other than 0 or 1 are
-    not learned from; of several labels of one id the higher counts.
+    not learned from; of several labels of one id the higher counts, of several texts one.
     """
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, label_id_col,
                              max_labelled)

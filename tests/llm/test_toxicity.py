@@ -1,7 +1,9 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from riskweave.llm import toxicity as X
 
@@ -87,3 +89,20 @@ def test_the_sample_is_bounded(labelled):
     docs, labels, _ = labelled
     sample = X.labelled_sample(docs, labels, "doc_id", "text", "toxic", "doc_id", 100)
     assert sample.count() == 100
+
+
+def test_documents_that_repeat_an_id_count_once(spark):
+    rows = [(i, f"text {i}") for i in range(300)]
+    rows += [(1, f"text {k % 7}") for k in range(1500)] + [(None, "x"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    # most labelled ids have no document
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    key = lambda t: np.uint64(xxhash.xxh64_intdigest(t, 42)).astype(np.int64)
+    for bound in (10_000, 300, 100):
+        found = X.labelled_sample(docs, labels, "doc_id", "text", "toxic", "doc_id", bound)
+        got = {r["id"]: r["text"] for r in found.collect()}
+        usable = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+        assert found.count() == len(got) == min(bound, len(usable)) and set(got) <= set(usable)
+        for i, text in got.items():
+            assert text == min((t or "" for d, t in rows if d == i), key=key)
+    assert zlib.crc32(b"1") % 5
