@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
-    backoff, chat_events, exact_dedup, license_scan, personal_data, pieces, positional_index, simhash_join, token_files, toxicity,
+    backoff, chat_events, exact_dedup, license_scan, packing, personal_data, pieces,
+    positional_index, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage, stage_path
 
@@ -85,6 +86,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_backoff_scores": op9_backoff_scores,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
 }
 
 # Queries besides the one per operator.

@@ -47,6 +47,8 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _SETTLED = re.compile(f"[\t\n\r\x20-\x7e{_LETTERS}]*")
+_LAST_LETTER = "\u024f"
+_MARKS = frozenset(".,;:!?")
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -70,14 +72,25 @@ def byte_characters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Ids of texts, after ``lead``; what is missing is encoded on the way."""
+    """Ids of texts, after ``lead``; what is missing is encoded on the way.
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str = ""):
+    With ``word``, which encodes one pre-token, spans of letters and at most a mark after them
+    are not searched for pre-tokens."""
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str = "",
+                 word: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.word, self.lead = encode, word, lead
 
     def __missing__(self, text: str) -> bytes:
-        out = self.encode(self.lead + text)
+        if self.word is None or not (text.isascii() or max(text) <= _LAST_LETTER):
+            out = self.encode(self.lead + text)
+        elif text.isalpha():
+            out = self.word(self.lead + text)
+        elif text[-1:] in _MARKS and text[:-1].isalpha():
+            out = self[text[:-1]] + self.encode(text[-1])
+        else:
+            out = self.encode(self.lead + text)
         if len(text) <= LONGEST_KNOWN:
             if len(self) >= MAX_KNOWN:
                 self.clear()
@@ -101,7 +114,9 @@ class SpanEncoder:
         added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", ())]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.characters, self.dtype = byte_characters(), dtype
-        self.first, self.rest = _Remembered(self.span_ids), _Remembered(self.span_ids, " ")
+        word = None if any(t[:1].isalpha() for t in added) else self.word_ids
+        self.first = _Remembered(self.span_ids, "", word)
+        self.rest = _Remembered(self.span_ids, " ", word)
         self.words = _Remembered(self.word_ids)
         self.end = self.packed([end_id])
 
@@ -115,7 +130,10 @@ class SpanEncoder:
         return b"".join(map(self.words.__getitem__, _WORDS.findall(span)))
 
     def word_ids(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(self.characters)
+        if word.isascii() and word.isprintable():
+            spelt = word.replace(" ", self.characters[32])
+        else:
+            spelt = word.encode().decode("latin-1").translate(self.characters)
         return self.packed([t.id for t in self.model.tokenize(spelt)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -138,6 +156,14 @@ def byte_level(tokenizer_json: str) -> bool:
                         for t in rules.get("added_tokens", ())))
 
 
+def id_type(tokenizer_json: str, end_id: int) -> str:
+    """Little-endian unsigned numbers as wide as the largest id needs."""
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_str(tokenizer_json).get_vocab_size() - 1, end_id)
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 SHARD_SCHEMA = "part int, name string, n_docs long, n_tokens long"
 
 
@@ -155,10 +181,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         rules = file.read()
     if not byte_level(rules):
         raise ValueError("Only byte-level tokenizers without a normalizer are supported")
-    from tokenizers import Tokenizer
-
-    largest = max(Tokenizer.from_str(rules).get_vocab_size() - 1, end_id)
-    dtype = "<u2" if largest < 1 << 16 else "<u4"
+    dtype = id_type(rules, end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_folder(path)
