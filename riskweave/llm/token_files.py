@@ -39,7 +39,7 @@ MAX_KNOWN = 1_000_000
 LONGEST_KNOWN = 64
 # A single space between other characters begins a new pre-token in byte-level BPE, so the ids
 # of the spans between such borders are the ids of the text.
-_UNSAFE = re.compile(r"\s | \s|^ | $")
+_UNSAFE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the pre-token pattern of byte-level BPE, for spans of the characters below;
 # other spans are left to the library.
@@ -60,7 +60,8 @@ def open_folder(path: str) -> tuple[fs.FileSystem, str]:
 
 def spans(text: str) -> list[str]:
     """The text cut at safe borders, without the space at each border."""
-    return _BORDER.split(text) if _UNSAFE.search(text) else text.split(" ")
+    unsafe = text[:1] == " " or text[-1:] == " " or _UNSAFE.search(text)
+    return _BORDER.split(text) if unsafe else text.split(" ")
 
 
 def byte_characters() -> dict[int, str]:
@@ -192,18 +193,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         width = np.dtype(dtype).itemsize
         # words and ids make no cycles; a collector would walk all of them again and again
         gc.disable()
-        with (system.open_output_stream(f"{root}/{name}.ids") as ids_file,
-              system.open_output_stream(f"{root}/{name}.lengths") as lengths_file,
-              system.open_output_stream(f"{root}/{name}.docs") as docs_file):
-            for table in regroup(batches, BLOCK_BYTES):
-                encoder = encoder or SpanEncoder(rules, np.dtype(dtype), end_id)
-                packed = encoder.encode([b.decode() for b in table.column("body").to_pylist()])
-                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
-                ids_file.write(b"".join(packed))
-                lengths_file.write(sizes.astype("<i8").tobytes())
-                docs_file.write(table.column("doc_id").to_numpy().astype("<i8").tobytes())
-                n_docs, n_tokens = n_docs + len(packed), n_tokens + int(sizes.sum())
-        gc.enable()
+        try:
+            with (system.open_output_stream(f"{root}/{name}.ids") as ids_file,
+                  system.open_output_stream(f"{root}/{name}.lengths") as lengths_file,
+                  system.open_output_stream(f"{root}/{name}.docs") as docs_file):
+                for table in regroup(batches, BLOCK_BYTES):
+                    encoder = encoder or SpanEncoder(rules, np.dtype(dtype), end_id)
+                    packed = encoder.encode(
+                        [b.decode() for b in table.column("body").to_pylist()])
+                    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
+                    ids_file.write(b"".join(packed))
+                    lengths_file.write(sizes.astype("<i8").tobytes())
+                    docs_file.write(table.column("doc_id").to_numpy().astype("<i8").tobytes())
+                    n_docs, n_tokens = n_docs + len(packed), n_tokens + int(sizes.sum())
+        finally:
+            gc.enable()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "name": [name],
             "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
