@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import (
     backoff, chat_events, exact_dedup, license_scan, packing, personal_data, pieces,
-    positional_index, simhash_join, token_files, toxicity,
+    positional_index, prefix_trie, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage, stage_path
 
@@ -91,6 +91,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_backoff_scores": op9_backoff_scores,
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 # Queries besides the one per operator.
@@ -190,4 +195,53 @@ ORACLE = {
             CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id
     """,
+    # CRC-32 of the decimal id, bit by bit: DuckDB has no function for it
+    "op13_conversation_trie": r"""
+        WITH listed AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        cut AS (
+            SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)),
+                lambda crc, b: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1
+                    THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, CAST(b AS BIGINT))),
+                CAST(4294967295 AS BIGINT))) % 6 AS h
+            FROM listed
+        ),
+        made AS (
+            SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, h),
+                                          list_slice(c.turns, h + 1, len(c.turns))) AS turns
+            FROM cut c LEFT JOIN listed b ON b.conv_id = c.base
+        ),
+        prefixes AS (
+            SELECT conv_id, d, list_slice(turns, 1, d) AS path, len(turns) = d AS ends
+            FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM made)
+        ),
+        nodes AS (
+            SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                         FILTER (ends), '') AS ends
+            FROM prefixes GROUP BY path, d
+        ),
+        kids AS (
+            SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n_children
+            FROM nodes WHERE d > 0 GROUP BY ALL
+        ),
+        known AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children,
+                CASE WHEN d > 0 THEN (n_convs - 1) * length(n.path[d].text) ELSE 0 END AS saved
+            FROM nodes n LEFT JOIN kids USING (path)
+        ),
+        below AS (
+            SELECT list_slice(path, 1, a) AS path, count(*) FILTER (n_children = 0) AS n_leaves,
+                sum(saved) AS saved
+            FROM (SELECT *, unnest(range(d + 1)) AS a FROM known) GROUP BY ALL
+        )
+        SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+            b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+        FROM known k JOIN below b ON b.path = k.path
+        LEFT JOIN known p ON k.d > 0 AND p.path = list_slice(k.path, 1, k.d - 1)
+    """,
 }
