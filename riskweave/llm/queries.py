@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import (
     backoff, chat_events, exact_dedup, license_scan, packing, personal_data, pieces,
-    positional_index, prefix_trie, simhash_join, token_files, toxicity,
+    positional_index, prefix_trie, ranked_search, simhash_join, token_files, toxicity,
 )
 from riskweave.session import stage, stage_path
 
@@ -91,6 +91,11 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.best_documents(table(spark, folder, "documents"),
+                                        table(spark, folder, "benchmark"))
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_backoff_scores": op9_backoff_scores,
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -195,6 +201,46 @@ ORACLE = {
             CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id
     """,
+    "op12_ranked_search": r"""
+        WITH
+        doc_terms AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ),
+        item_terms AS (
+            SELECT DISTINCT r, item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT *, row_number() OVER () AS r FROM benchmark)
+        ),
+        corpus AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n_docs,
+                CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM doc_terms
+        ),
+        counts AS (
+            SELECT r, doc_id, len(terms) AS n, term, count(*) AS tf
+            FROM (SELECT *, unnest(terms) AS term FROM doc_terms) GROUP BY ALL
+        ),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))
+                AS BIGINT) AS w
+            FROM counts, corpus GROUP BY term, n_docs
+        ),
+        scores AS (
+            SELECT i.r, i.item_id, c.r AS d, c.doc_id, CAST(sum(w * ((1000000000 * tf)
+                // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM item_terms i JOIN counts c USING (term) JOIN weights USING (term), corpus
+            GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0
+        QUALIFY row_number() OVER w <= 10
+        WINDOW w AS (PARTITION BY r ORDER BY score DESC, doc_id)
+    """,
     # CRC-32 of the decimal id, bit by bit: DuckDB has no function for it
     "op13_conversation_trie": r"""
         WITH listed AS (
