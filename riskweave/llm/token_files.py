@@ -47,8 +47,8 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _SETTLED = re.compile(f"[\t\n\r\x20-\x7e{_LETTERS}]*")
-_LAST_LETTER = "\u024f"
 _MARKS = frozenset(".,;:!?")
+_PLAIN = re.compile(f"[{_LETTERS}]+[.,;:!?]?").fullmatch
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -84,14 +84,12 @@ class _Remembered(dict):
         self.encode, self.word, self.lead = encode, word, lead
 
     def __missing__(self, text: str) -> bytes:
-        if self.word is None or not (text.isascii() or max(text) <= _LAST_LETTER):
+        if self.word is None or not _PLAIN(text):
             out = self.encode(self.lead + text)
-        elif text.isalpha():
-            out = self.word(self.lead + text)
-        elif text[-1:] in _MARKS and text[:-1].isalpha():
+        elif text[-1] in _MARKS:
             out = self[text[:-1]] + self.encode(text[-1])
         else:
-            out = self.encode(self.lead + text)
+            out = self.word(self.lead + text)
         if len(text) <= LONGEST_KNOWN:
             if len(self) >= MAX_KNOWN:
                 self.clear()
@@ -115,14 +113,18 @@ class SpanEncoder:
         added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", ())]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.characters, self.dtype = byte_characters(), dtype
-        word = None if any(t[:1].isalpha() for t in added) else self.word_ids
+        self.code = "H" if dtype.itemsize == 2 else "I"
+        # how letters, marks and the space are spelt in the vocabulary
+        self.spelt = {c: "".join(self.characters[b] for b in chr(c).encode())
+                      for c in range(0x250) if c == 32 or c > 126}
+        word = None if any(t[:1].isalpha() for t in added) else self.plain_ids
         self.first = _Remembered(self.span_ids, "", word)
         self.rest = _Remembered(self.span_ids, " ", word)
         self.words = _Remembered(self.word_ids)
         self.end = self.packed([end_id])
 
     def packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+        return array(self.code, ids).tobytes()
 
     def span_ids(self, span: str) -> bytes:
         plain = span.isascii() and span.isprintable() or _SETTLED.fullmatch(span)
@@ -130,11 +132,13 @@ class SpanEncoder:
             return self.packed(self.tokenizer.encode(span, add_special_tokens=False).ids)
         return b"".join(map(self.words.__getitem__, _WORDS.findall(span)))
 
+    def plain_ids(self, word: str) -> bytes:
+        """Ids of a pre-token of letters, perhaps after a space."""
+        return array(self.code, [t.id for t in self.model.tokenize(
+            word.translate(self.spelt))]).tobytes()
+
     def word_ids(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            spelt = word.replace(" ", self.characters[32])
-        else:
-            spelt = word.encode().decode("latin-1").translate(self.characters)
+        spelt = word.encode().decode("latin-1").translate(self.characters)
         return self.packed([t.id for t in self.model.tokenize(spelt)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
