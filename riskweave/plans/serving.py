@@ -12,7 +12,7 @@ from riskweave.operators.models import Scorer
 from riskweave.operators.overrides import (
     accepted_overrides, decide_overrides, refuse_overrides,
 )
-from riskweave.session import scratch
+from riskweave.session import scratch, stage
 from riskweave.sources.store import FeedbackStore
 
 
@@ -47,8 +47,11 @@ def override_batch(requests: DataFrame, store: FeedbackStore, outcomes: str, bat
         refuse_overrides(requests, id_width).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     with scratch(spark):
+        # only keys that requests may have are looked up
+        wanted = stage(requests.select("assessment_id").distinct(), "wanted")
         decided = decide_overrides(
-            requests, store.assessments(), store.overrides_before(batch), arrival, id_width
+            requests, store.assessments_of(wanted), store.overrides_of(wanted, batch), arrival,
+            id_width,
         )
         decided.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
