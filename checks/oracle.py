@@ -655,3 +655,18 @@ ORACLE: dict[str, str] = {
 ORACLE["csv_features"] = ORACLE["account_features"]
 ORACLE["assess_stream"] = ORACLE["assess_batch"]
 ORACLE["override_stream"] = ORACLE["override_intake"]
+ORACLE["repeated_and_late_requests"] = """
+    WITH days AS (
+        SELECT CAST(o_orderkey AS VARCHAR) AS request_id, o_orderkey % 11 = 0 AS moved,
+            CAST(epoch(o_orderdate) AS BIGINT) AS day FROM orders
+    ),
+    ends AS (SELECT min(day) AS low, (max(day) - min(day)) // 3 AS third FROM days),
+    placed AS (
+        SELECT request_id, day, moved AND day < low + 2 * third AS moved,
+            moved OR day >= low + 2 * third AS last
+        FROM days, ends
+    ),
+    -- what the waves before the last have seen, less 30 days
+    mark AS (SELECT max(day) FILTER (NOT last) - 30 * 86400 AS mark FROM placed)
+    SELECT request_id, 1 AS answer_count, moved AND day <= mark AS late FROM placed, mark
+"""

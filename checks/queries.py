@@ -607,6 +607,34 @@ def override_stream(spark, folder):
     return _flat_outcomes(spark.read.parquet(f"{store.root}/outcomes"))
 
 
+def repeated_and_late_requests(spark, folder):
+    """Requests in three waves, some repeated in the next wave, some a wave too late: each is
+    answered once, by the stream or afterwards."""
+    root = stage_path(spark, "waves")
+    store = FeedbackStore(spark, root).initialise()
+    key, day = F.col("request_id").cast("bigint"), F.unix_seconds(F.col("requested_at").cast("timestamp"))
+    wanted = stage(requests(spark, folder).withColumn("_day", day), "requests")
+    low, high = wanted.agg(F.min("_day"), F.max("_day")).first()
+    home = F.when(F.col("_day") < low + (high - low) // 3, 0).when(
+        F.col("_day") < low + 2 * ((high - low) // 3), 1).otherwise(2)
+    first = F.when(key % 11 == 0, 2).otherwise(home)
+    waves = wanted.withColumn("_wave", F.explode(F.when(
+        key % 7 == 0, F.array(first, F.least(first + 1, F.lit(2)))).otherwise(F.array(first))))
+    for wave in range(3):
+        waves.where(F.col("_wave") == wave).drop("_wave", "_day").write.mode("append").parquet(
+            f"{root}/inbox")
+        intake.assess_stream(
+            spark.readStream.schema(requests(spark, folder).schema).parquet(f"{root}/inbox"),
+            accounts(spark, folder), fixed_scorer(spark, folder), store, f"{root}/responses",
+            f"{root}/checkpoint", created_at=serving.request_time(), unique_within="30 days",
+        ).awaitTermination()
+    inbox = spark.read.parquet(f"{root}/inbox")
+    intake.answer_late(inbox, accounts(spark, folder), fixed_scorer(spark, folder), store,
+                       f"{root}/responses", "late", created_at=serving.request_time())
+    return spark.read.parquet(f"{root}/responses").groupBy("request_id").agg(
+        F.count("*").alias("answer_count"), F.max(F.col("batch") == "late").alias("late"))
+
+
 # ---- fitted models ----------------------------------------------------------
 
 def _trained(spark, folder) -> str:
@@ -766,7 +794,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         override_intake, tied_overrides, bad_overrides, recorded_overrides, list_accounts,
         listing_response, readiness_report, degraded_readiness,
         # streams
-        assess_stream, override_stream, stream_restart,
+        assess_stream, override_stream, stream_restart, repeated_and_late_requests,
         # fitted models
         baseline_scores, boosted_scores, boosted_top_factors, boosted_assess_batch,
         model_metrics, train_report, training_cleaning, baseline_gradient,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.ids import is_assessment_id
 from riskweave.operators.assess import ENVELOPE, assess, to_record
 from riskweave.operators.models import Scorer
 from riskweave.operators.overrides import (
@@ -37,25 +39,44 @@ def assessment_batch(requests: DataFrame, accounts: DataFrame | None, scorer: Sc
     return answered
 
 
+@dataclass(frozen=True)
+class Memory:
+    """What is known of the assessments that a batch of overrides names: tables of ids."""
+
+    stored: DataFrame
+    overridden: DataFrame
+    unsure: DataFrame    # ids that the store has to be asked for
+
+
 def override_batch(requests: DataFrame, store: FeedbackStore, outcomes: str, batch: str,
                    arrival: Sequence[str], id_width: int = 32,
-                   created_at: Column | None = None) -> DataFrame:
-    """Decide a batch of overrides, write the outcomes, record the accepted ones."""
+                   created_at: Column | None = None, memory: Memory | None = None) -> DataFrame:
+    """Decide a batch of overrides, write the outcomes, record the accepted ones.
+
+    The store is asked for the ids that the requests name, or for those ``memory`` is not sure
+    of.
+    """
     spark = requests.sparkSession
     path = f"{outcomes.rstrip('/')}/batch={batch}"
     if not store.ready:
         refuse_overrides(requests, id_width).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     with scratch(spark):
-        # only keys that requests may have are looked up
-        wanted = stage(requests.select("assessment_id").distinct(), "wanted")
-        decided = decide_overrides(
-            requests, store.assessments_of(wanted), store.overrides_of(wanted, batch), arrival,
-            id_width,
-        )
+        if memory is None:
+            named = requests.select("assessment_id").distinct()
+            wanted = named.where(is_assessment_id(F.col("assessment_id"), id_width))
+        else:
+            wanted = memory.unsure
+        wanted = stage(wanted, "wanted")
+        known = store.assessments_of(wanted).select("assessment_id")
+        taken = store.overrides_of(wanted, batch).select("assessment_id")
+        if memory is not None:
+            known = known.union(memory.stored)
+            taken = taken.union(memory.overridden).distinct()
+        decided = decide_overrides(requests, known, taken, arrival, id_width)
         decided.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
-        store.append_overrides(accepted_overrides(written, created_at), batch)
+        store.append_overrides(accepted_overrides(written, created_at), batch, memory is None)
     return written
 
 

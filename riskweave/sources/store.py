@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from riskweave.schemas import ASSESSMENTS, OVERRIDES
 from riskweave.session import delete_path, stage
-from riskweave.sources.commits import KEPT, CommitLog
+from riskweave.sources.commits import KEPT, CommitConflict, CommitLog
 
 ID = "assessment_id"
 TABLES = {"assessments": ASSESSMENTS, "overrides": OVERRIDES}
@@ -85,9 +85,21 @@ class FeedbackStore:
         """
         return self._append("assessments", rows, batch)
 
-    def append_overrides(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Append overrides that were accepted; returns the refused ones."""
-        return self._append("overrides", rows, batch)
+    def append_overrides(self, rows: DataFrame, batch: str, look_back: bool = True
+                         ) -> DataFrame:
+        """Append overrides that were accepted; returns the refused ones.  Without
+        ``look_back`` the caller vouches that no other batch has them."""
+        return self._append("overrides", rows, batch, look_back)
+
+    def stream(self, name: str) -> DataFrame:
+        """Rows of a table as a stream of the files that appear; a merged row appears again."""
+        path = f"{self.root.rstrip('/')}/{name}/data"
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(
+            self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
+        return self.spark.readStream.schema(T.StructType([
+            *self._schema(name).fields, T.StructField("run", T.StringType()),
+            T.StructField("bucket", T.IntegerType())])).parquet(path)
 
     def files(self, name: str) -> list[str]:
         """Files that count."""
@@ -154,7 +166,8 @@ class FeedbackStore:
         return {"run": run, "level": level, "batch": batch, "rows": count,
                 "buckets": sorted(used)}
 
-    def _append(self, name: str, rows: DataFrame, batch: str) -> DataFrame:
+    def _append(self, name: str, rows: DataFrame, batch: str, look_back: bool = True
+                ) -> DataFrame:
         version, state = self._state(name)
         schema = TABLES[name]
         rows = stage(
@@ -171,7 +184,7 @@ class FeedbackStore:
         rows = rows.withColumn("_turn", turn)
         replaced = [r for r in state["runs"] if r["batch"] == batch]
         others = dict(state, runs=[r for r in state["runs"] if r["batch"] != batch])
-        stored = self._found(name, rows, others)
+        stored = self._found(name, rows, others) if look_back else self._read(name, [])
         chosen = rows.groupBy(ID).agg(F.min("_turn").alias("_turn"))
         # a merged batch that is written again finds its own rows
         merged = stored.select(F.col(ID).alias("_id"), (F.col("batch") == batch).alias("_own"))
@@ -187,7 +200,12 @@ class FeedbackStore:
             *columns, F.lit(batch).alias("batch"))
         count = chosen.where("_new").count()
         run = self._write(name, fresh, count, state["buckets"], 0, batch)
-        self._commit(name, version, state, [run] if count else [], replaced)
+        try:
+            self._commit(name, version, state, [run] if count else [], replaced)
+        except CommitConflict:
+            # a stream of the table's files must not see what does not count
+            delete_path(self.spark, self._run_path(name, run["run"]))
+            raise
         self._merge(name)
         return rows.join(first, same, "left_anti").select(*columns)
 

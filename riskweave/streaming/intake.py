@@ -2,22 +2,34 @@
 
 Each micro-batch runs the batch job under a name made of the query's persistent id and
 the batch id.  A replayed micro-batch overwrites its earlier attempt and does not see it,
-which makes the sinks idempotent without keeping request keys as streaming state; another
-stream, or the same one with a new checkpoint, has names of its own.
+which makes the sinks idempotent; another stream, or the same one with a new checkpoint, has
+names of its own.
+
+State is kept by key in RocksDB, below the checkpoint.  ``override_stream`` remembers which
+assessments there are and which have an override, so it does not read their history again.
+``assess_stream`` can drop requests that come again within a time; what comes later than that
+is left to ``answer_late``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskweave.operators.assess import ENVELOPE
 from riskweave.operators.models import Scorer
-from riskweave.plans.serving import assessment_batch, override_batch
+from riskweave.operators.overrides import override_problem
+from riskweave.plans.serving import Memory, assessment_batch, override_batch
 from riskweave.sources.store import FeedbackStore
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def batch_name(batch: DataFrame, batch_id: int) -> str:
     """Name of a micro-batch; Spark keeps the query's id in the checkpoint."""
@@ -27,11 +39,40 @@ def batch_name(batch: DataFrame, batch_id: int) -> str:
     return f"stream-{query}-{batch_id}"
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def unique_requests(requests: DataFrame, within: str, time_col: str = "requested_at",
+                    key: str = "request_id") -> DataFrame:
+    """The first of the requests that share a ``key`` and lie less than ``within`` apart.
+
+    A request whose time is more than ``within`` behind the newest of the micro-batches before
+    it is late and dropped, since its key may have been forgotten.
+    """
+    return requests.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+
+
 def assess_stream(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
                   store: FeedbackStore, responses: str, checkpoint: str,
                   id_width: int = 32, envelope=ENVELOPE, created_at: Column | None = None,
-                  trigger: dict | None = None) -> StreamingQuery:
-    """Answer a stream of requests against a stored account table."""
+                  trigger: dict | None = None, unique_within: str | None = None
+                  ) -> StreamingQuery:
+    """Answer a stream of requests against a stored account table.
+
+    With ``unique_within`` (an interval such as ``10 minutes``) repeated requests are answered
+    once, see ``unique_requests``; late ones wait for ``answer_late``.
+    """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         # read by validation, lookup and hot-key counting
@@ -42,29 +83,106 @@ def assess_stream(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
         finally:
             batch.unpersist()
 
-    return (
-        requests.writeStream.foreachBatch(answer)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    if unique_within is not None:
+        requests = unique_requests(requests, unique_within)
+    with _state_settings(requests.sparkSession):
+        return (
+            requests.writeStream.foreachBatch(answer)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+
+
+def late_requests(requests: DataFrame, responses: str, key: str = "request_id") -> DataFrame:
+    """Of the requests of a table that have no answer one per key: the earliest, and of those
+    the one with the least columns in their order."""
+    spark = requests.sparkSession
+    answered = spark.read.parquet(responses).select(key)
+    waiting = requests.join(answered, key, "left_anti")
+    first = F.struct(F.col("requested_at").alias("_time"), *requests.columns)
+    return waiting.groupBy(F.col(key).alias("_key")).agg(F.min(first).alias("_first")).select(
+        *[F.col("_first")[c].alias(c) for c in requests.columns])
+
+
+def answer_late(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
+                store: FeedbackStore, responses: str, batch: str, **options) -> DataFrame:
+    """Answer the requests of a table (what the stream has read) that the stream has dropped as
+    late; to be run when the stream has ended or stands still."""
+    return assessment_batch(late_requests(requests, responses), accounts, scorer, store,
+                            responses, batch, **options)
+
+
+def with_memory(requests: DataFrame, assessments: DataFrame, overrides: DataFrame,
+                id_width: int) -> DataFrame:
+    """Two kinds of rows per micro-batch: the requests (column ``request``), and for every id
+    that a row brings (column ``key``) since when it has been ``stored``, ``overridden`` and
+    ``requested``; ``now`` is the time of the micro-batch.
+
+    ``assessments`` and ``overrides`` are streams of what is recorded.  The times are a running
+    aggregate by id, so a request that many rows repeat is one row per task.
+    """
+    now = F.current_timestamp()
+    valid = override_problem(requests, id_width).isNull()
+    seen = requests.select(
+        F.when(valid, F.col("assessment_id")).alias("assessment_id"), F.lit(2).alias("kind"))
+    for kind, rows in enumerate((assessments, overrides)):
+        seen = seen.unionByName(rows.select("assessment_id", F.lit(kind).alias("kind")))
+    seen = seen.where("assessment_id IS NOT NULL").withColumn("at", now)
+    times = seen.groupBy("assessment_id").agg(
+        *[F.min(F.when(F.col("kind") == kind, F.col("at"))).alias(name)
+          for kind, name in enumerate(("stored", "overridden", "requested"))])
+    asked = requests.select(F.struct(*requests.columns).alias("request"))
+    return asked.unionByName(
+        times.withColumnRenamed("assessment_id", "key").withColumn("now", now),
+        allowMissingColumns=True)
 
 
 def override_stream(requests: DataFrame, store: FeedbackStore, outcomes: str,
                     checkpoint: str, arrival: Sequence[str], id_width: int = 32,
-                    created_at: Column | None = None,
-                    trigger: dict | None = None) -> StreamingQuery:
-    """Decide a stream of overrides; micro-batches arrive in order, earlier ones win."""
+                    created_at: Column | None = None, trigger: dict | None = None
+                    ) -> StreamingQuery:
+    """Decide a stream of overrides; micro-batches arrive in order, earlier ones win.
+
+    When an assessment was stored, first requested and overridden is state.  It is fed by the
+    files of both tables as they appear, so what other jobs record is known, too, and history
+    is not read again.  Of an id that was stored before it was requested, the first request
+    has been recorded.  Ids that the state does not know (not stored, or stored while a run of
+    available data goes on) and those that were requested too early are looked up by key.
+    One stream or batch job at a time may write the table.
+    """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            override_batch(batch, store, outcomes, batch_name(batch, batch_id), arrival,
-                           id_width, created_at)
+            asked = batch.where("request IS NOT NULL").select("request.*")
+            wanted = batch.where("requested IS NOT NULL")
+
+            def ids(condition: str) -> DataFrame:
+                return wanted.where(condition).select(F.col("key").alias("assessment_id"))
+
+            known = "coalesce(stored, overridden) IS NOT NULL"
+            early = "requested < coalesce(stored, overridden)"
+            memory = Memory(
+                stored=ids(known),
+                overridden=ids(f"overridden IS NOT NULL OR NOT {early} AND requested < now"),
+                unsure=ids(f"NOT {known} OR overridden IS NULL AND {early}"))
+            override_batch(asked, store, outcomes, batch_name(batch, batch_id), arrival,
+                           id_width, created_at, memory)
         finally:
             batch.unpersist()
 
-    return (
-        requests.writeStream.foreachBatch(decide)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    told = with_memory(requests, store.stream("assessments"), store.stream("overrides"),
+                       id_width)
+    with _state_settings(requests.sparkSession):
+        return (
+            told.writeStream.outputMode("update").foreachBatch(decide)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+
+
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows that the state operators of a query's recent micro-batches found too late."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0))
+               for progress in query.recentProgress
+               for op in json.loads(progress.json)["stateOperators"])

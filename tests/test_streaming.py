@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from riskweave.operators.assess import assess
 from riskweave.schemas import REQUESTS
 from riskweave.session import stage_path
-from riskweave.sources.store import FeedbackStore
-from riskweave.streaming.intake import assess_stream, override_stream
+from riskweave.sources.store import FeedbackStore, _bucket
+from riskweave.streaming.intake import (
+    answer_late, assess_stream, dropped_as_late, late_requests, override_stream,
+)
 from tests.test_serving import ACCOUNTS, NOW, FixedScorer
 
-ITEM = "assessment_id string, override_label string, reason_code string, seq int"
+ITEM = "assessment_id string, override_label string, reason_code string, seq long"
 
 
 def accounts(spark):
@@ -122,3 +124,114 @@ def test_batches_leave_no_staged_tables(spark, tmp_path):
                       f"{root}/checkpoint"))
     after = len(list(staged.iterdir())) if staged.exists() else 0
     assert after == before
+
+
+def test_recorded_overrides_are_not_read_again(spark, tmp_path, monkeypatch):
+    """Claims of earlier micro-batches, runs and batch jobs are state."""
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    known = spark.createDataFrame(
+        [(f"asmt_{i:032d}", NOW, "m", "low", "completed") for i in range(6)],
+        "assessment_id string, created_at timestamp, model_id string, risk_band string, "
+        "status string")
+    store.append_assessments(known, "seed")
+    earlier = spark.createDataFrame([(f"asmt_{5:032d}", NOW, "uncertain", "by_hand")],
+                                    "assessment_id string, created_at timestamp, "
+                                    "override_label string, reason_code string")
+    store.append_overrides(earlier, "hand")
+    read = []
+    plain = FeedbackStore._read
+    monkeypatch.setattr(FeedbackStore, "_read", lambda self, name, runs, buckets=None: (
+        read.append(buckets if runs else set()), plain(self, name, runs, buckets))[1])
+
+    def send(rows):
+        spark.createDataFrame(rows, ITEM).coalesce(1).write.mode("append").parquet(inbox)
+
+    def start():
+        stream = spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1).parquet(inbox)
+        run(override_stream(stream, store, f"{root}/outcomes", f"{root}/checkpoint", ["seq"]))
+
+    send([(f"asmt_{i:032d}", "uncertain", "first", i) for i in (0, 1, 5)])
+    send([(f"asmt_{i:032d}", "suspicious", "second", i) for i in (0, 2, 9)])
+    send([("no id", "uncertain", "x", 1), (None, "uncertain", "x", 2)] * 20)
+    start()
+    send([(f"asmt_{i:032d}", "suspicious", "third", 2 ** 53 + 1) for i in (0, 1, 2, 3)])
+    start()
+    # nothing but the bucket of the one id that no table has
+    strange = spark.createDataFrame([("asmt_" + "9".zfill(32),)], "assessment_id string")
+    bucket = strange.select(_bucket(store.buckets)).first()[0]
+    assert read and all(buckets is not None and buckets <= {bucket} for buckets in read)
+    reasons = {int(r.assessment_id[5:]): r.reason_code for r in store.overrides().collect()}
+    assert reasons == {0: "first", 1: "first", 5: "by_hand", 2: "second", 3: "third"}
+    out = spark.read.parquet(f"{root}/outcomes")
+    codes = {r["code"]: r["count"] for r in out.groupBy("error.code").count().collect()}
+    assert codes == {None: 4, "override_already_recorded": 5, "assessment_not_found": 1,
+                     "invalid_request": 40}
+
+
+def test_overrides_that_come_before_their_assessment(spark, tmp_path):
+    """They are refused; a later request is recorded, once."""
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    asked = "asmt_" + "0" * 32
+    for n in range(4):
+        spark.createDataFrame([(asked, "uncertain", f"r{n}", n)], ITEM).coalesce(
+            1).write.mode("append").parquet(inbox)
+        if n == 1:
+            store.append_assessments(spark.createDataFrame(
+                [(asked, NOW, "m", "low", "completed")],
+                "assessment_id string, created_at timestamp, model_id string, "
+                "risk_band string, status string"), "seed")
+        stream = spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1).parquet(inbox)
+        run(override_stream(stream, store, f"{root}/outcomes", f"{root}/checkpoint", ["seq"]))
+    assert [r.reason_code for r in store.overrides().collect()] == ["r1"]
+    out = spark.read.parquet(f"{root}/outcomes").orderBy("seq").collect()
+    assert [r.outcome or r.error.code for r in out] == [
+        "assessment_not_found", "recorded", *["override_already_recorded"] * 2]
+
+
+def test_state_is_in_rocksdb_and_the_setting_is_put_back(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    spark.createDataFrame([("x", "uncertain", "r", 1)], ITEM).write.parquet(inbox)
+    stream = spark.readStream.schema(ITEM).parquet(inbox)
+    run(override_stream(stream, store, f"{root}/outcomes", f"{root}/checkpoint", ["seq"]))
+    assert spark.conf.get(name) == before
+    kept = [p.name for p in (tmp_path / "store" / "checkpoint" / "state").rglob("*.zip")]
+    changes = [p.name for p in (tmp_path / "store" / "checkpoint" / "state").rglob("*.changelog")]
+    assert kept or changes
+
+
+def test_repeated_and_late_requests(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    people = accounts(spark)
+
+    def send(*pairs):
+        rows = [(f"r{i}", "x", "1", NOW + dt.timedelta(seconds=s)) for i, s in pairs]
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(inbox)
+
+    def start():
+        stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+        return run(assess_stream(
+            stream, people, FixedScorer(), store, f"{root}/responses", f"{root}/checkpoint",
+            created_at=F.col("requested_at"), unique_within="60 seconds"))
+
+    send((1, 0), (1, 0), (2, 5))
+    start()
+    send((1, 10), (3, 200))          # repeated within the time, across a restart
+    start()
+    send((4, 20), (5, 150), (2, 6))  # r4 and r2 come later than the watermark (140 s)
+    dropped = dropped_as_late(start())
+    answers = spark.read.parquet(f"{root}/responses")
+    assert sorted(r.request_id for r in answers.collect()) == ["r1", "r2", "r3", "r5"]
+    assert dropped == 2
+    table = spark.read.schema(REQUESTS).parquet(inbox)
+    late = answer_late(table, people, FixedScorer(), store, f"{root}/responses", "late",
+                       created_at=F.col("requested_at"))
+    assert [r.request_id for r in late.collect()] == ["r4"]
+    again = late_requests(table, f"{root}/responses")
+    assert again.count() == 0
+    assert store.assessments().count() == 5
