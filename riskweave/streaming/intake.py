@@ -60,7 +60,9 @@ def unique_requests(requests: DataFrame, within: str, time_col: str = "requested
     A request whose time is more than ``within`` behind the newest of the micro-batches before
     it is late and dropped, since its key may have been forgotten.
     """
-    return requests.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+    timed = requests.withColumn("_event_time", F.col(time_col).cast("timestamp"))
+    return timed.withWatermark("_event_time", within).dropDuplicatesWithinWatermark(
+        [key]).drop("_event_time")
 
 
 def assess_stream(requests: DataFrame, accounts: DataFrame, scorer: Scorer,
