@@ -34,8 +34,9 @@ ORDER = 3
 ALPHA = 0.4
 BLOCK_BYTES = 8 << 20
 # N-gram entries of one hash range, before equal ones are united.
-RANGE_ENTRIES = 3_000_000
-# Bits of an n-gram's hash.
+RANGE_ENTRIES = 1_000_000
+# Bits of an n-gram's hash.  Different n-grams that share one share a count: among n distinct
+# n-grams n * n / 2^57 pairs are to be expected (0.5 at 2^28, 128 at 2^32).
 HASH_BITS = 56
 
 TOKENS = "block long, doc_ids array<long>, lengths array<long>, words binary, tokens binary"
@@ -119,6 +120,24 @@ def distinct_grams(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, which of them each value is, and how often they occur; in less
+    memory than ``np.unique`` needs."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    known = ranked[new]
+    del ranked
+    counts = np.diff(np.append(np.flatnonzero(new), len(values)))
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    which = np.empty(len(values), np.int32)
+    which[order] = rank
+    return known, which, counts
+
+
 # ---- jobs ---------------------------------------------------------------------
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> str:
@@ -188,12 +207,11 @@ def count_totals(tokens: DataFrame, order: int, parts: int) -> DataFrame:
             counts.append(unpack(own))
         sizes = np.array([len(x) for x in lists])
         every, own = np.concatenate(lists), np.concatenate(counts)
-        order_ = np.argsort(every, kind="stable")
-        ranked = every[order_]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        sums = np.add.reduceat(own[order_], np.flatnonzero(new))
-        total = np.empty(len(every), np.int64)
-        total[order_] = sums[np.cumsum(new) - 1]
+        del lists, counts
+        _, which, _ = numbered(every)
+        del every
+        # counts are whole numbers below 2^53, exact as weights
+        total = np.bincount(which, own).astype(np.int64)[which]
         out: dict[str, list] = {"block": [], "part": [], "places": [], "totals": []}
         end = 0
         for block, n in zip(blocks, sizes):
@@ -275,10 +293,18 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and wordless texts score 0 with 0 words.  Rows that share an id or a text are rows of
     their own, so copies vouch for each other.  Other columns are ignored; an empty table gives
     no rows.  A task holds one block; a text longer than a block is a block.
+
+    N-grams are told apart by a 56-bit hash, see ``HASH_BITS``.
     """
     spark = docs.sparkSession
     name = tokenise(docs, id_col, text_col, block_bytes)
-    tokens = spark.table(name)
+    try:
+        return _scored(spark.table(name), order, alpha, range_entries)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _scored(tokens: DataFrame, order: int, alpha: float, range_entries: int) -> DataFrame:
     n_corpus = tokens.select(F.sum(F.expr(
         "aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = -(-n_corpus * order // range_entries) or 1
@@ -289,13 +315,16 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns: dict[str, list] = {c.split()[0]: [] for c in SCORES.split(", ")}
         for row in left.to_pylist():
             lengths, within, grams = _opened(row, order)
-            known, which, counts = np.unique(
-                np.concatenate([h for _, h in grams]), return_inverse=True, return_counts=True)
-            at = np.searchsorted(known, limits)
-            for answer in right.to_pylist():
-                places = np.cumsum(unpack(answer["places"]))
-                counts[at[answer["part"]] + places] = unpack(answer["totals"])
             ends = [e for e, _ in grams]
+            hashes = np.concatenate([h for _, h in grams])
+            del grams
+            known, which, counts = numbered(hashes)
+            at = np.searchsorted(known, limits)
+            del hashes, known
+            for batch in right.to_batches(max_chunksize=256):
+                for answer in batch.to_pylist():
+                    places = np.cumsum(unpack(answer["places"]))
+                    counts[at[answer["part"]] + places] = unpack(answer["totals"])
             index = np.split(which, np.cumsum([len(e) for e in ends])[:-1])
             found = block_scores(lengths, within, ends, index, counts, n_corpus, alpha)
             columns["doc_id"] += row["doc_ids"]
@@ -306,6 +335,4 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({c: pa.array(v, types.get(c, pa.float64())) for c, v in columns.items()})
 
     scored = tokens.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, SCORES)
-    out = stage(scored, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return stage(scored, "scores")
