@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# rows of one score range, before equal scores are united
-RANGE_ROWS = 500_000
+from riskweave.session import stage
 
 
 def confusion(scored: DataFrame, threshold, label: str = "label",
@@ -39,53 +37,38 @@ def classification_report(scored: DataFrame, threshold=0.5, label: str = "label"
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label", probability: str = "probability",
-            range_rows: int = RANGE_ROWS) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", probability: str = "probability"
+            ) -> DataFrame:
     """Exact area under the ROC curve, ties counting half; NULL with one class only.
 
-    Equal scores are pre-aggregated, then ranked inside score ranges of about
-    ``range_rows`` rows; the totals of the ranges (one row each) link them.  The number
-    of ranges follows from the row count, so a ranking task does not grow with the
-    table.  They steer the load only, the sum is exact for any choice of them.
+    A distributed prefix sum: equal scores are counted map-side and dealt to tasks by ranges of
+    the score.  Each range is ranked by itself; what lies below it, one total per range, is
+    added afterwards.
     """
-    ranges = -(-scored.count() // range_rows)
-    quantiles = scored.agg(F.percentile_approx(
-        probability, [i / ranges for i in range(1, ranges)], 10 * ranges
-    ).alias("q")).first()["q"] if ranges > 1 else [0.5]
-    splits = [float("-inf"), *sorted(set(quantiles)), float("inf")]
-    ranged = Bucketizer(
-        splits=splits, inputCol=probability, outputCol="range", handleInvalid="error"
-    ).transform(scored.select(label, probability))
-
-    by_score = ranged.groupBy("range", probability).agg(
-        F.count_if(F.col(label) == 1).alias("pos"),
-        F.count_if(F.col(label) == 0).alias("neg"),
-    )
-    lower_here = Window.partitionBy("range").orderBy(probability).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    spark = scored.sparkSession
+    by_score = stage(scored.groupBy(F.col(probability).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")),
+        "scores")
+    # ranges follow one another as the partitions do
+    ranged = stage(by_score.repartitionByRange("score").withColumn(
+        "range", F.spark_partition_id()), "ranges")
+    lower = Window.partitionBy("range").orderBy("score").rowsBetween(
+        Window.unboundedPreceding, -1)
     # products of counts outgrow BIGINT long before the counts do
     pos, neg = F.col("pos").cast("decimal(18,0)"), F.col("neg").cast("decimal(18,0)")
     twice_wins = pos * (
-        2 * F.coalesce(F.sum("neg").over(lower_here), F.lit(0)) + F.col("neg")
+        2 * F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("neg")
     ).cast("decimal(19,0)")
-    per_range = (
-        by_score.withColumn("twice_wins", twice_wins).groupBy("range")
-        .agg(
-            F.sum("twice_wins").alias("inside"),
-            F.sum(pos).cast("decimal(18,0)").alias("pos"),
-            F.sum(neg).cast("decimal(18,0)").alias("neg"),
-        )
-    )
-    lower_ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    neg_before = F.coalesce(F.sum("neg").over(lower_ranges), F.lit(0)).cast("decimal(19,0)")
-    linked = per_range.withColumn(
-        "total", F.col("inside") + 2 * F.col("pos") * neg_before
-    )
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return linked.agg(
-        F.try_divide(F.sum("total").cast("double"), 2 * pairs).alias("roc_auc")
-    )
+    totals = ranged.withColumn("twice_wins", twice_wins).groupBy("range").agg(
+        F.sum("twice_wins").alias("inside"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    twice, positives, negatives = 0, 0, 0
+    # one row per shuffle partition
+    for r in sorted(totals.collect(), key=lambda r: r["range"]):
+        twice += int(r["inside"]) + 2 * r["pos"] * negatives
+        positives, negatives = positives + r["pos"], negatives + r["neg"]
+    pairs = positives * negatives
+    return spark.createDataFrame(
+        [(twice / (2 * pairs) if pairs else None,)], "roc_auc double")
 
 
 def classification_metrics(scored: DataFrame, threshold: float = 0.5,

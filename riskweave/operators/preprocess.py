@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from riskweave.constants import BOOLEAN_FEATURES, FEATURES, NUMERIC_FEATURES
 # between the quantiles 2/A to either side.  A only decides how many rows the second
 # job looks at, never the answer.
 _ACCURACY = 10_000
+# Cells that a round of the selection counts per bracket.
+_CELLS = 4096
 
 PARAMETERS = T.StructType([
     T.StructField("feature", T.StringType(), False),
@@ -121,55 +123,69 @@ def exact_medians(df: DataFrame, counts: dict[str, int],
                   brackets: dict[str, tuple[float, float]]) -> dict[str, float]:
     """Exact medians (mean of the middle two) given brackets around them.
 
-    Values inside a bracket are counted per distinct value, everything below it
-    collapses to one cell; both happen map-side, so a value shared by most rows is
-    one row per task.  A bracket that misses a middle value says on which side it lies
-    and how many rows are there; the next bracket comes from that side only.
+    Radix selection: a round cuts every bracket into at most ``_CELLS`` cells of equal width
+    and counts rows and the least and largest value per cell, map-side.  The cell that holds
+    the wanted rank, from its least to its largest value, is the next bracket, until both are
+    one value.  A bracket that misses a middle value says on which side it lies; the next
+    bracket comes from that side only.
     """
     ranks = {c: sorted({(counts[c] + 1) // 2, counts[c] // 2 + 1}) for c in brackets}
     found: dict[tuple[str, int], float] = {}
     # per wanted rank: bounds it must lie strictly between, and the bracket to try
     pending = {(c, k): (-math.inf, math.inf, *brackets[c]) for c in ranks for k in ranks[c]}
     while pending:
-        tried = {(c, lo, hi) for (c, _), (_, _, lo, hi) in pending.items()}
-        names = {key: f"{i}" for i, key in enumerate(sorted(tried))}
-        low = float("-inf")
-        cells = (
-            df.select(*[
-                F.when(F.col(c) < F.lit(lo), F.lit(low))
-                .when(F.col(c) <= F.lit(hi), F.col(c)).alias(names[c, lo, hi])
-                for c, lo, hi in names
-            ])
-            .unpivot([], list(names.values()), "bracket", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy("bracket", "value").agg(F.count("*").alias("n"))
-        )
-        upto = F.sum("n").over(
-            Window.partitionBy("bracket").orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        # the cell below each bracket, and the cells that hold a wanted rank
-        holds = F.col("value") == F.lit(low)
-        for (c, k), (_, _, lo, hi) in pending.items():
-            holds = holds | ((F.col("bracket") == names[c, lo, hi])
-                             & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
-        rows: dict[str, list] = {}
-        for r in cells.withColumn("upto", upto).where(holds).collect():
-            rows.setdefault(r["bracket"], []).append(r)
-        missed = {}
+        tried = sorted({(c, lo, hi) for (c, _), (_, _, lo, hi) in pending.items()})
+        counted = dict(zip(tried, _cell_counts(df, tried)))
+        missed, following = {}, {}
         for (c, k), (above, below, lo, hi) in pending.items():
-            here = rows.get(names[c, lo, hi], [])
-            under = sum(r["n"] for r in here if r["value"] == low)
-            value = [r["value"] for r in here
-                     if r["value"] != low and r["upto"] - r["n"] < k <= r["upto"]]
-            if value:
-                found[c, k] = value[0]
-            else:
+            under, cells = counted[c, lo, hi]
+            upto, chosen = under, None
+            for n, least, most in cells:
+                if upto < k <= upto + n:
+                    chosen = (least, most)
+                upto += n
+            if chosen is None:
                 missed[c, k] = (above, lo) if k <= under else (hi, below)
-        pending = _narrowed(df, missed)
+            elif chosen[0] == chosen[1]:
+                found[c, k] = chosen[0]
+            else:
+                following[c, k] = (above, below, *chosen)
+        pending = following | _narrowed(df, missed)
     return {c: sum(found[c, k] for k in (ks[0], ks[-1])) / 2 for c, ks in ranks.items()}
 
 
+def _cell_counts(df: DataFrame, brackets: list[tuple[str, float, float]]
+                 ) -> list[tuple[int, list[tuple[int, float, float]]]]:
+    """Per bracket the rows below it, and rows, least and largest value of its cells in order.
+
+    The cell number grows with the value, however it is rounded, so cells are in order and
+    share no value.
+    """
+    below = -1
+    def cell(c: str, lo: float, hi: float) -> Column:
+        # halves, so that the width of a bracket is finite
+        share = (F.col(c) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2 or 1.0)
+        inside = F.least(F.floor(share * _CELLS).cast("int"), F.lit(_CELLS - 1))
+        return F.when(F.col(c) < lo, below).when(F.col(c) <= hi, inside)
+
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("bracket"), cell(c, lo, hi).alias("cell"), F.col(c).alias("v"))
+        for i, (c, lo, hi) in enumerate(brackets)])
+    found = (
+        df.select(F.explode(entries).alias("e")).where("e.cell IS NOT NULL")
+        .groupBy("e.bracket", "e.cell")
+        .agg(F.count("*").alias("n"), F.min("e.v").alias("least"), F.max("e.v").alias("most"))
+    )
+    out: list[tuple[int, list]] = [(0, []) for _ in brackets]
+    for r in sorted(found.collect(), key=lambda r: (r["bracket"], r["cell"])):
+        under, cells = out[r["bracket"]]
+        if r["cell"] == below:
+            out[r["bracket"]] = (r["n"], cells)
+        else:
+            cells.append((r["n"], r["least"], r["most"]))
+    return out
+
+
 def _narrowed(df: DataFrame, missed: dict) -> dict:
     """New brackets for ranks known to lie strictly between two bounds."""
     if not missed:

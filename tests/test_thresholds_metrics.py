@@ -127,3 +127,23 @@ def test_empty_ratios_are_zero_and_matrix_stays_two_by_two(spark):
     assert row.precision == row.recall == row.f1 == 0.0
     with pytest.raises(ValueError, match="both classes"):
         classification_metrics(scored(spark, [0, 0], [0.1, 0.2]))
+
+
+def test_auc_over_many_ranges(spark):
+    """More shuffle partitions than the default, few of them crowded; no window over all rows."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate((rng.random(3000) ** 8, np.full(2000, 0.25)))
+    labels = (rng.random(5000) < 0.3).astype(int)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = roc_auc(scored(spark, labels, p)).first().roc_auc
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    pos, neg = np.sort(p[labels == 1]), np.sort(p[labels == 0])
+    wins = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+    assert math.isclose(got, wins / (len(pos) * len(neg)), rel_tol=1e-12)
+    assert roc_auc(scored(spark, [1, 1], [0.1, 0.2])).first().roc_auc is None
