@@ -101,3 +101,11 @@ def split_counts(features: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("positive_count"),
         F.count_if(~is_sufficient(F.col("usable"))).alias("removed_count"),
     )
+
+
+def split_count_columns(splits: Sequence[str]) -> list[Column]:
+    """The counts of ``split_counts`` for known splits, as aggregates over all rows."""
+    thin = ~is_sufficient(F.col("usable"))
+    return [column.alias(f"{name}:{of}") for name in splits for column, of in (
+        (F.count_if(F.col("split") == name), "row_count"),
+        (F.count_if((F.col("split") == name) & thin), "removed_count"))]

@@ -109,20 +109,25 @@ def conflicting_accounts(groups: DataFrame) -> DataFrame:
     )
 
 
-def summarise(groups: DataFrame) -> DataFrame:
-    """One row: what cleaning removed and kept."""
+def summary_columns() -> list[Column]:
+    """What cleaning removed and kept, as aggregates over ``account_groups``."""
     known = F.col("account_id").isNotNull()
     agrees = F.col("min_label") == F.col("max_label")
 
     def total(condition: Column, amount: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0))
 
-    return groups.agg(
+    return [
         total(~known, F.col("row_count")).alias("invalid_rows_removed"),
         F.count_if(known & ~agrees).alias("conflicting_account_ids_removed"),
         total(known & agrees, F.col("row_count") - 1).alias("duplicate_rows_removed"),
         F.count_if(known & agrees).alias("clean_account_count"),
-    )
+    ]
+
+
+def summarise(groups: DataFrame) -> DataFrame:
+    """One row: what cleaning removed and kept."""
+    return groups.agg(*summary_columns())
 
 
 def clean_accounts(bronze: DataFrame) -> DataFrame:

@@ -49,11 +49,14 @@ def fit_baseline(train: DataFrame, counts: ClassCounts,
         "weight": counts.balanced_weight(F.col("label")),
         "label": F.col("label").cast("double"),
     })
-    return LogisticRegression(
+    model = LogisticRegression(
         weightCol="weight", maxIter=max_iter, tol=1e-9, standardization=False,
         # the average loss is minimised; balanced weights sum to the row count
         regParam=1.0 / rows, elasticNetParam=0.0,
     ).fit(weighted.select("features", "label", "weight"))
+    # the summary holds the session, which does not travel to tasks once rows are observed
+    model._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def fit_boosted(train: DataFrame, counts: ClassCounts, rounds: int = BOOST_ROUNDS,

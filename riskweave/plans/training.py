@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from riskweave.constants import (
     BOOST_ROUNDS, CONFIDENCE_MARGIN, DEMO_PER_CLASS, FEATURES, SEED, SOURCE_FILES,
 )
-from riskweave.operators.features import account_features, split_counts, usable_accounts
+from riskweave.operators.features import (
+    account_features, split_count_columns, usable_accounts,
+)
 from riskweave.operators.merge import (
-    account_groups, agreeing_accounts, summarise, union_sources,
+    account_groups, agreeing_accounts, summary_columns, union_sources,
 )
 from riskweave.operators.metrics import classification_metrics
 from riskweave.operators.models import fit_baseline, fit_boosted, predict
@@ -24,15 +26,16 @@ from riskweave.operators.thresholds import select_risk_thresholds
 from riskweave.operators.weights import class_counts
 from riskweave.session import stage
 from riskweave.sources.registry import save_artifacts, save_metadata
-from riskweave.sources.splits import read_split, write_demo, write_splits
+from riskweave.sources.splits import SPLITS, read_split, write_demo, write_splits
 
 
 @dataclass(frozen=True)
 class PreparedData:
-    """Features of all accounts with their split, and what cleaning did."""
+    """Features of all accounts with their split, what cleaning did, and rows per split."""
 
     features: DataFrame
     summary: dict
+    counts: dict[str, dict[str, int]]
 
     def split(self, name: str) -> DataFrame:
         """Usable rows of one split."""
@@ -43,11 +46,13 @@ def prepare(sources: Sequence[DataFrame], generated: str, demo_per_class: int =
             seed: int = SEED) -> PreparedData:
     """Clean, split, write splits and demo accounts, derive features.
 
-    The sources are read and shuffled once; every later step reads a stored table.
+    The sources are read and shuffled once; every later step reads a stored table.  Rows are
+    counted while they are written.
     """
-    groups = stage(account_groups(union_sources(sources)), "accounts")
+    cleaning, splitting = Observation("cleaning"), Observation("splitting")
+    groups = stage(
+        account_groups(union_sources(sources)).observe(cleaning, *summary_columns()), "accounts")
     spark = groups.sparkSession
-    summary = summarise(groups).first().asDict()
     clean = agreeing_accounts(groups)
     write_splits(stratified_split(clean, seed), f"{generated}/splits")
     # the demo sample may contain accounts with too few features
@@ -56,7 +61,12 @@ def prepare(sources: Sequence[DataFrame], generated: str, demo_per_class: int =
     features = account_features(
         read_split(spark, f"{generated}/splits"), keep=("account_id", "label", "split")
     )
-    return PreparedData(stage(features, "features", partition_by=("split",)), summary)
+    stored = stage(features.observe(splitting, *split_count_columns(SPLITS)), "features",
+                   partition_by=("split",))
+    counted = splitting.get
+    counts = {name: {of: counted[f"{name}:{of}"] for of in ("row_count", "removed_count")}
+              for name in SPLITS if counted[f"{name}:row_count"]}
+    return PreparedData(stored, dict(cleaning.get), counts)
 
 
 def train(sources: Sequence[DataFrame], artifacts: str, generated: str,
@@ -84,7 +94,6 @@ def train(sources: Sequence[DataFrame], artifacts: str, generated: str,
     baseline_test = stage(predict(baseline, parts["test"]).select(*keep), "baseline-test")
 
     created = datetime.now(timezone.utc)
-    per_split = {r["split"]: r for r in split_counts(data.features).collect()}
     metadata = {
         "model_id": f"gbt_{created:%Y%m%dT%H%M%SZ}",
         "created_at": created.isoformat(),
@@ -99,9 +108,9 @@ def train(sources: Sequence[DataFrame], artifacts: str, generated: str,
         },
         "confidence_margin": CONFIDENCE_MARGIN,
         "cleaning": data.summary,
-        "split_counts": {s: r["row_count"] for s, r in per_split.items()},
+        "split_counts": {s: c["row_count"] for s, c in data.counts.items()},
         "below_completeness_threshold_removed": {
-            s: r["removed_count"] for s, r in per_split.items()
+            s: c["removed_count"] for s, c in data.counts.items()
         },
         "metrics": {
             "baseline_test": classification_metrics(baseline_test),

@@ -21,6 +21,7 @@ from riskweave.operators.preprocess import Preprocessor
 from riskweave.operators.thresholds import Thresholds
 from riskweave.schemas import REGISTRY
 from riskweave.session import path_exists
+from riskweave.sources.commits import CommitLog
 
 MODEL, PREPROCESSOR, METADATA, BASELINE = (
     "boosted_model", "preprocessor", "model_metadata", "baseline_model",
@@ -50,10 +51,22 @@ def artifact_path(root: str, name: str, model_id: str) -> str:
     return f"{root}/{name}/model_id={model_id}"
 
 
+def _claims(spark: SparkSession, root: str, model_id: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/claims/model_id={model_id}")
+
+
+def claim_model(spark: SparkSession, root: str, model_id: str) -> None:
+    """Make the caller the only writer of a model; whoever comes second gets
+    ``CommitConflict``, also after the first has failed."""
+    _claims(spark, root, model_id).publish(1, {"state": "claimed"})
+
+
 def save_artifacts(spark: SparkSession, root: str, model_id: str,
                    boosted: GBTClassificationModel, preprocessor: Preprocessor,
                    baseline: LogisticRegressionModel) -> None:
-    """Write a model's artifacts; ``save_metadata`` then makes it known."""
+    """Write a model's artifacts, which nobody else can then write; ``save_metadata`` makes it
+    known."""
+    claim_model(spark, root, model_id)
     boosted.write().overwrite().save(artifact_path(root, MODEL, model_id))
     baseline.write().overwrite().save(artifact_path(root, BASELINE, model_id))
     preprocessor.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(
@@ -66,8 +79,16 @@ def metadata_frame(spark: SparkSession, metadata: dict) -> DataFrame:
 
 
 def save_metadata(spark: SparkSession, root: str, metadata: dict) -> DataFrame:
-    """Write the metadata row of its model (again, if it is there) and return it."""
+    """Write the metadata row of its model (again, if it is there) and return it.
+
+    Every time is a version in the model's log; of two writers at a time one gets
+    ``CommitConflict``.
+    """
     model_id = metadata["model_id"]
+    log = _claims(spark, root, model_id)
+    version = log.latest()[0] + 1
+    log.publish(version, {"state": "published", "metadata": json.loads(
+        metadata_frame(spark, metadata).toJSON().first())})
     metadata_frame(spark, metadata).coalesce(1).write.mode("overwrite").json(
         artifact_path(root, METADATA, model_id)
     )

@@ -1,0 +1,63 @@
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave.sources import registry
+from riskweave.sources.commits import CommitConflict
+from riskweave.sources.splits import in_file_order, read_split, write_demo, write_splits
+
+
+@pytest.fixture()
+def many_files(spark):
+    """Seven files a table."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "7")
+    spark.conf.set(names[1], "false")
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def concatenated(folder):
+    """Ids of the files one after the other, read without Spark."""
+    files = sorted(Path(folder).glob("*.parquet"))
+    return len(files), [v for f in files for v in pq.read_table(f)["account_id"].to_pylist()]
+
+
+def test_files_follow_one_another_in_text_order(spark, tmp_path, many_files):
+    rows = spark.range(5000).select(
+        (F.col("id") * 7919 % 5000).cast("string").alias("account_id"),
+        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    write_splits(rows.repartition(5), str(tmp_path / "splits"))
+    for name in ("train", "test"):
+        n, ids = concatenated(tmp_path / "splits" / f"split={name}")
+        assert n > 1 and ids == sorted(ids)
+        read = in_file_order(read_split(spark, str(tmp_path / "splits"), name))
+        assert [r.account_id for r in read.orderBy("place").collect()] == ids
+    write_demo(rows.drop("split").repartition(5), str(tmp_path / "demo"))
+    n, ids = concatenated(tmp_path / "demo")
+    assert n > 1 and ids == sorted(ids) and len(ids) == 5000
+
+
+def test_two_trainings_cannot_share_an_id(spark, tmp_path):
+    root = str(tmp_path)
+    registry.claim_model(spark, root, "gbt_1")
+    with pytest.raises(CommitConflict):
+        registry.save_artifacts(spark, root, "gbt_1", None, None, None)
+    registry.claim_model(spark, root, "gbt_2")
+    # claimed, not published: not known
+    assert registry.newest_model(spark, root) is None
+    assert not registry.load_model(spark, root).ready
+
+
+def test_each_publication_is_a_version(spark, tmp_path):
+    root = str(tmp_path)
+    for created in ("2024", "2025"):
+        registry.save_metadata(spark, root, {"model_id": "m", "created_at": created})
+    log = registry._claims(spark, root, "m")
+    assert log.versions() == [1, 2]
+    assert log.read(1)["metadata"]["created_at"] == "2024"
+    assert registry.read_metadata(spark, root).first().created_at == "2025"
