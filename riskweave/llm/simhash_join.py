@@ -341,13 +341,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stage(
         near_components(docs, id_col, text_col, shingle_words, max_distance), "near")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ident, key = (free_name(docs.columns, n) for n in ("_stay_id", "_stay_key"))
-    stay = first.groupBy("component_id").agg(
-        F.min("text_key").alias(key), F.count("*").alias("n_rows"))
-    stay = stage(stay.withColumnRenamed("component_id", ident), "stay")
-    kept = docs.join(
-        stay.select(ident, key), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(ident))
-        & (F.xxhash64(text_bytes(text_col)) == F.col(key)), "left_semi")
-    if stay.where("n_rows > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    ident, key, several, own = (free_name(docs.columns, n) for n in (
+        "_stay_id", "_stay_key", "_several", "_text_key"))
+    stay = stage(first.groupBy(F.col("component_id").alias(ident)).agg(
+        F.min("text_key").alias(key), (F.count("*") > 1).alias(several)), "stay")
+    keyed = docs.withColumn(own, F.xxhash64(text_bytes(text_col)))
+    kept = keyed.join(
+        stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(ident))
+        & (F.col(own) == F.col(key)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = kept.where(~F.col(several)).select(*columns)
+    if stay.where(F.col(several)).isEmpty():
+        return alone
+    # a component's rows of one id and text: ids and keys decide, a null text being empty
+    return alone.unionByName(
+        kept.where(F.col(several)).dropDuplicates([ident, key]).select(*columns))

@@ -143,3 +143,13 @@ def test_a_third_of_the_rows_in_one_group(spark):
     found = S.near_components(rows)
     assert found.where("doc_id < 1000 AND component_id = 0").count() == 1000
     assert found.where("doc_id >= 1000 AND component_id = doc_id").count() > 1990
+
+
+def test_one_of_each_takes_null_for_an_empty_text(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "a"), (1, "", "b"), (2, "", "c"), (3, "one two three four", "d"),
+         (3, "one two three four", "d")], "doc_id long, text string, _text_key string")
+    kept = S.one_of_each(rows).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [
+        (1, ""), (3, "one two three four")]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_text_key"}
