@@ -48,11 +48,14 @@ class RepeatFilter:
 
     def mark(self, rows: DataFrame, key: str, flag: str) -> DataFrame:
         """Add ``flag``: whether the row's text may occur more than once."""
-        names = [free_name(rows.columns, f"_{flag}_{i}") for i in range(len(SEEDS))]
+        names: list[str] = []
+        for i in range(len(SEEDS)):
+            names.append(free_name([*rows.columns, *names], f"_{flag}_{i}"))
         out = rows.withColumns(dict(zip(names, self.positions(F.col(key)))))
         tests = []
         for name in names:
-            bucket, bitmap = f"{name}_bucket", f"{name}_bitmap"
+            bucket = free_name(out.columns, f"{name}_bucket")
+            bitmap = free_name([*out.columns, bucket], f"{name}_bitmap")
             table = self.bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bitmap))
             out = out.join(
                 F.broadcast(table), F.expr(f"`{name}` div {BITMAP_BITS}") == F.col(bucket), "left"
@@ -190,13 +193,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _first_rows(keyed: DataFrame, narrow: DataFrame, bits: int, sha: str, maybe: str,
                 ident: str) -> DataFrame:
     filter_ = repeat_filter(narrow, "sha", bits)
+    first_sha, first_id = (free_name(keyed.columns, n) for n in ("_first_sha", "_first_id"))
     first = _copies(filter_.mark(narrow, "sha", "maybe")).select(
-        F.col("sha").alias("_first_sha"), F.col("keep_id").alias("_first_id"))
+        F.col("sha").alias(first_sha), F.col("keep_id").alias(first_id))
     marked = filter_.mark(keyed, sha, maybe)
     firsts = (
         marked.where(F.col(maybe))
-        .join(first, (F.col(sha) == F.col("_first_sha"))
-              & F.col(ident).eqNullSafe(F.col("_first_id")), "left_semi")
+        .join(first, (F.col(sha) == F.col(first_sha))
+              & F.col(ident).eqNullSafe(F.col(first_id)), "left_semi")
         .dropDuplicates([sha, ident])
     )
     return marked.where(~F.col(maybe)).unionByName(firsts)

@@ -62,3 +62,17 @@ def test_only_rows_that_may_repeat_shuffle(spark, documents):
     repeated = rows.groupBy("sha").count().where("count > 1").agg({"count": "sum"}).first()[0]
     maybe = marked.where("maybe").count()
     assert repeated <= maybe <= repeated + 0.2 * rows.count()
+
+
+def test_names_used_inside(spark):
+    """Columns of the documents that are called like those of the joins."""
+    names = ("_first_sha _first_id __maybe_0 __maybe_1 __maybe_0_bucket __maybe_0_bitmap "
+             "__maybe_1_bucket _maybe _maybe_0 bucket bits sha ident _ident").split()
+    rows = spark.createDataFrame(
+        [(1, "a b", *names), (2, "a  b", *names), (3, None, *names), (4, "", *names),
+         (5, "c", *names)],
+        "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = E.drop_copies(rows)
+    assert kept.columns == rows.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+    assert all(r[n] == n for r in kept.collect() for n in names)
