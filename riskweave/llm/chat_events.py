@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 LEARNED_ROLE = "assistant"
@@ -87,15 +88,18 @@ def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     rows = conversations.select(
         F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
         role.alias("role"), text.alias("text"), row.alias("row"))
-    last = F.greatest(F.lit(0), F.expr(f"(length(text) - 1) div {delta_chars}"))
-    parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
-    message = F.struct("row") if order_col else F.struct(
-        "role", F.xxhash64("text").alias("key"), "row")
+    # cut in one pass; a part by its place would be sought from the start of the text
+    pieces = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0)))
+    parts = rows.select("conv_id", "turn", "role", "row", F.xxhash64("text").alias("key"),
+                        F.posexplode(pieces).alias("part", "text"))
+    message = F.struct("row") if order_col else F.struct("role", "key", "row")
+    # no turn is too large for a number of 38 digits
+    turn = F.coalesce("turn", F.lit(0)).cast("decimal(20,0)")
     return parts.select(
         "conv_id", "turn", message.alias("message"),
-        (F.coalesce("turn", F.lit(0).cast("long")) * (1 << 24) + F.col("part")).alias("seq"),
-        F.lit(DELTA).alias("kind"), "role",
-        F.expr(f"substring(text, int(part * {delta_chars} + 1), {delta_chars})").alias("text"))
+        (turn * F.lit(1 << 24).cast("decimal(10,0)") + F.col("part")).cast("decimal(38,0)")
+        .alias("seq"), F.lit(DELTA).alias("kind"), "role", "text")
 
 
 PIECES = ("conv_id long, piece long, role string, formatted string, start long, loss_start long, "
@@ -111,7 +115,8 @@ def fold(events: DataFrame) -> DataFrame:
     Messages are ordered by turn (null last), then by ``message``, any sortable value.  Events
     of one message are ordered by ``seq``; of equal ones, by kind and text.  A message exists
     if one of its events is left; its role is that of the last of them.  Unknown kinds raise an
-    error.  A null id is a conversation of its own.  Null texts and roles are empty.
+    error.  ``seq`` is an integer or a decimal.  A null id is a conversation of its own.  Null
+    texts and roles are empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +168,11 @@ def fold(events: DataFrame) -> DataFrame:
         close()
         yield _piece_batch(out)
 
+    wide = isinstance(events.schema["seq"].dataType, T.DecimalType)
+    seq = F.col("seq") if wide else F.col("seq").cast("long")
     ordered = events.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("message").alias("order"),
-        F.col("seq").cast("long"), "kind", "role", "text",
+        seq, "kind", "role", "text",
     ).repartition("conv_id").sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_last(), "order", "seq", "kind", "text")
     told_apart = F.to_json(F.struct("order")).alias("message")

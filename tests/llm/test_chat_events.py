@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -113,3 +114,36 @@ def test_unknown_events_are_an_error(spark):
     log = spark.createDataFrame([(1, 0, 0, 0, "undo", "user", "x")], EVENTS)
     with pytest.raises(Exception, match="Unknown kind"):
         C.fold(log).collect()
+
+
+def test_large_turn_numbers(spark):
+    """Times in milliseconds, and the ends of what a number may be."""
+    turns = [-(1 << 63), 1_700_000_000_000, 1_700_000_000_001, (1 << 63) - 1]
+    rows = spark.createDataFrame(
+        [(1, t, "assistant", f"text {i} " * 100) for i, t in enumerate(turns)],
+        "conv_id long, turn long, role string, text string")
+    events = C.as_events(C.in_order(rows), order_col="place")
+    got = C.read_back(C.fold(events)).first()
+    text = "".join(f"text {i} " * 100 for i in range(4))
+    assert got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_message_of_many_megabytes(spark):
+    """Cutting takes time in proportion to the text; two- and four-byte characters stay whole."""
+    for text in ("é" * 8_000_000, "ab🙂\n" * 2_000_000, "x" * 257):
+        rows = spark.createDataFrame([(1, 0, "assistant", text)],
+                                     "conv_id long, turn long, role string, text string")
+        events = C.as_events(C.in_order(rows), order_col="place")
+        start = time.monotonic()
+        got = C.read_back(C.fold(events)).first()
+        assert time.monotonic() - start < 60
+        assert got["loss_chars"] == len(text)
+        assert got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_parts_are_of_the_length_asked_for(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "é🙂" * 5), (1, 1, "user", "")],
+                                 "conv_id long, turn long, role string, text string")
+    events = C.as_events(rows, delta_chars=4).orderBy("turn", "seq").collect()
+    assert [r["text"] for r in events] == ["é🙂é🙂", "é🙂é🙂", "é🙂", ""]
+    assert [int(r["seq"]) for r in events] == [0, 1, 2, 1 << 24]

@@ -74,7 +74,7 @@ def test_run_gives_the_last_stage(spark, sample, stages):
 def test_registry():
     assert set(Q.QUERIES) | {"pipeline"} <= set(driver.queries())
     assert set(Q.ORACLE) <= set(driver.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
