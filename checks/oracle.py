@@ -670,3 +670,28 @@ ORACLE["repeated_and_late_requests"] = """
     mark AS (SELECT max(day) FILTER (NOT last) - 30 * 86400 AS mark FROM placed)
     SELECT request_id, 1 AS answer_count, moved AND day <= mark AS late FROM placed, mark
 """
+ORACLE["failed_explanations"] = ORACLE["degraded_scores"]
+ORACLE["failed_scores"] = _with(f"""
+    SELECT request_id,
+        CASE WHEN NOT lost THEN status END AS status,
+        CASE WHEN NOT lost THEN risk_band END AS risk_band,
+        CASE WHEN lost THEN 'internal_error' ELSE error_code END AS error_code,
+        CASE WHEN lost THEN {_message("internal_error")} ELSE error_message END AS error_message
+    FROM (SELECT *, coalesce(status = 'completed'
+        AND TRY_CAST(account_id AS BIGINT) % 5 = 2, false) AS lost FROM answered)""", "answered")
+ORACLE["argument_checks"] = """
+    SELECT (SELECT count(*) FROM customer) AS account_count, unnest.*
+    FROM (SELECT unnest([
+        {'check': 'required', 'said': 'ValueError: Columns not found: [''account_id'', ''label'']'},
+        {'check': 'labelled', 'said': 'The account table has a label; it must not.'},
+        {'check': 'without_id', 'said': 'The account table has no account_id.'},
+        {'check': 'repeated', 'said': 'Some account ids occur more than once.'},
+        {'check': 'limit_0', 'said': 'ValueError: Limit must be between 1 and 100.'},
+        {'check': 'limit_100', 'said': 'fine'},
+        {'check': 'limit_101', 'said': 'ValueError: Limit must be between 1 and 100.'},
+        {'check': 'extra_column', 'said': 'ValueError: Invalid value for note.'},
+        {'check': 'private', 'said':
+            'AssertionError: Private columns in a demo sample: [''feature_completeness'', ''label''].'}]) AS unnest)
+"""
+ORACLE["registered_counts"] = _with("""
+    SELECT count(*) AS clean_account_count, true AS named, true AS ordered FROM feats""", "feats")

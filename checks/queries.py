@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import fields, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from checks import fixed_score
 from riskweave.constants import FEATURES
 from riskweave.functions import decisions, ids, numbers, text
 from riskweave.operators import (
-    assess, features, merge, metrics, models, overrides, preprocess, reports, split,
+    assess, explain, features, merge, metrics, models, overrides, preprocess, reports, split,
     thresholds, weights,
 )
 from riskweave.operators.explain import expected_margin
@@ -429,6 +430,83 @@ def degraded_scores(spark, folder):
     )
 
 
+class BrokenLeaves(models.LinearScorer):
+    """A scorer whose explanation fails in its tasks: a leaf names a feature there is not."""
+
+    def _explained(self, df):
+        leaf = explain.LeafTable(features=(99,), above=np.array([0.0]), upto=np.array([1.0]),
+                                 shares=np.zeros((2, 1)), expected=0.0)
+        return df.withColumn("contributions", explain.contribution_column([leaf], FEATURES))
+
+
+class Unfinished(models.LinearScorer):
+    """A scorer without a finite score for every fifth account id."""
+
+    def score(self, features):
+        lost = F.col("account_id").cast("bigint") % 5 == 2
+        return super().score(features).withColumn("probability", F.when(
+            lost, F.lit(float("nan"))).otherwise(F.col("probability")))
+
+
+def _as(kind, spark, folder):
+    scorer = fixed_scorer(spark, folder)
+    return kind(**{f.name: getattr(scorer, f.name) for f in fields(scorer)})
+
+
+def failed_explanations(spark, folder):
+    """An explanation that fails while tasks run leaves the scores."""
+    decided = assess.assess_accounts(accounts(spark, folder), _as(BrokenLeaves, spark, folder))
+    return decided.select(
+        "account_id", "status", "risk_probability", "risk_band", "recommendation", "warning",
+        F.size(F.coalesce("top_factors", F.array())).alias("factor_count"))
+
+
+def failed_scores(spark, folder):
+    """Requests for accounts whose score fails are answered with ``internal_error``."""
+    answers = assess.assess(requests(spark, folder), accounts(spark, folder),
+                            _as(Unfinished, spark, folder))
+    return _flat_responses(answers).select(
+        "request_id", "status", "risk_band", "error_code", "error_message")
+
+
+def _message(call: Callable) -> str:
+    try:
+        call()
+    except Exception as exc:
+        return f"{type(exc).__name__}: {exc}"
+    return "fine"
+
+
+def argument_checks(spark, folder):
+    """What jobs say to arguments and tables that they do not take, with the tables' size."""
+    source = profiles.labelled_sources(spark, folder)[0]
+    people = profiles.account_table(spark, folder)
+    said = {
+        "required": _message(lambda: merge.union_sources([source.drop("label", "account_id")])),
+        "labelled": str(check_accounts(source).error),
+        "without_id": str(check_accounts(people.drop("account_id")).error),
+        "repeated": str(check_accounts(people.unionByName(people)).error),
+        "limit_0": _message(lambda: reports.list_accounts(people, 0)),
+        "limit_100": _message(lambda: reports.list_accounts(people, 100)),
+        "limit_101": _message(lambda: reports.list_accounts(people, 101)),
+        "extra_column": _message(lambda: assess.check_request_columns(
+            requests(spark, folder).withColumn("note", F.lit(1)))),
+        "private": _message(lambda: write_demo(source, stage_path(spark, "private"))),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.lit(v).alias("said"))
+                               for k, v in said.items()]))
+    return people.agg(F.count("*").alias("account_count")).select(
+        "account_count", rows.alias("r")).select("account_count", "r.*")
+
+
+def registered_counts(spark, folder):
+    """The report on the trained model, but for what its scores decide."""
+    metadata = registry.read_metadata(spark, f"{_trained(spark, folder)}/artifacts")
+    return registry.training_summary(metadata).select(
+        "clean_account_count", F.col("model_id").startswith("gbt_").alias("named"),
+        (F.col("thresholds.medium") < F.col("thresholds.high")).alias("ordered"))
+
+
 def parse_requests(spark, folder):
     """Requests as JSON bodies: some ids are numbers, some bodies have a field too many."""
     key = F.col("request_id").cast("bigint")
@@ -790,6 +868,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # decisions, store and reports
         risk_bands, confidence, recommendations, top_factors, assess_batch,
         assess_without_model, assess_without_accounts, assess_without_store, degraded_scores,
+        failed_explanations, failed_scores, argument_checks, registered_counts,
         parse_requests, recorded_assessments, repeated_assessments, duplicate_assessments,
         override_intake, tied_overrides, bad_overrides, recorded_overrides, list_accounts,
         listing_response, readiness_report, degraded_readiness,
