@@ -1,9 +1,10 @@
 """Personal data by weak supervision.
 
-Patterns propose spans.  Six labelers vote on each (yes, no or abstain): form, structure,
+Patterns propose spans: the base kinds, spelt-out addresses, national numbers, names after a
+title, keys and tokens.  Six labelers vote on each (yes, no or abstain): form, structure,
 gazetteer, context words, borders, and counter-context.  Votes are counted per pattern over all
-documents; expectation-maximisation on those counts estimates how reliable each labeler is and
-how likely each pattern is personal data.  A logistic regression is then fitted to the
+documents; expectation-maximisation on those counts estimates how reliable each labeler is for
+each kind and how likely each pattern is personal data.  A logistic regression is then fitted to the
 estimates and decides the spans that go beyond the base kinds.
 
 Base spans (e-mail, IP address, card, phone number, by fixed rules) are always returned.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import id_and_bytes, slices
 from riskweave.session import stage
 
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret")
 BASE_KINDS = KINDS[:4]
 LABELERS = ("form", "structure", "gazetteer", "context", "borders", "counter_context")
 CONTEXT_CHARS = 48
@@ -59,6 +60,7 @@ CONTEXT_WORDS = {
     "card": "card visa mastercard amex credit debit karte carte tarjeta payment",
     "phone": "phone tel call mobile fax telefon téléphone teléfono whatsapp",
     "name": "name signed dear regards sincerely contact",
+    "secret": "token key apikey api_key secret password passwd pwd auth bearer credential",
 }
 COUNTER_WORDS = {
     "email": "example@ noreply no-reply",
@@ -66,7 +68,11 @@ COUNTER_WORDS = {
     "card": "isbn order invoice serial hash token sku id",
     "phone": "order invoice serial isbn",
     "name": "",
+    "secret": "sha sha1 sha256 md5 commit checksum digest revision uuid etag",
 }
+# How keys of well-known services begin.
+KEY_BEGINNINGS = ("sk-", "sk_", "pk_", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-",
+                  "AKIA", "ASIA", "AIza", "eyJ", "npm_", "pypi-", "hf_")
 
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -76,6 +82,10 @@ _SPELT = re.compile(
     r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}"
     r"(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,63})+")
 _NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? [A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?")
+# Runs of the characters that keys are written in, with letters and digits both.
+_SECRET = re.compile(
+    r"(?<![\w+/=.@-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[\w+/-]{20,256}+={0,2}"
+    r"(?![\w+/@-])", re.ASCII)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -144,6 +154,7 @@ def candidates(text: str) -> list[Span]:
                 out.append(Span(kind, *m.span(), good, not good))
     out += [Span("phone", *m.span(), False) for m in _NATIONAL.finditer(text)]
     out += [Span("name", *m.span(), False) for m in _NAME.finditer(text)]
+    out += [Span("secret", *m.span(), False) for m in _SECRET.finditer(text)]
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
@@ -154,6 +165,12 @@ def _mentions(words: str, around: str) -> bool:
                for w in words.split())
 
 
+def entropy(found: str) -> float:
+    """Bits per character."""
+    counts = [found.count(c) for c in set(found)]
+    return -sum(n / len(found) * math.log2(n / len(found)) for n in counts)
+
+
 def votes(text: str, span: Span) -> str:
     """One of ``+``, ``-`` and ``0`` (abstains) for each labeler."""
     found, kind = text[span.start:span.end], span.kind
@@ -178,6 +195,10 @@ def votes(text: str, span: Span) -> str:
             known = (digits[:1] in SHORT_CALLING_CODES or digits[:2] in SHORT_CALLING_CODES
                      or digits[:1] in "23456789" and len(digits) > 3)
             gazetteer = "+" if known else "-"
+    elif kind == "secret":
+        # random digits differ more than words and numbers do
+        structure = "+" if entropy(found) >= 3.2 and 12 * len(digits) >= len(found[:64]) else "-"
+        gazetteer = "+" if found.startswith(KEY_BEGINNINGS) else "0"
     else:
         given = found.split()[1:]
         structure = "+" if len(given) > 1 else "0"
@@ -214,13 +235,15 @@ class Reliability:
     """What expectation-maximisation has found."""
 
     prior: dict[str, float] = field(default_factory=dict)
-    # per labeler: probability of each vote, given personal data or not
+    # per labeler: probability of each vote, given personal data or not; over all kinds, and by
+    # kind, which is what decides
     given: list[dict[str, tuple[float, float]]] = field(default_factory=list)
+    by_kind: dict[str, list[dict[str, tuple[float, float]]]] = field(default_factory=dict)
 
     def posterior(self, kind: str, marks: str) -> float:
         p = self.prior.get(kind, 0.5)
         yes, no = math.log(p), math.log(1 - p)
-        for labeler, mark in zip(self.given, marks):
+        for labeler, mark in zip(self.by_kind.get(kind, ()), marks):
             a, b = labeler[mark]
             yes, no = yes + math.log(a), no + math.log(b)
         return 1 / (1 + math.exp(min(700.0, no - yes)))
@@ -232,20 +255,25 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = EM_ROUNDS) -> Rel
     belief = {k: min(0.95, max(0.05, 0.5 + 0.15 * (k[1].count("+") - k[1].count("-"))))
               for k in counts}
     found = Reliability()
-    for _ in range(rounds if counts else 0):
-        prior = {}
-        for kind in {k for k, _ in counts}:
-            mine = [(n, belief[key]) for key, n in counts.items() if key[0] == kind]
-            prior[kind] = (sum(n * b for n, b in mine) + 1) / (sum(n for n, _ in mine) + 2)
+
+    def reliabilities(mine: list[tuple[str, int, float]]) -> list[dict]:
         given = []
         for j in range(len(LABELERS)):
             yes, no = dict.fromkeys("+-0", 1.0), dict.fromkeys("+-0", 1.0)
-            for (kind, marks), n in counts.items():
-                yes[marks[j]] += n * belief[kind, marks]
-                no[marks[j]] += n * (1 - belief[kind, marks])
+            for marks, n, b in mine:
+                yes[marks[j]] += n * b
+                no[marks[j]] += n * (1 - b)
             given.append({m: (yes[m] / sum(yes.values()), no[m] / sum(no.values()))
                           for m in "+-0"})
-        found = Reliability(prior, given)
+        return given
+
+    for _ in range(rounds if counts else 0):
+        of = {kind: [(marks, n, belief[k, marks]) for (k, marks), n in counts.items()
+                     if k == kind] for kind in sorted({k for k, _ in counts})}
+        prior = {kind: (sum(n * b for _, n, b in mine) + 1) / (sum(n for _, n, _ in mine) + 2)
+                 for kind, mine in of.items()}
+        found = Reliability(prior, reliabilities([v for mine in of.values() for v in mine]),
+                            {kind: reliabilities(mine) for kind, mine in of.items()})
         now = {key: found.posterior(*key) for key in counts}
         moved = max(abs(now[k] - belief[k]) for k in counts)
         belief = now

@@ -106,3 +106,31 @@ def test_added_spans_do_not_overlap():
     sure = P.SpanClassifier([0.0] * len(P.features("name", "000000", "00ss")), 9.0)
     assert [(s["start"], s["end"]) for s in P.decide(spans, sure, 0.9)] == [(5, 9), (9, 12)]
     assert P.decide(spans, P.SpanClassifier(), 0.9) == spans[:1]
+
+
+def test_planted_secrets(spark):
+    """Keys and tokens are added, what only looks like some is not; base spans stay."""
+    rng = random.Random(3)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    rows, planted = [], set()
+    for i in range(400):
+        before, after = (draw("abcdefgh ", rng.randint(0, 60)) for _ in range(2))
+        kind = i % 8
+        secret = [draw("0123456789abcdef", 40), "ghp_" + draw(mixed, 36),
+                  "sk-" + draw(mixed, 48), draw("0123456789abcdef", 64)][kind % 4]
+        line = f'{["token", "key", "secret", "password"][kind % 4]} = "{secret}"'
+        if kind >= 4:
+            line = [f"commit {draw('0123456789abcdef', 40)} checksum",
+                    f"section-{rng.randint(1, 99)}-of-the-annual-report-20{rng.randint(10, 30)}",
+                    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1111", f"plain words {i} here"][kind - 4]
+        text = f"{before} {line} {after} mail me@host{i}.org"
+        rows.append((i, text))
+        if kind < 4:
+            planted.add((i, f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.find_personal_data(docs).collect()
+    found = {(r["doc_id"], s) for r in got for s in r["spans"].split(",") if s[:6] == "secret"}
+    assert len(found & planted) >= 0.9 * len(planted)
+    assert len(found & planted) >= 0.9 * len(found)
+    assert all(r["n_email"] == 1 and "email:" in r["spans"] for r in got)
