@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import id_and_bytes, regroup
-from riskweave.llm.token_files import BLOCK_BYTES, SpanEncoder, byte_level, id_type
+from riskweave.llm.token_files import BLOCK_BYTES, byte_level, id_type, kept_encoder
 from riskweave.session import stage
 
 CAPACITY = 2048
@@ -122,7 +122,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         gc.disable()
         try:
             for table in regroup(batches, BLOCK_BYTES):
-                encoder = encoder or SpanEncoder(rules, np.dtype(dtype), end_id)
+                encoder = encoder or kept_encoder(rules, np.dtype(dtype), end_id)
                 rows, ids, totals, starts, packed = [], [], [], [], []
                 texts = [b.decode() for b in table.column("body").to_pylist()]
                 for doc, found in zip(table.column("doc_id").to_pylist(), encoder.encode(texts)):

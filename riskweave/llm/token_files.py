@@ -17,6 +17,8 @@ import gc
 import json
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -151,6 +153,18 @@ class SpanEncoder:
         return out
 
 
+def kept_encoder(tokenizer_json: str, dtype: np.dtype, end_id: int) -> SpanEncoder:
+    """The encoder that this Python worker has used last, if it is such a one, else a new one.
+
+    Spark gives a worker one task after another; the words that it remembers are bounded by
+    ``MAX_KNOWN``, whatever the number of tasks."""
+    place = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    key = (hash(tokenizer_json), str(dtype), end_id)
+    if getattr(place, "key", None) != key:
+        place.key, place.encoder = key, SpanEncoder(tokenizer_json, dtype, end_id)
+    return place.encoder
+
+
 def byte_level(tokenizer_json: str) -> bool:
     """Whether spans may be encoded one by one: byte-level pre-tokens and no normaliser."""
     rules = json.loads(tokenizer_json)
