@@ -29,7 +29,7 @@ from riskweave.session import stage
 
 CAPACITY = 2048
 # Ids and pieces of one group at most (a group holds one piece at least).
-GROUP_IDS = 4 << 20
+GROUP_IDS = 2 << 20
 GROUP_PIECES = 1 << 16
 SEED = 11
 

@@ -37,7 +37,7 @@ BLOCK_BYTES = 4 << 20
 # Text of one shard, and so of one task.
 SHARD_BYTES = 64 << 20
 # Spans and words that a task remembers, and the longest it does.
-MAX_KNOWN = 1_000_000
+MAX_KNOWN = 800_000
 LONGEST_KNOWN = 64
 # A single space between other characters begins a new pre-token in byte-level BPE, so the ids
 # of the spans between such borders are the ids of the text.
