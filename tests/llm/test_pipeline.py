@@ -82,7 +82,8 @@ def test_query_equals_sql(spark, sample, name):
     assert difference(Q.QUERIES[name](spark, sample), connect(sample), Q.ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE)))
+# a piece is a row of op11, which test_packing holds against the documents
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE) - {"op11_packing"}))
 def test_query_has_a_row_per_document(spark, sample, name):
     found = Q.QUERIES[name](spark, sample)
     assert found.count() == spark.read.parquet(f"{sample}/documents.parquet").count()
