@@ -36,8 +36,10 @@ from riskweave.llm.common import id_and_bytes, regroup
 BLOCK_BYTES = 4 << 20
 # Text of one shard, and so of one task.
 SHARD_BYTES = 64 << 20
-# Spans and words that a task remembers, and the longest it does.
-MAX_KNOWN = 800_000
+# Spans and words that a task remembers, and the longest it does.  An encoder that outlives its
+# task remembers fewer.
+MAX_KNOWN = 1_000_000
+KEPT_KNOWN = 800_000
 LONGEST_KNOWN = 64
 # A single space between other characters begins a new pre-token in byte-level BPE, so the ids
 # of the spans between such borders are the ids of the text.
@@ -80,10 +82,10 @@ class _Remembered(dict):
     With ``word``, which encodes one pre-token, spans of letters and at most a mark after them
     are not searched for pre-tokens."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str = "",
+    def __init__(self, encode: Callable[[str], bytes], most: int, lead: str = "",
                  word: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.encode, self.word, self.lead = encode, word, lead
+        self.encode, self.most, self.word, self.lead = encode, most, word, lead
 
     def __missing__(self, text: str) -> bytes:
         if self.word is None or not _PLAIN(text):
@@ -93,7 +95,7 @@ class _Remembered(dict):
         else:
             out = self.word(self.lead + text)
         if len(text) <= LONGEST_KNOWN:
-            if len(self) >= MAX_KNOWN:
+            if len(self) >= self.most:
                 self.clear()
             self[text] = out
         return out
@@ -106,7 +108,8 @@ class SpanEncoder:
     that it has met before.
     """
 
-    def __init__(self, tokenizer_json: str, dtype: np.dtype, end_id: int):
+    def __init__(self, tokenizer_json: str, dtype: np.dtype, end_id: int,
+                 max_known: int = MAX_KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,9 +123,9 @@ class SpanEncoder:
         self.spelt = {c: "".join(self.characters[b] for b in chr(c).encode())
                       for c in range(0x250) if c == 32 or c > 126}
         word = None if any(t[:1].isalpha() for t in added) else self.plain_ids
-        self.first = _Remembered(self.span_ids, "", word)
-        self.rest = _Remembered(self.span_ids, " ", word)
-        self.words = _Remembered(self.word_ids)
+        self.first = _Remembered(self.span_ids, max_known, "", word)
+        self.rest = _Remembered(self.span_ids, max_known, " ", word)
+        self.words = _Remembered(self.word_ids, max_known)
         self.end = self.packed([end_id])
 
     def packed(self, ids: list[int]) -> bytes:
@@ -157,11 +160,11 @@ def kept_encoder(tokenizer_json: str, dtype: np.dtype, end_id: int) -> SpanEncod
     """The encoder that this Python worker has used last, if it is such a one, else a new one.
 
     Spark gives a worker one task after another; the words that it remembers are bounded by
-    ``MAX_KNOWN``, whatever the number of tasks."""
+    ``KEPT_KNOWN``, whatever the number of tasks."""
     place = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
     key = (hash(tokenizer_json), str(dtype), end_id)
     if getattr(place, "key", None) != key:
-        place.key, place.encoder = key, SpanEncoder(tokenizer_json, dtype, end_id)
+        place.key, place.encoder = key, SpanEncoder(tokenizer_json, dtype, end_id, KEPT_KNOWN)
     return place.encoder
 
 
