@@ -1,12 +1,14 @@
-"""License notices by wording and conditional compression.
-
-The wordings of a block and of each template that has enough words in common with it are
-compared: the longest template without any difference wins, however small a part of the block
-it is; else the one with fewest differences, if it still has most of its words, is returned as
-modified, with the differences.  The stretch that a template was found in is compressed alone
-and with the template as a raw zstandard dictionary; what the dictionary saves says how much of
-the stretch the template explains.  Words of a template that are merely strewn over a text save
-nothing and are no notice.
+"""License notices by conditional compression, confirmed by wording.
+
+Around the cues of a block, windows as long as each template's notice are compressed alone and
+with the template as a raw zstandard dictionary, both as lower-case words.  Templates are ranked
+by the bytes they save; a window of which a template saves little, compared with what it saves of
+itself, is no candidate for it.  The best of the ranking, and those that save nearly as much, are
+then compared with the window word by word: of those that still have most of their words the one
+with the most words found, less those that differ, wins; without any difference it is exact, else
+it is returned as modified, with the differences.  If none of them is confirmed, the next in the ranking are tried.
+A block can hold several notices: windows that reach into one that was found are cut there and
+compressed again.
 
 Blocks are lines around a cue, one of a few strings of which every template has one.  All text
 is searched for cues; a line without any is no notice.  Long blocks are cut between notices: a
@@ -16,10 +18,12 @@ notice that begins before a cut is whole in the block before it, any other in th
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import takewhile
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -34,17 +38,22 @@ CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "mozilla p
 # names included).
 LEAD_CHARS = 200
 LEVEL = 3
-# A modified notice is one if its template saves this share of the compressed size of the stretch
-# it was found in.  Exact ones need no saving.
-MIN_SAVING = 0.15
+# A window is a candidate for a template that saves this share of what it saves of itself.
+MIN_SAVING = 0.25
+# What is saved depends on the words around a notice too, so all candidates that save this share
+# of the largest saving are winners, of which wording chooses.
+NEARLY = 0.5
 # Share of a template's words that a modified notice still has, in order.
 MIN_SHARED = 0.8
-MAX_REMEMBERED = 100_000
+# Characters of blocks whose findings a task remembers.
+MAX_REMEMBERED = 16_000_000
 WILD = "<*>"
 # Words between two found words that a wildcard covers at most.
 WILD_WORDS = 12
 
 _WORD = re.compile(r"<\*>|[^\W_]+(?:\.[0-9]+)*")
+# every cue begins in one of these
+_CUE_WORD = re.compile("|".join(c.split()[0] for c in CUES))
 
 
 def lowered(text: str) -> str:
@@ -59,6 +68,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(lowered(text))
 
 
+def cues_of(words: Sequence[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if _CUE_WORD.search(w)]
+
+
+def stretched(words: Sequence[str]) -> int:
+    """Words that these words of a template cover at most."""
+    return len(words) + (WILD_WORDS - 1) * words.count(WILD)
+
+
 def begin_of_word(text: str, at: int, floor: int) -> int:
     """``at``, or if it is inside a word (not one of hundreds of characters), where that begins."""
     low = max(floor, at - 100)
@@ -68,10 +86,18 @@ def begin_of_word(text: str, at: int, floor: int) -> int:
     return begin
 
 
+class Candidate(NamedTuple):
+    """A template for the words ``low`` to ``high`` of a block."""
+    lost: int  # bytes saved, negative
+    license: str
+    low: int
+    high: int
+
+
 @dataclass(frozen=True)
 class Finding:
     license: str
-    # share of the compressed size of the stretch
+    # share of what the template saves of itself
     saving: float
     exact: bool
     # (template's words, block's words) where they differ
@@ -89,17 +115,24 @@ class Scanner:
             if not any(c in text.lower() for c in CUES):
                 raise ValueError(f"Template {name} has none of the cues {CUES}")
         self.words = {name: words_of(text) for name, text in templates.items()}
-        self.plain = {name: Counter(w for w in words if w != WILD)
-                      for name, words in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        self.given = {}
-        for name, text in templates.items():
+        self.given, self.worth, self.reach = {}, {}, {}
+        for name, words in self.words.items():
+            plain = [w for w in words if w != WILD]
             dictionary = zstandard.ZstdCompressionDict(
-                text.replace(WILD, " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                " ".join(plain).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
+            self.worth[name] = self.saved(name, plain)
+            if self.worth[name] <= 0:
+                raise ValueError(f"Template {name} is too short to save anything")
+            # words of a notice at most before and from one of its cues on, some put in
+            cues, slack = cues_of(words), len(plain) // 4
+            self.reach[name] = (stretched(words[:cues[-1]]) + slack,
+                                stretched(words[cues[0]:]) + slack, slack)
         self.longest = max(map(len, templates.values()), default=0)
         self.vocabulary = {w for words in self.words.values() for w in words}
         self.known: dict[str, tuple[Finding, ...]] = {}
+        self.remembered = 0
 
     # ---- blocks -------------------------------------------------------------------------
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
@@ -122,12 +155,18 @@ class Scanner:
             while not cut and end < len(text):
                 stop = text.find("\n", end + 1)
                 stop = len(text) if stop < 0 else stop
+                # paragraphs of a notice have blank lines between them
+                while stop < len(text) and stop <= at + room and not _WORD.search(text, end, stop):
+                    stop = text.find("\n", stop + 1)
+                    stop = len(text) if stop < 0 else stop
                 if not self._familiar(text[end:min(stop, end + room)]):
                     break
                 cut = stop > at + room
                 end = min(stop, at + room)
             while start > done and text[start - 1] == "\n" and start > at - reach:
                 first = max(text.rfind("\n", 0, start - 1) + 1, at - reach, done)
+                while first > max(at - reach, done) and not _WORD.search(text, first, start):
+                    first = max(text.rfind("\n", 0, first - 1) + 1, at - reach, done)
                 if not self._familiar(text[first:start]):
                     break
                 start = first
@@ -146,56 +185,91 @@ class Scanner:
 
     def _familiar(self, line: str) -> bool:
         words = words_of(line)
-        return len(words) > 2 and sum(w in self.vocabulary for w in words) >= 0.8 * len(words)
+        known = sum(w in self.vocabulary for w in words)
+        return known >= 0.8 * len(words) if len(words) > 2 else 0 < known == len(words)
 
     # ---- comparison ---------------------------------------------------------------------
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """(saving, template), the largest saving first, then by name."""
-        body = block.encode()
-        alone = len(self.alone.compress(body))
-        out = [(1 - len(c.compress(body)) / alone, name) for name, c in self.given.items()]
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
-    def saving(self, name: str, stretch: str) -> float:
-        body = stretch.encode()
-        return 1 - len(self.given[name].compress(body)) / len(self.alone.compress(body))
+    def saved(self, name: str, words: Sequence[str]) -> int:
+        """Bytes that the template saves when the words are compressed."""
+        body = " ".join(words).encode()
+        return len(self.alone.compress(body)) - len(self.given[name].compress(body))
+
+    def rank(self, block: str) -> list[Candidate]:
+        """Candidates of a block, those that save most first, then those of the template that
+        saves least of itself, then by name and place."""
+        return self._ranked(words_of(block))
+
+    def _ranked(self, words: list[str]) -> list[Candidate]:
+        cues, out = cues_of(words), []
+        for name in self.words:
+            out += self._windows(name, words, cues, 0, len(words))
+        return self._sorted(out)
+
+    def _sorted(self, candidates: Iterable[Candidate]) -> list[Candidate]:
+        return sorted(candidates, key=lambda c: (c.lost, self.worth[c.license], c))
+
+    def _windows(self, name: str, words: list[str], cues: list[int], low: int, high: int
+                 ) -> Iterator[Candidate]:
+        """Candidates for one template around the cues of ``words[low:high]``.
+
+        A window has room for every notice that has one of its cues at the window's cue or in
+        the ``slack`` words after that, so those get no window of their own."""
+        before, behind, slack = self.reach[name]
+        after = low
+        for k in cues[bisect_left(cues, low):bisect_left(cues, high)]:
+            if k >= after:
+                after = k + slack + 1
+                begin, end = max(low, k - before), min(high, k + behind + slack)
+                saved = self.saved(name, words[begin:end])
+                if saved >= MIN_SAVING * self.worth[name]:
+                    yield Candidate(-saved, name, begin, end)
 
     def findings(self, block: str) -> tuple[Finding, ...]:
-        """The notices a block holds; several if it has several, each at most once."""
+        """The notices a block holds, in order."""
         found = self.known.get(block)
         if found is None:
-            if len(self.known) >= MAX_REMEMBERED:
+            if self.remembered >= MAX_REMEMBERED:
                 self.known.clear()
-            found = self.known[block] = tuple(self._findings(block))
+                self.remembered = 0
+            self.remembered += len(block)
+            found = self.known[block] = tuple(
+                sorted(self._findings(block), key=lambda f: f.start))
         return found
 
     def _findings(self, block: str) -> Iterator[Finding]:
         found = list(_WORD.finditer(lowered(block)))
         words, spans = [m.group() for m in found], [m.span() for m in found]
-        while words:
-            count = Counter(words)
-            best = None
-            for name, template in self.words.items():
-                plain = self.plain[name]
-                # no order of the block's words has more of the template's
-                if sum(min(n, count[w]) for w, n in plain.items()) < MIN_SHARED * plain.total():
-                    continue
-                shared, differences, (i, j) = compare(template, words)
-                if shared < MIN_SHARED:
-                    continue
-                start, end = spans[i][0], spans[j - 1][1]
-                saving = self.saving(name, block[start:end])
-                if differences and saving < MIN_SAVING:
-                    continue
-                key = (len(differences), -len(template), -saving, name)
-                if best is None or key < best[0]:
-                    best = key, Finding(name, round(saving, 4), not differences,
-                                        tuple(differences), start, end), (i, j)
-            if best is None:
-                return
-            yield best[1]
-            i, j = best[2]
-            del words[i:j], spans[i:j]
+        cues, ranked = cues_of(words), self._ranked(words)
+        compared: dict[Candidate, tuple | None] = {}
+        while ranked:
+            most = ranked[0].lost
+            best = list(takewhile(lambda c: c.lost <= NEARLY * most, ranked))
+            for c in best:
+                if c not in compared:
+                    compared[c] = self._confirmed(c, words)
+            winners = [compared[c] for c in best if compared[c]]
+            if not winners:
+                ranked = ranked[len(best):]
+                continue
+            _, lost, name, i, j, differences = min(winners)
+            yield Finding(name, round(-lost / self.worth[name], 4), not differences,
+                          differences, spans[i][0], spans[j - 1][1])
+            beside = [c for c in ranked if c.high <= i or c.low >= j]
+            into = {(c.license, *part) for c in ranked if c.low < j and c.high > i
+                    for part in ((c.low, i), (j, c.high)) if part[0] < part[1]}
+            for name, low, high in into:
+                beside += self._windows(name, words, cues, low, high)
+            ranked = self._sorted(set(beside))
+
+    def _confirmed(self, c: Candidate, words: list[str]) -> tuple | None:
+        """What a winner's wording says, the best confirmation first; None without enough of it."""
+        template = self.words[c.license]
+        shared, differences, (i, j) = compare(template, words[c.low:c.high])
+        if shared < MIN_SHARED:
+            return None
+        found = round(shared * sum(w != WILD for w in template))
+        differing = sum(len(side.split()) for pair in differences for side in pair)
+        return differing - found, c.lost, c.license, c.low + i, c.low + j, tuple(differences)
 
 
 def compare(template: list[str], words: list[str]) -> tuple[float, list[tuple[str, str]],
@@ -272,8 +346,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (block in code points, saving, differences).
 
     A null or empty text has none; other columns are ignored; rows that share an id or a text are
-    rows of their own.  Of equal wordings the template that saves more counts, then the name that sorts first.
-    No row moves between tasks.
+    rows of their own.  Of templates found equally well the one that saves more counts, then the
+    name that sorts first.  No row moves between tasks.
     """
     templates = dict(templates)
     notice = pa.struct([

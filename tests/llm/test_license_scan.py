@@ -165,3 +165,42 @@ def test_documents(documents, texts, edge_docs, no_docs):
     odd = L.scan(edge_docs).collect()
     assert len(odd) == len(TEXTS) and not any(r["n_blocks"] for r in odd)
     assert L.scan(no_docs).collect() == []
+
+
+def test_savings_choose_the_notices(monkeypatch):
+    blocks = [TEMPLATES["GPL-3.0-notice"], TEMPLATES["MIT"], TEMPLATES["BSD-2-Clause"]]
+    found = [[f.license for f in L.Scanner(TEMPLATES).findings(b)] for b in blocks]
+    assert found == [["GPL-3.0-notice"], ["MIT"], ["BSD-2-Clause"]]
+    monkeypatch.setattr(L, "MIN_SAVING", 1.1)
+    assert all(not L.Scanner(TEMPLATES).findings(b) for b in blocks)
+
+
+def test_a_whole_text_wins_over_its_beginning(scanner):
+    # with one word changed behind the part that is a notice of its own
+    for name, part in (("MIT-full", "MIT-text"), ("ISC-full", "ISC")):
+        assert TEMPLATES[name].startswith(TEMPLATES[part])
+        found, = scanner.findings(TEMPLATES[name].replace("NO EVENT", "NO CASE"))
+        assert (found.license, found.exact) == (name, False)
+        assert found.differences == (("event", "case"),)
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_paragraphs_with_blank_lines(scanner, mark):
+    words = TEMPLATES["MIT-full"].split()
+    lines = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)]
+    lines[5:5] = [""]
+    lines[12:12] = ["", ""]
+    text = "\n".join(["intro of a file", *(mark + line for line in lines), "code = 1"])
+    found = [f for a, b in scanner.blocks(text) for f in scanner.findings(text[a:b])]
+    assert [(f.license, f.exact) for f in found] == [("MIT-full", True)]
+
+
+def test_many_short_notices_in_a_line(scanner):
+    names = ["CC-BY-4.0", "MIT", "Apache-2.0", "GPL-2.0", "CC-BY-NC-4.0"] * 60
+    text = " ".join(TEMPLATES[n] for n in names)
+    assert exact_notices(scanner, text) == [(n, True) for n in names]
+
+
+def test_a_template_too_short_to_compress_is_refused():
+    with pytest.raises(ValueError):
+        L.Scanner({"x": "licensed"})
