@@ -39,8 +39,7 @@ CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "mozilla p
 LEAD_CHARS = 200
 # The fast strategy leaves literals as they are: with entropy coding, what the words around a notice
 # do to its statistics can be more than a short template saves.
-COMPRESSION = zstandard.ZstdCompressionParameters.from_level(
-    1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4)
+COMPRESSION = {"strategy": zstandard.STRATEGY_FAST, "target_length": 1, "min_match": 5}
 # A window is a candidate for a template that saves this share of what it saves of itself.
 MIN_SAVING = 0.25
 # What is saved depends on the words around a notice too, so all candidates that save this share
@@ -118,14 +117,14 @@ class Scanner:
             if not any(c in text.lower() for c in CUES):
                 raise ValueError(f"Template {name} has none of the cues {CUES}")
         self.words = {name: words_of(text) for name, text in templates.items()}
-        self.alone = zstandard.ZstdCompressor(compression_params=COMPRESSION)
+        how = zstandard.ZstdCompressionParameters.from_level(1, **COMPRESSION)
+        self.alone = zstandard.ZstdCompressor(compression_params=how)
         self.given, self.worth, self.reach = {}, {}, {}
         for name, words in self.words.items():
             plain = [w for w in words if w != WILD]
             dictionary = zstandard.ZstdCompressionDict(
                 " ".join(plain).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given[name] = zstandard.ZstdCompressor(compression_params=COMPRESSION,
-                                                        dict_data=dictionary)
+            self.given[name] = zstandard.ZstdCompressor(compression_params=how, dict_data=dictionary)
             self.worth[name] = self.saved(name, plain)
             if self.worth[name] <= 0:
                 raise ValueError(f"Template {name} is too short to save anything")
