@@ -257,13 +257,17 @@ def _search_block(block: int, lists: dict[str, np.ndarray], lengths: np.ndarray,
 MATCH_SCHEMA = "block long, place int, item string, kind string, start long, end long"
 
 
-def _search(index: DataFrame, rows: DataFrame, windows: DataFrame, near_terms: int,
-            slop: int) -> DataFrame:
-    """Matches of one chunk of windows."""
-    spark = index.sparkSession
-    terms = rows.select(F.explode("words").alias("term")).distinct()
-    postings = index.where("term IS NOT NULL").join(terms, "term", "left_semi")
-    postings = stage(postings.select("block", "term", "n", "positions"), "wanted")
+def _postings(of: DataFrame, windows: DataFrame) -> DataFrame:
+    """Postings of the windows' terms, stored."""
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    found = of.where("term IS NOT NULL").join(terms, "term", "left_semi")
+    return stage(found.select("block", "term", "n", "positions"), "wanted")
+
+
+def _search(postings: DataFrame, layout: DataFrame, rows: DataFrame, windows: DataFrame,
+            near_terms: int, slop: int) -> DataFrame:
+    """Matches of one chunk of windows, from the postings of its terms."""
+    spark = postings.sparkSession
     frequency = {r["term"]: r["n"] for r in
                  postings.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     grouped = rows.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -310,9 +314,6 @@ def _search(index: DataFrame, rows: DataFrame, windows: DataFrame, near_terms: i
         if lists:
             yield emit(now, lists, lengths)
 
-    layout = index.where("term IS NULL").select(
-        "block", F.lit(None).cast("string").alias("term"),
-        F.lit(None).cast("binary").alias("positions"), "lengths")
     together = postings.select(
         "block", "term", "positions", F.lit(None).cast("array<long>").alias("lengths"))
     blocks = together.unionByName(layout).repartition("block").sortWithinPartitions(
@@ -331,26 +332,39 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id",
     ``near``: of the item's terms that occur in the index, the ``near_terms`` rarest (or all, if
     there are fewer) are within ``slop`` words of the word at ``start``, in any order (0 terms:
     not searched).
+
+    The index is read twice, for the postings of all test terms and for the lengths of the
+    documents, however many windows there are; a chunk of windows reads what was found then.
     """
     if not 0 <= slop < GAP or not 0 < window_words <= GAP:
         raise ValueError(f"Windows and distances are below {GAP} words")
     windows = test_windows(items, id_col, text_col, window_words)
     chunks = -(-windows.count() // chunk_windows) or 1
+    wanted = _postings(index, windows)
+    layout = index.where("term IS NULL").select(
+        "block", F.lit(None).cast("string").alias("term"),
+        F.lit(None).cast("binary").alias("positions"), "lengths")
+    if chunks > 1:
+        layout = stage(layout, "layout")
+
+    def search(rows: DataFrame, windows: DataFrame, near_terms: int) -> DataFrame:
+        postings = wanted if chunks == 1 else _postings(wanted, rows)
+        return _search(postings, layout, rows, windows, near_terms, slop)
+
     out = None
     for i in range(chunks):
         # all windows of an item fall into one chunk only if there is one; matches of the
         # parts of a passage overlap and are united by whoever counts words
         rows = windows if chunks == 1 else windows.where(
             F.pmod(F.xxhash64("item", "at"), F.lit(chunks)) == i)
-        found = _search(index, rows, windows, near_terms if chunks == 1 else 0, slop)
+        found = search(rows, windows, near_terms if chunks == 1 else 0)
         out = found if out is None else out.unionByName(found)
     if chunks > 1 and near_terms:
         names = windows.select("item").distinct()
         for i in range(chunks):
             some = windows.join(names.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == i),
                                 "item", "left_semi")
-            out = out.unionByName(
-                _search(index, some, some, near_terms, slop).where("kind = 'near'"))
+            out = out.unionByName(search(some, some, near_terms).where("kind = 'near'"))
     return out.distinct()
 
 

@@ -162,3 +162,28 @@ def test_packing():
         packed, begin = P.pack(values)
         assert (P.unpack(packed.tobytes()) == values).all() and begin[-1] == len(packed)
     assert len(P.unpack(b"")) == 0
+
+
+def test_index_is_read_as_often_for_many_chunks(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    docs = [(i, text(rng.randrange(40))) for i in range(30)]
+    tests = [(i, text(rng.randrange(1, 9))) for i in range(10)]
+    index = P.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    place = set(index.inputFiles())
+    plain, reads, found = P.stage, [], []
+
+    def counted(df, name, *rest):
+        reads.append(bool(place & set(df.inputFiles())))
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(P, "stage", counted)
+    for size in (10_000, 4):
+        reads.clear()
+        rows = P.find_matches(index, items, window_words=4, near_terms=0, chunk_windows=size)
+        assert sum(reads) == 2
+        hit = {(r["block"], r["place"], r["item"], k)
+               for r in rows.collect() for k in range(r["start"], r["end"])}
+        found.append(hit)
+    assert found[0] == found[1] != set()
