@@ -26,6 +26,11 @@ from riskweave.operators.weights import ClassCounts
 from riskweave.session import shared_dir
 
 
+# A fit uses every core once its tasks have so many rows, and gives no task more than the most.
+FIT_ROWS_LEAST = 5_000
+FIT_ROWS_MOST = 1_000_000
+
+
 def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
@@ -41,11 +46,24 @@ def without_noise(train: DataFrame) -> DataFrame:
     return train.withColumns({f: F.lit(0.0) for f in flat})
 
 
+def in_even_tasks(train: DataFrame, rows: int) -> DataFrame:
+    """``rows`` rows dealt evenly over the cluster's cores, in an order that is always the same.
+
+    A fit passes over its rows hundreds of times with the tasks it was given.  Rows as they are
+    read come in as many tasks as there are files: a few, since twelve numbers a row make small
+    files of many rows.  The order inside a task decides which rows a round samples.
+    """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(cores, -(-rows // FIT_ROWS_LEAST)), -(-rows // FIT_ROWS_MOST), 1)
+    keys = ["account_id"] if "account_id" in train.columns else train.columns
+    return train.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+
 def fit_baseline(train: DataFrame, counts: ClassCounts,
                  max_iter: int = BASELINE_MAX_ITER) -> LogisticRegressionModel:
     """L2 logistic regression with balanced weights and unit inverse regularisation."""
     rows = counts.negative + counts.positive
-    weighted = assemble(without_noise(train)).withColumns({
+    weighted = assemble(in_even_tasks(without_noise(train), rows)).withColumns({
         "weight": counts.balanced_weight(F.col("label")),
         "label": F.col("label").cast("double"),
     })
@@ -63,7 +81,8 @@ def fit_boosted(train: DataFrame, counts: ClassCounts, rounds: int = BOOST_ROUND
                 depth: int = BOOST_DEPTH, seed: int = SEED) -> GBTClassificationModel:
     """Boosted trees; rows are cached and lineage is cut every ten rounds."""
     shared_dir(train.sparkSession)   # gives the boosting loop a checkpoint folder
-    weighted = assemble(train).withColumns({
+    even = in_even_tasks(train, counts.negative + counts.positive)
+    weighted = assemble(even).withColumns({
         "weight": counts.boosting_weight(F.col("label")),
         "label": F.col("label").cast("double"),
     })

@@ -261,3 +261,16 @@ def test_an_explanation_that_fails_in_a_task_leaves_the_score(rows, fitted):
     scorer = BoostedScorer("m", p, Thresholds(0.3, 0.7), model=model, leaves=[broken])
     out = scorer.score(rows).select("probability", "contributions").collect()
     assert all(r.probability is not None and r.contributions is None for r in out)
+
+
+def test_fits_use_the_cores_whatever_the_files(spark):
+    from riskweave.operators.models import in_even_tasks
+
+    train = spark.range(20_000).selectExpr("cast(id as string) account_id", "id * 1.5 x", "0 label")
+    even = in_even_tasks(train.coalesce(1), 20_000)
+    sizes = even.rdd.glom().map(len).collect()
+    assert len(sizes) == 4 and max(sizes) < 5_400
+    # what a round samples follows from the order inside a task
+    ids = [r.account_id for r in even.collect()]
+    assert ids == [r.account_id for r in in_even_tasks(train.repartition(3), 20_000).collect()]
+    assert sorted(ids) == sorted(str(i) for i in range(20_000))
