@@ -77,6 +77,12 @@ class FeedbackStore:
         """Overrides of other batches than ``before`` with the ids in ``keys``."""
         return self._found("overrides", keys).where(F.col("batch") != before).drop("batch")
 
+    def around(self, name: str, keys: DataFrame, before: str | None = None) -> DataFrame:
+        """Rows of a table, of other batches than ``before``, among them all with the ids in
+        ``keys``: for callers that join them by id anyway."""
+        rows = self._found(name, keys, exact=False)
+        return (rows if before is None else rows.where(F.col("batch") != before)).drop("batch")
+
     def append_assessments(self, rows: DataFrame, batch: str) -> DataFrame:
         """Append new assessments; returns the rows refused for a repeated id.
 
@@ -127,25 +133,36 @@ class FeedbackStore:
         paths = [f"{self._run_path(name, r['run'])}/bucket={b}"
                  for r in runs for b in r["buckets"] if buckets is None or b in buckets]
         if not paths:
-            return self.spark.createDataFrame([], self._schema(name))
+            # without a job or Python worker, and joins with it fold away
+            return self.spark.range(0).select(*[
+                F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema(name).fields
+            ]).where("false")
         return self.spark.read.schema(self._schema(name)).parquet(*paths)
 
     def _rows(self, name: str) -> DataFrame:
         return self._read(name, self._state(name)[1]["runs"])
 
-    def _found(self, name: str, keys: DataFrame, state: dict | None = None) -> DataFrame:
-        """Stored rows with one of ``keys``, out of the buckets that keys fall into."""
+    def _found(self, name: str, keys: DataFrame, state: dict | None = None,
+               exact: bool = True) -> DataFrame:
+        """Stored rows with one of ``keys``, out of the buckets that keys fall into.  Unless
+        ``exact``, all rows of these buckets if the keys are not few beside the stored rows."""
         state = state or self._state(name)[1]
-        keys = keys.select(ID).where(F.col(ID).isNotNull()).distinct()
+        if not state["runs"]:
+            return self._read(name, [])
+        keys = keys.select(ID).where(F.col(ID).isNotNull())
         counts = keys.groupBy(_bucket(state["buckets"]).alias("bucket")).count().collect()
         rows = self._read(name, state["runs"], {r["bucket"] for r in counts})
         if not counts:
             return rows.where("false")
-        if sum(r["count"] for r in counts) <= FEW_KEYS:
-            # equalities reach the row groups' Bloom filters and the page index
-            tests = [F.col(ID) == r[ID] for r in keys.collect()]
-            return rows.where(_either(tests))
-        return rows.join(keys, ID, "left_semi")
+        if sum(r["count"] for r in counts) <= 50 * FEW_KEYS:
+            few = keys.distinct().limit(FEW_KEYS + 1).collect()
+            if len(few) <= FEW_KEYS:
+                # equalities reach the row groups' Bloom filters and the page index
+                return rows.where(_either([F.col(ID) == r[ID] for r in few]))
+        stored = sum(r["rows"] for r in state["runs"])
+        if exact or 10 * sum(r["count"] for r in counts) < stored:
+            return rows.join(keys.distinct(), ID, "left_semi")
+        return rows
 
     def _write(self, name: str, rows: DataFrame, count: int, buckets: int, level: int,
                batch: str | None) -> dict:
@@ -182,32 +199,48 @@ class FeedbackStore:
             * F.lit(str(1 << 63)).cast("decimal(20,0)") + F.col("_row")
         ).cast("decimal(38,0)")
         rows = rows.withColumn("_turn", turn)
+        columns = [f.name for f in schema.fields]
         replaced = [r for r in state["runs"] if r["batch"] == batch]
         others = dict(state, runs=[r for r in state["runs"] if r["batch"] != batch])
-        stored = self._found(name, rows, others) if look_back else self._read(name, [])
-        chosen = rows.groupBy(ID).agg(F.min("_turn").alias("_turn"))
+        stored = self._found(name, rows, others, exact=False) if look_back else self._read(name, [])
+        chosen = rows.groupBy(ID).agg(F.min("_turn").alias("_turn"), F.count("*").alias("_rows"))
         # a merged batch that is written again finds its own rows
         merged = stored.select(F.col(ID).alias("_id"), (F.col("batch") == batch).alias("_own"))
-        chosen = stage(
-            chosen.join(merged, F.col(ID).eqNullSafe(F.col("_id")), "left")
-            .select(ID, "_turn", F.col("_own").isNull().alias("_new"), "_own")
-            .where("_new OR _own"), "chosen")
-        first = chosen.withColumnsRenamed({ID: "_first", "_turn": "_first_turn"})
-        # the pair of keys spreads an id that many rows share
-        same = F.col(ID).eqNullSafe(F.col("_first")) & (F.col("_turn") == F.col("_first_turn"))
-        columns = [f.name for f in schema.fields]
-        fresh = rows.join(first.where("_new"), same, "left_semi").select(
-            *columns, F.lit(batch).alias("batch"))
-        count = chosen.where("_new").count()
-        run = self._write(name, fresh, count, state["buckets"], 0, batch)
+        judged = chosen.join(merged, F.col(ID).eqNullSafe(F.col("_id")), "left").drop("_id")
+        # ids that come once and are not stored need no further look
+        odd = stage(judged.where("_rows > 1 OR _own IS NOT NULL"), "odd")
+        total = odd.agg(F.count("*"), F.sum("_rows"), F.count_if(F.col("_own").isNull())).first()
+        size = rows.count()
+        count = size - (total[1] or 0) + total[2]
+        if not total[0]:
+            fresh, refused = rows, rows.where("false")
+        else:
+            if (total[1] or 0) < size:
+                once = rows.groupBy(ID).agg(F.min("_turn").alias("_turn")).join(
+                    odd.select(F.col(ID).alias("_id")), F.col(ID).eqNullSafe(F.col("_id")),
+                    "left_anti").select(ID, "_turn", F.lit(None).cast("boolean").alias("_own"))
+                first = once.unionByName(odd.select(*once.columns))
+            else:
+                first = odd
+            first = first.where("_own IS NULL OR _own").withColumnsRenamed(
+                {ID: "_first", "_turn": "_first_turn"})
+            # the pair of keys spreads an id that many rows share
+            same = F.col(ID).eqNullSafe(F.col("_first")) & (
+                F.col("_turn") == F.col("_first_turn"))
+            fresh = rows.join(first.where("_own IS NULL"), same, "left_semi")
+            refused = rows.join(first, same, "left_anti")
+        # rows that are all stored already need no run
+        run = self._write(name, fresh.select(*columns, F.lit(batch).alias("batch")), count,
+                          state["buckets"], 0, batch) if count else None
         try:
-            self._commit(name, version, state, [run] if count else [], replaced)
+            self._commit(name, version, state, [run] if run else [], replaced)
         except CommitConflict:
             # a stream of the table's files must not see what does not count
-            delete_path(self.spark, self._run_path(name, run["run"]))
+            if run:
+                delete_path(self.spark, self._run_path(name, run["run"]))
             raise
         self._merge(name)
-        return rows.join(first, same, "left_anti").select(*columns)
+        return refused.select(*columns)
 
     def _commit(self, name: str, version: int, state: dict, new: list[dict],
                 old: list[dict]) -> None:

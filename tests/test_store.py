@@ -161,3 +161,14 @@ def test_a_writer_that_lost_can_try_again(spark, tmp_path, monkeypatch):
     assert store.assessments().count() == 0
     store.append_assessments(records(spark, [1]), "a")
     assert store.assessments().count() == 1
+
+
+def test_rows_that_are_all_stored_write_no_run(spark, tmp_path):
+    store = FeedbackStore(spark, str(tmp_path / "s")).initialise()
+    store.append_assessments(records(spark, range(50)), "first")
+    refused = store.append_assessments(records(spark, range(50), "high"), "second")
+    assert ids_of(refused) == list(range(50))
+    assert len(list((tmp_path / "s" / "assessments" / "data").glob("run=*"))) == 1
+    mixed = records(spark, [49, 50, 51, 51])
+    assert ids_of(store.append_assessments(mixed, "third")) == [49, 51]
+    assert ids_of(store.assessments()) == list(range(52))
