@@ -26,16 +26,31 @@ def key_demand(facts: DataFrame, key: str, usable: Column, *extra: Column) -> Da
 
 
 def hot_keys(demand: DataFrame, key: str, partitions: int | None = None) -> list:
-    """Keys of a ``key_demand`` that own more rows than an even shuffle partition holds.
+    """Keys of a ``key_demand``, or of plain rows, that own more rows than an even shuffle
+    partition holds.
 
     ``partitions`` is the number of shuffle partitions, by default the session's.  Fewer
     than that many keys can exceed an even share, so the list needs no cap; every other
     key fits beside others in a partition of at most twice the even size on average.
+    Plain rows are counted by cells of the key's hash, and by key only in cells that hold so
+    many rows themselves; an even partition is eight cells or more.
     """
     if partitions is None:
         partitions = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = demand.agg(F.sum("row_count")).first()[0] or 0
-    rows = demand.where(F.col("row_count") > total / partitions).select(key).collect()
+    if "row_count" in demand.columns:
+        total = demand.agg(F.sum("row_count")).first()[0] or 0
+        counted = demand
+    else:
+        cell = F.pmod(F.xxhash64(key), F.lit(max(4096, 8 * partitions)))
+        keys = demand.select(key).where(F.col(key).isNotNull())
+        cells = keys.groupBy(cell.alias("cell")).count().collect()
+        total = sum(r["count"] for r in cells)
+        crowded = [r["cell"] for r in cells if r["count"] > total / partitions]
+        if not crowded:
+            return []
+        counted = keys.where(cell.isin(crowded)).groupBy(key).agg(
+            F.count("*").alias("row_count"))
+    rows = counted.where(F.col("row_count") > total / partitions).select(key).collect()
     return sorted(r[key] for r in rows)
 
 

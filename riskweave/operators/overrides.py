@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.constants import OVERRIDE_STORE_MESSAGE
@@ -13,7 +13,7 @@ from riskweave.functions.ids import is_assessment_id, is_override_label, is_reas
 from riskweave.operators.bodies import (
     BODY_CHECKS, body_problem, invalid_value, read_bodies,
 )
-from riskweave.operators.lookup import attach, hot_keys, key_demand
+from riskweave.operators.lookup import hot_keys
 from riskweave.session import stage
 
 
@@ -42,39 +42,46 @@ def decide_overrides(requests: DataFrame, assessments: DataFrame, overrides: Dat
     """Add ``outcome`` ('recorded' or NULL) and ``error`` to every override request.
 
     ``arrival`` names the columns that order the requests; requests that tie in them are
-    ordered by a hash of all their columns and then by their row, so exactly one wins.
-    What is known about an assessment (stored? already overridden? first arrival?) is
-    worked out once per id and attached to its requests.  The requests are staged, which
-    fixes their rows, and jobs run while this is called.
+    ordered by a hash of all their columns, and exactly one wins.  Requests meet what is known
+    of their assessment and are ranked in one shuffle by id; rows with a fault need none.  Ids
+    that own more than an even share of a shuffle partition go apart: their rows are staged,
+    which fixes them, and get their first arrival by broadcast.  Jobs run while this is called,
+    and the requests are read by several of them.
     """
-    asked = stage(requests.withColumns({
-        "_problem": override_problem(requests, id_width),
-        "_tie": F.xxhash64(*requests.columns),
-        "_row": F.monotonically_increasing_id(),
-    }), "asked").withColumn("_arrival", F.struct(*arrival, "_tie", "_row"))
-    valid = F.col("_problem").isNull()
-
-    demand = key_demand(
-        asked, "assessment_id", valid, F.min("_arrival").alias("first_arrival")
-    )
-    known = assessments.select("assessment_id")
-    taken = overrides.select("assessment_id", F.lit(True).alias("overridden"))
-    state = (
-        demand.select("assessment_id", "first_arrival")
-        .join(known, "assessment_id", "left_semi")
-        .join(taken, "assessment_id", "left")
-    )
-    found = attach(
-        asked, "assessment_id", "_row", state, "_state",
-        hot=hot_keys(demand, "assessment_id"), usable=valid,
-    )
-    wins = F.col("_state")["overridden"].isNull() & (
-        F.col("_row") == F.col("_state")["first_arrival"]["_row"]
+    key = "assessment_id"
+    asked = requests.withColumn("_problem", override_problem(requests, id_width))
+    faulty = asked.where("_problem IS NOT NULL")
+    valid = asked.where("_problem IS NULL")
+    # ids share their first letters: a number before them settles most comparisons of a sort
+    told = assessments.select(key, F.lit(False).alias("_taken")).unionByName(
+        overrides.select(key, F.lit(True).alias("_taken")))
+    state = told.groupBy(F.xxhash64(key).alias("_place"), key).agg(
+        F.bool_or(~F.col("_taken")).alias("_known"), F.bool_or("_taken").alias("_taken"))
+    tie = F.xxhash64(*requests.columns)
+    hot = hot_keys(requests.select(key), key)
+    is_hot = F.col(key).isin(*hot) if hot else F.lit(False)
+
+    turn = F.row_number().over(Window.partitionBy("_place", key).orderBy(*arrival, tie))
+    found = (
+        valid.where(~is_hot).withColumn("_place", F.xxhash64(key))
+        .withColumn("_first", turn == 1).join(state, ["_place", key], "left").drop("_place")
     )
+    if hot:
+        apart = stage(
+            valid.where(is_hot).withColumn("_row", F.monotonically_increasing_id()), "hot-requests"
+        ).withColumn("_arrival", F.struct(*arrival, tie.alias("_tie"), "_row"))
+        # fewer than there are shuffle partitions
+        first = apart.groupBy(key).agg(F.min("_arrival")["_row"].alias("_first_row")).join(
+            state.where(is_hot).drop("_place"), key, "left")
+        found = found.unionByName(
+            apart.join(F.broadcast(first), key)
+            .withColumn("_first", F.col("_row") == F.col("_first_row"))
+            .drop("_row", "_arrival", "_first_row"))
+    found = found.unionByName(faulty, allowMissingColumns=True)
     code = (
         F.when(F.col("_problem").isNotNull(), F.lit("invalid_request"))
-        .when(F.col("_state").isNull(), F.lit("assessment_not_found"))
-        .when(~wins, F.lit("override_already_recorded"))
+        .when(~F.coalesce("_known", F.lit(False)), F.lit("assessment_not_found"))
+        .when(F.col("_taken") | ~F.col("_first"), F.lit("override_already_recorded"))
     )
     return _outcomes(found.withColumn("_code", code), requests)
 

@@ -14,7 +14,7 @@ from riskweave.operators.models import Scorer
 from riskweave.operators.overrides import (
     accepted_overrides, decide_overrides, refuse_overrides,
 )
-from riskweave.session import scratch, stage
+from riskweave.session import scratch
 from riskweave.sources.store import FeedbackStore
 
 
@@ -63,16 +63,15 @@ def override_batch(requests: DataFrame, store: FeedbackStore, outcomes: str, bat
         return spark.read.parquet(path)
     with scratch(spark):
         if memory is None:
-            named = requests.select("assessment_id").distinct()
+            named = requests.select("assessment_id")
             wanted = named.where(is_assessment_id(F.col("assessment_id"), id_width))
         else:
             wanted = memory.unsure
-        wanted = stage(wanted, "wanted")
-        known = store.assessments_of(wanted).select("assessment_id")
-        taken = store.overrides_of(wanted, batch).select("assessment_id")
+        known = store.around("assessments", wanted).select("assessment_id")
+        taken = store.around("overrides", wanted, batch).select("assessment_id")
         if memory is not None:
             known = known.union(memory.stored)
-            taken = taken.union(memory.overridden).distinct()
+            taken = taken.union(memory.overridden)
         decided = decide_overrides(requests, known, taken, arrival, id_width)
         decided.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)

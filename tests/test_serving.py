@@ -389,3 +389,23 @@ def test_a_corrupt_account_file_is_reported(spark, tmp_path):
     (folder / "part-broken.parquet").write_bytes(b"no parquet at all")
     source = load_accounts(spark, str(folder))
     assert not source.ready and source.error
+
+
+def test_overrides_meet_their_assessments_in_one_shuffle(spark, tmp_path):
+    path = str(tmp_path / "asked")
+    override(spark, *[(f"asmt_{i % 64:08d}", "uncertain", "Bad!" if i % 5 == 0 else "r")
+                      for i in range(128)]).write.parquet(path)
+    known = spark.range(40).selectExpr("concat('asmt_', lpad(cast(id as string), 8, '0')) assessment_id")
+    known.write.parquet(str(tmp_path / "known"))
+    known = spark.read.parquet(str(tmp_path / "known"))
+    decided = decide_overrides(spark.read.parquet(path), known, known.where("false"), ["seq"], 8)
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2      # requests, what is known
+    got = outcomes(decided)
+    first = {}
+    for i in range(128):
+        if i % 5:
+            first.setdefault(i % 64, i)
+    assert got == ["invalid_request" if i % 5 == 0 else "assessment_not_found" if i % 64 >= 40
+                   else "recorded" if first[i % 64] == i else "override_already_recorded"
+                   for i in range(128)]
