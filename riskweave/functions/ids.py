@@ -50,6 +50,23 @@ def assessment_id(request_key: Column, model_id: Column, width: int = 32) -> Col
     return F.concat(F.lit(ASSESSMENT_PREFIX), F.substring(digest, 1, width))
 
 
+def packed_id(c: Column) -> Column:
+    """Assessment ids in half the bytes, for what is kept or moved per id; any other text gets
+    a byte more.  The last byte tells the two apart, ``unpacked_id`` gives the text back."""
+    digits = F.substr(c, F.lit(len(ASSESSMENT_PREFIX) + 1))
+    number = F.unhex(digits)
+    is_short = c.startswith(ASSESSMENT_PREFIX) & (F.lower(F.hex(number)) == digits)
+    return F.when(is_short, F.concat(number, F.lit(b"\x01"))).otherwise(
+        F.concat(c.cast("binary"), F.lit(b"\x00")))
+
+
+def unpacked_id(c: Column) -> Column:
+    size = F.octet_length(c)
+    value = F.substr(c, F.lit(1), size - 1)
+    return F.when(F.substr(c, size, F.lit(1)) == F.lit(b"\x01"), F.concat(
+        F.lit(ASSESSMENT_PREFIX), F.lower(F.hex(value)))).otherwise(value.cast("string"))
+
+
 def is_assessment_id(c: Column, width: int = 32) -> Column:
     shape = c.startswith(ASSESSMENT_PREFIX) & (
         F.length(c) == len(ASSESSMENT_PREFIX) + width

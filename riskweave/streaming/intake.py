@@ -21,14 +21,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskweave.functions.ids import packed_id, unpacked_id
 from riskweave.operators.assess import ENVELOPE
 from riskweave.operators.models import Scorer
 from riskweave.operators.overrides import override_problem
-from riskweave.plans.serving import Memory, assessment_batch, override_batch
+from riskweave.plans.serving import Memory, assessment_batch, override_pieces
+from riskweave.session import delete_path, stage_path
 from riskweave.sources.store import FeedbackStore
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# files that a task of a partitioned write keeps open, instead of sorting its rows
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+# shuffle files go when the job that made them ends, not when the driver collects its garbage
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Pieces that a micro-batch of overrides is dealt into by id; of small ones so many are decided
+# together that they have about this number of requests.
+PIECES = 32
+PIECE_ROWS = 4_000_000
 
 
 def batch_name(batch: DataFrame, batch_id: int) -> str:
@@ -40,17 +50,21 @@ def batch_name(batch: DataFrame, batch_id: int) -> str:
 
 
 @contextmanager
-def _state_settings(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside keep their state in RocksDB."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_PROVIDER)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_PROVIDER, before)
+            spark.conf.set(name, before)
+
+
+def _state_settings(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB."""
+    return _setting(spark, _PROVIDER, _ROCKSDB)
 
 
 def unique_requests(requests: DataFrame, within: str, time_col: str = "requested_at",
@@ -121,7 +135,7 @@ def with_memory(requests: DataFrame, assessments: DataFrame, overrides: DataFram
     ``requested``; ``now`` is the time of the micro-batch.
 
     ``assessments`` and ``overrides`` are streams of what is recorded.  The times are a running
-    aggregate by id, so a request that many rows repeat is one row per task.
+    aggregate by packed id, so a request that many rows repeat is one row per task.
     """
     now = F.current_timestamp()
     valid = override_problem(requests, id_width).isNull()
@@ -130,13 +144,46 @@ def with_memory(requests: DataFrame, assessments: DataFrame, overrides: DataFram
     for kind, rows in enumerate((assessments, overrides)):
         seen = seen.unionByName(rows.select("assessment_id", F.lit(kind).alias("kind")))
     seen = seen.where("assessment_id IS NOT NULL").withColumn("at", now)
-    times = seen.groupBy("assessment_id").agg(
+    times = seen.groupBy(packed_id(F.col("assessment_id")).alias("packed")).agg(
         *[F.min(F.when(F.col("kind") == kind, F.col("at"))).alias(name)
           for kind, name in enumerate(("stored", "overridden", "requested"))])
     asked = requests.select(F.struct(*requests.columns).alias("request"))
     return asked.unionByName(
-        times.withColumnRenamed("assessment_id", "key").withColumn("now", now),
-        allowMissingColumns=True)
+        times.withColumn("key", unpacked_id(F.col("packed"))).drop("packed")
+        .withColumn("now", now), allowMissingColumns=True)
+
+
+def in_pieces(batch: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The two kinds of rows of a micro-batch ``with_memory``, some ids at a time.
+
+    The micro-batch is computed once, as a compressed table dealt by id; rows kept in a cache
+    would take several times the room.  The files of a piece go when the next one is asked for.
+    """
+    spark = batch.sparkSession
+    path = stage_path(spark, "micro-batch")
+    named = F.coalesce("request.assessment_id", "key")
+    dealt = batch.withColumns({
+        "_piece": F.pmod(F.xxhash64(named), F.lit(PIECES)).cast("int"),
+        "_asked": F.col("request").isNotNull().cast("int")})
+    # at the limit a task sorts the rest
+    with _setting(spark, _OPEN_FILES, str(PIECES + 1)):
+        # small row groups, as a task has one in memory for every file
+        dealt.write.partitionBy("_piece", "_asked").option("compression", "zstd").option(
+            "parquet.block.size", 2 << 20).parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    groups: list[list[int]] = []    # first piece, last piece, requests
+    for piece, count in sorted(
+            rows.where("_asked = 1").groupBy("_piece").count().collect()) or [(0, 0)]:
+        if groups and groups[-1][2] + count <= PIECE_ROWS:
+            groups[-1] = [groups[-1][0], piece, groups[-1][2] + count]
+        else:
+            groups.append([piece, piece, count])
+    for first, last, _ in groups:
+        some = rows.where(F.col("_piece").between(first, last))
+        yield (some.where("_asked = 1").select("request.*"),
+               some.where("_asked = 0").drop("request", "_piece", "_asked"))
+        for piece in range(first, last + 1):
+            delete_path(spark, f"{path}/_piece={piece}")
 
 
 def override_stream(requests: DataFrame, store: FeedbackStore, outcomes: str,
@@ -150,28 +197,29 @@ def override_stream(requests: DataFrame, store: FeedbackStore, outcomes: str,
     is not read again.  Of an id that was stored before it was requested, the first request
     has been recorded.  Ids that the state does not know (not stored, or stored while a run of
     available data goes on) and those that were requested too early are looked up by key.
-    One stream or batch job at a time may write the table.
+    One stream or batch job at a time may write the table.  A micro-batch is decided some ids at
+    a time, and so are its rows shuffled; its outcomes appear as they are decided.
     """
 
+    def remembered(told: DataFrame) -> Memory:
+        wanted = told.where("requested IS NOT NULL")
+
+        def ids(condition: str) -> DataFrame:
+            return wanted.where(condition).select(F.col("key").alias("assessment_id"))
+
+        known = "coalesce(stored, overridden) IS NOT NULL"
+        early = "requested < coalesce(stored, overridden)"
+        return Memory(
+            stored=ids(known),
+            overridden=ids(f"overridden IS NOT NULL OR NOT {early} AND requested < now"),
+            unsure=ids(f"NOT {known} OR overridden IS NULL AND {early}"))
+
     def decide(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            asked = batch.where("request IS NOT NULL").select("request.*")
-            wanted = batch.where("requested IS NOT NULL")
-
-            def ids(condition: str) -> DataFrame:
-                return wanted.where(condition).select(F.col("key").alias("assessment_id"))
-
-            known = "coalesce(stored, overridden) IS NOT NULL"
-            early = "requested < coalesce(stored, overridden)"
-            memory = Memory(
-                stored=ids(known),
-                overridden=ids(f"overridden IS NOT NULL OR NOT {early} AND requested < now"),
-                unsure=ids(f"NOT {known} OR overridden IS NULL AND {early}"))
-            override_batch(asked, store, outcomes, batch_name(batch, batch_id), arrival,
-                           id_width, created_at, memory)
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession      # the query's own
+        spark.conf.set(_TIDY, "true")
+        pieces = ((asked, remembered(told)) for asked, told in in_pieces(batch))
+        override_pieces(spark, pieces, store, outcomes, batch_name(batch, batch_id), arrival,
+                        id_width, created_at)
 
     told = with_memory(requests, store.stream("assessments"), store.stream("overrides"),
                        id_width)

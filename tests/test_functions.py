@@ -189,3 +189,12 @@ def test_override_fields(values):
     assert values(ids.is_reason_code, ["a_1", "", "A", "a" * 64, "a" * 65, "a b", None]) == [
         True, False, False, True, False, False, False
     ]
+
+
+def test_packed_ids(values):
+    texts = ["asmt_" + "0123456789abcdef" * 2, "asmt_" + "A" * 32, "asmt_abc", "asmt_", "asmt_00",
+             "", "x", None, "asmt_é0", "asmt_zz", "asm", "asmt_ffff ", "asmt_0a\n", "ASMT_00",
+             "\x00", "\x01", "\x00\x01", "asmt_00\x01"]
+    packed = values(ids.packed_id, texts)
+    assert len(packed[0]) == 17 and len(set(map(bytes, filter(None, packed)))) == len(texts) - 1
+    assert values(lambda c: ids.unpacked_id(ids.packed_id(c)), texts) == texts

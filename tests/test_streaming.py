@@ -4,9 +4,12 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from riskweave.operators.assess import assess
+from riskweave.operators.overrides import decide_overrides
+from riskweave.plans import serving
 from riskweave.schemas import REQUESTS
 from riskweave.session import stage_path
 from riskweave.sources.store import FeedbackStore, _bucket
+from riskweave.streaming import intake
 from riskweave.streaming.intake import (
     answer_late, assess_stream, dropped_as_late, late_requests, override_stream,
 )
@@ -169,6 +172,68 @@ def test_recorded_overrides_are_not_read_again(spark, tmp_path, monkeypatch):
                      "invalid_request": 40}
 
 
+def test_a_micro_batch_is_decided_some_ids_at_a_time(spark, tmp_path, monkeypatch):
+    """Nothing of it is cached, the pieces share no id and leave nothing behind."""
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    store = FeedbackStore(spark, root).initialise()
+    known = spark.createDataFrame(
+        [(f"asmt_{i:032d}", NOW, "m", "low", "completed") for i in range(40)],
+        "assessment_id string, created_at timestamp, model_id string, risk_band string, "
+        "status string")
+    store.append_assessments(known, "seed")
+    store.append_overrides(spark.createDataFrame(
+        [(f"asmt_{5:032d}", NOW, "uncertain", "by_hand")],
+        "assessment_id string, created_at timestamp, override_label string, "
+        "reason_code string"), "hand")
+
+    # ids that repeat, one of them often, unknown ones, ties, and requests with a fault
+    ids = [f"asmt_{i % 50:032d}" for i in range(200)] + [f"asmt_{7:032d}"] * 80
+    rows = [(key, "uncertain" if i % 9 else "guilty", f"r{i}", i // 3)
+            for i, key in enumerate(ids)]
+    rows += [(None, "uncertain", "x", 1), ("no id", "uncertain", "x", 2)] * 10
+    sent = spark.createDataFrame(rows, ITEM)
+    sent.coalesce(4).write.parquet(inbox)
+    want = decide_overrides(sent, store.assessments(), store.overrides(), ["seq"]).collect()
+    staged = Path(stage_path(spark, "x")).parent
+    before = sorted(staged.iterdir())
+
+    asked, cached = [], []
+
+    def spy(requests, *args):
+        asked.append([r.assessment_id for r in requests.collect()])
+        cached.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return decide_overrides(requests, *args)
+
+    monkeypatch.setattr(serving, "decide_overrides", spy)
+    monkeypatch.setattr(intake, "PIECE_ROWS", 60, raising=False)
+
+    def start():
+        stream = spark.readStream.schema(ITEM).parquet(inbox)
+        run(override_stream(stream, store, f"{root}/outcomes", f"{root}/checkpoint", ["seq"]))
+
+    start()
+    assert len(asked) > 2 and sum(map(len, asked)) == len(rows)
+    assert sum(len(set(some)) for some in asked) == len({r[0] for r in rows})
+    assert all(len(some) <= 60 for some in asked if f"asmt_{7:032d}" not in some)
+    assert not any(cached)
+    got = spark.read.parquet(f"{root}/outcomes").drop("batch")
+    assert sorted(map(str, got.select(*want[0].__fields__).collect())) == sorted(map(str, want))
+    assert store.overrides().count() == 40
+
+    # what comes later is known by its packed id; a run without requests has no outcomes
+    spark.createDataFrame([(f"asmt_{i:032d}", "uncertain", "late", 999) for i in (3, 5, 45)],
+                          ITEM).write.mode("append").parquet(inbox)
+    start()
+    assert sorted(staged.iterdir()) == before
+    store.append_assessments(known.limit(1).withColumn("assessment_id", F.lit("asmt_" + "a" * 32)),
+                             "more")
+    start()
+    out = spark.read.parquet(f"{root}/outcomes")
+    assert out.count() == len(rows) + 3 and store.overrides().count() == 40
+    assert sorted(r.code for r in out.where("reason_code = 'late'").select(
+        "error.code").collect()) == ["assessment_not_found", *["override_already_recorded"] * 2]
+
+
 def test_overrides_that_come_before_their_assessment(spark, tmp_path):
     """They are refused; a later request is recorded, once."""
     inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
